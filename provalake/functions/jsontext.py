@@ -8,7 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from provalake.functions.text import not_blank, trim_all
 
@@ -70,12 +70,12 @@ def _cut_and_close(text: str | None, syllabus: bool) -> str | None:
     return fixed
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_question_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _cut_and_close(t, False), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_syllabus_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _cut_and_close(t, True), na_action="ignore")
 

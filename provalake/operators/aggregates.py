@@ -81,7 +81,7 @@ def year_topic(df: DataFrame, topics: list[str] | None = None) -> DataFrame:
     """Year by topic counts in long form; with a given topic list, in wide form."""
     base = df.select("ano", F.coalesce(not_blank(F.col("assunto_pci")), F.lit(C.NO_TOPIC)).alias("assunto"))
     if topics is not None:
-        return base.groupBy("ano").pivot("assunto", topics).agg(F.count("*")).na.fill(0)
+        return base.groupBy("ano").pivot("assunto", topics).agg(F.count(F.lit(1))).na.fill(0)
     return base.groupBy("ano", "assunto").agg(F.count("*").alias("n"))
 
 

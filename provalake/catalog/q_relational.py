@@ -126,7 +126,7 @@ def join_first_word(spark, sf):
     links = A.projetos(spark, sf).filter("edital_id IS NOT NULL").select("projeto_id", "edital_id")
     nodes = links.join(T.flatten_taxonomy(A.editais(spark, sf)).filter("depth = 0"), "edital_id").select("projeto_id", F.col("texto").alias("nome"))
     counts = G.counts(A.questoes_provas(spark, sf), ["projeto_id", "disciplina"]).withColumnRenamed("disciplina", "key")
-    return N.lookup_counts(nodes, counts, "nome", ["projeto_id"])
+    return N.lookup_counts(nodes, counts, "nome", ["projeto_id"], raw=counts)
 
 
 @query("asof_header", with_("v_quota", extra={"m": "SELECT o_custkey % 2 AS g, o_orderdate AS at, max(o_orderkey) AS header FROM orders GROUP BY ALL"}) + """SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, m.header AS header
@@ -400,7 +400,7 @@ EVENTS_US = "SELECT event_id, user_id % 2 AS g, epoch_us(ts) AS us FROM events"
  FROM e LEFT JOIN anc ON e.g = anc.g AND e.us = anc.us""")
 def anchored(spark, sf):
     e = scan(spark, sf, "events").select("event_id", (F.col("user_id") % 2).alias("g"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return anchored_groups(e, "g", "us", 600e6, "event_id").select("event_id", "g", "anchor")
+    return anchored_groups(e, ["g"], "us", 600e6, "event_id").select("event_id", "g", "anchor")
 
 
 @query("history_last_n", with_("v_quota", extra={"k": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ts DESC, event_id) AS rn FROM v_quota) WHERE rn <= 100"}) + """

@@ -47,7 +47,7 @@ def canon_sql():
     return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in C.CANONICAL_DISCIPLINES.items()) + ") t(k, v)"
 
 
-TITLE = r"array_to_string(list_transform(regexp_extract_all({0}, '\pL+|\PL+'), lambda w: upper(w[1]) || lower(w[2:])), '')"
+TITLE = r"array_to_string(list_transform(regexp_extract_all({0}, '\pL+|\PL+'), lambda w: replace(upper(w[1]), 'ß', 'Ss') || lower(w[2:])), '')"
 RAW_NAMES = """SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 'PORTUGUÊS.' WHEN 2 THEN ' raciocínio lógico' WHEN 3 THEN 'Redação' WHEN 4 THEN 'noções de legislação;' WHEN 5 THEN lower(d) ELSE concat(d, ' ', p_name) END AS raw
  FROM (SELECT l_orderkey, l_linenumber, p_name, """ + """CASE WHEN p_type='STANDARD' THEN 'Português' WHEN p_type='PROMO' THEN 'LÍNGUA PORTUGUESA' WHEN p_type='SMALL' THEN 'Matemática'
  WHEN p_type='LARGE' THEN 'Raciocínio Lógico' WHEN p_type='ECONOMY' THEN 'Legislação Básica' ELSE 'Inglês' END AS d FROM lineitem JOIN part ON l_partkey = p_partkey)"""
@@ -163,8 +163,8 @@ def infer_cover_metadata(spark, sf):
 
 
 @query("section_slice", with_(extra={"s": """SELECT doc_id, concat(substring(text, 1, length(text) // 2), chr(10), 'Analista Judiciário', chr(10), substring(text, length(text) // 2 + 1), chr(10), 'CONHECIMENTOS GERAIS', chr(10), 'fim') AS t FROM documents""",
- "p": "SELECT doc_id, t, position(upper('analista judiciário') IN upper(t)) AS at FROM s"}) + r"""SELECT doc_id, md5(CASE WHEN at = 0 THEN t ELSE concat(substring(t, at, 19),
- regexp_replace(substring(t, at + 19), '(?s)\n\s*[A-ZÁÉÍÓÚÃÕÂÊÔÇ][A-ZÁÉÍÓÚÃÕÂÊÔÇ\s]{10,}\n.*$', '')) END) AS h FROM p""")
+ "p": "SELECT doc_id, t, position(upper('analista judiciário') IN upper(t)) AS k FROM s"}) + r"""SELECT doc_id, md5(CASE WHEN k = 0 THEN t ELSE concat(substring(t, k, 19),
+ regexp_replace(substring(t, k + 19), '(?s)\n\s*[A-ZÁÉÍÓÚÃÕÂÊÔÇ][A-ZÁÉÍÓÚÃÕÂÊÔÇ\s]{10,}\n.*$', '')) END) AS h FROM p""")
 def section_slice(spark, sf):
     half = F.floor(F.length("text") / 2).cast("int")
     t = F.concat(F.col("text").substr(F.lit(1), half), F.lit("\nAnalista Judiciário\n"), F.col("text").substr(half + 1, F.length("text")), F.lit("\nCONHECIMENTOS GERAIS\nfim"))
@@ -180,10 +180,10 @@ WORDS_SQL = f"""SELECT doc_id, list_filter(list_transform(string_split_regex(tex
  "m": """SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: length(x) > 18)) AS lg, coalesce(unk, 0) AS unk FROM w LEFT JOIN u USING (doc_id)""",
  "r": """SELECT doc_id, n::INT AS word_count, CASE WHEN n < 10 THEN 1.0 ELSE round(unk / n, 4) END::DOUBLE AS e, CASE WHEN n < 10 THEN 0.0 ELSE round(lg / n, 4) END::DOUBLE AS l, CASE WHEN n < 10 THEN 0.0 ELSE round(1 - unk / n, 4) END::DOUBLE AS v FROM m""",
  "s": """SELECT *, CASE WHEN word_count < 10 THEN 0.0 ELSE greatest(0.0, least(1.0, v * (1 - least(e, 0.5) * 2) * (1 - least(l * 5, 0.5)))) END AS sc FROM r"""}) + """
- SELECT doc_id, word_count, e AS spell_error_rate, l AS long_word_ratio, v AS valid_word_ratio, round(sc, 6) AS score, round(sc, 6) < 0.8 OR l > 0.05 AS needs_correction, round(sc, 6) < 0.75 AS needs_vision FROM s""")
+ SELECT doc_id, word_count, e AS spell_error_rate, l AS long_word_ratio, v AS valid_word_ratio, floor(sc * 1000000 + 0.5) / 1000000 AS score, sc < 0.8 OR l > 0.05 AS needs_correction, sc < 0.75 AS needs_vision FROM s""")
 def word_quality(spark, sf):
     d = docs(spark, sf)
-    return Q.word_quality(d, Q.build_lexicon(d))
+    return Q.word_quality(d, Q.build_lexicon(d)).withColumn("score", F.floor(F.col("score") * 1000000 + 0.5) / 1000000)
 
 
 @query("broken_layout_flag", with_(extra={"t": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', chr(10)) ELSE text END AS t FROM documents",
@@ -490,12 +490,12 @@ def trap_histogram(spark, sf):
     return FD.trap_histogram(FD.question_analysis(parsed_digests(spark, sf), ["job_id"]), ["job_id"])
 
 
-VOTE = {"g": """SELECT type, substring(description, 1, 50) AS key, arg_min(description, pass_no * 1000000000 + evidence_id::BIGINT) AS description, count(*) AS votes, count(DISTINCT evidence_id) AS n_evidence, count(DISTINCT pass_no) AS distinct_passes
+VOTE = {"g": """SELECT type, substring(description, 1, 50) AS key, arg_min(description, pass_no::BIGINT * 1000000000 + evidence_id::BIGINT) AS description, count(*) AS votes, count(DISTINCT evidence_id) AS n_evidence, count(DISTINCT pass_no) AS distinct_passes
  FROM v_patterns GROUP BY ALL""", "f": "SELECT *, CASE WHEN votes >= 3 THEN 'high' WHEN votes = 2 THEN 'medium' ELSE 'low' END AS confidence FROM g"}
 
 
 def voted(spark, sf):
-    return FD.vote(A.patterns(spark, sf), F.col("pass_no") * 1000000000 + F.col("evidence_id").cast("long"))
+    return FD.vote(A.patterns(spark, sf), F.col("pass_no").cast("long") * 1000000000 + F.col("evidence_id").cast("long"))
 
 
 @query("pattern_vote", with_("v_patterns", extra=VOTE) + "SELECT * FROM f")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from provalake.functions.once import once
 from provalake.functions.text import not_blank, trim_all
 
 
@@ -86,13 +87,14 @@ def parse_responses(df: DataFrame, col: str, schema: StructType, required: tuple
     Texts are unfenced, parsed, and parsed again from the first brace. With ``repair`` (one of the functions above)
     only rows that still fail go through Python.
     """
-    typed = StructType(schema.fields).add("_corrupt", "string")
+    typed = StructType(list(schema.fields)).add("_corrupt", "string")
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowUnquotedControlChars": "true"}
     ok = lambda c: c.isNotNull() & c["_corrupt"].isNull()
     text = strip_fences(F.col(col))
     from_brace = F.when(text.contains("{"), F.regexp_extract(text, r"(?s)\{.*", 0))
     first = F.from_json(text, typed, opts)
-    work = df.withColumn("_p", F.when(ok(first), first).otherwise(F.from_json(from_brace, typed, opts)))
+    work = once(df, {"_a": first, "_b": from_brace})
+    work = once(work, {"_p": F.when(ok(F.col("_a")), F.col("_a")).otherwise(F.from_json("_b", typed, opts))}).drop("_a", "_b")
     if repair is not None:
         good, rest = work.filter(ok(F.col("_p"))), work.filter(~F.coalesce(ok(F.col("_p")), F.lit(False)))
         fixed = rest.withColumn("_p", F.from_json(repair(strip_fences(F.col(col))), typed, opts))

@@ -62,10 +62,16 @@ def fix_mojibake(col: Column) -> Column:
     ).otherwise(col)
 
 
+def _title_letter(c: Column) -> Column:
+    """Title form of one letter; a letter that widens in upper case (ß) keeps only its first part capital."""
+    wide = F.upper(c)
+    return F.concat(F.substring(wide, 1, 1), F.lower(wide.substr(F.lit(2), F.length(wide))))
+
+
 def title_case(col: Column) -> Column:
     runs = F.regexp_extract_all(col, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
     return F.array_join(
-        F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))),
+        F.transform(runs, lambda w: F.concat(_title_letter(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))),
         "",
     )
 
@@ -157,7 +163,8 @@ def infer_cover_metadata(cover: Column) -> Column:
 
 def section_slice(text: Column, role: Column) -> Column:
     """Text from the role name up to the next all-capitals heading line; the whole text if absent."""
-    at = F.position(F.upper(role), F.upper(text))
+    # searched in the text itself: upper-casing first can change its length
+    at = F.regexp_instr(text, F.concat(F.lit(r"(?iu)\Q"), role, F.lit(r"\E")))
     rest = text.substr(at + F.length(role), F.length(text))
     caps = "A-ZÁÉÍÓÚÃÕÂÊÔÇ"
     heading = rf"(?U)\n\s*[{caps}][{caps}\s]{{10,}}\n"
@@ -166,7 +173,7 @@ def section_slice(text: Column, role: Column) -> Column:
 
 
 def format_pct(pct: Column) -> Column:
-    return F.concat(F.format_number(pct, "0.0"), F.lit("%"))
+    return F.format_string("%.1f%%", pct)
 
 
 def priority(pct: Column) -> Column:

@@ -5,60 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPAN = "struct<y:double,x0:double,x1:double,text:string>"
+from provalake.operators.quota import anchored_groups
 
 
-def _group_lines(spans: Column, tol: float) -> Column:
-    """Spans sorted by (y, x0) to lines: a line ends when y is more than ``tol`` from the line's first span."""
-    zero = F.struct(F.lit(None).cast("double").alias("y"), F.array().cast(f"array<array<{_SPAN}>>").alias("lines"))
+def _line_text(spans: Column) -> Column:
+    """Spans of one line by x, with a space at a gap unless the texts already have one or punctuation follows."""
+    by_x = F.array_sort(spans)
+    shifted = F.concat(F.slice(by_x, 1, 1), by_x)  # element i of this is the span before span i; the first meets itself
 
-    def step(acc, s):
-        same = F.coalesce(F.abs(s["y"] - acc["y"]) <= tol, F.lit(False))
-        last = F.try_element_at(acc["lines"], F.lit(-1))
-        grown = F.concat(F.slice(acc["lines"], F.lit(1), F.greatest(F.size(acc["lines"]) - 1, F.lit(0))), F.array(F.concat(last, F.array(s))))
-        return F.struct(F.when(same, acc["y"]).otherwise(s["y"]).alias("y"),
-                        F.when(same, grown).otherwise(F.concat(acc["lines"], F.array(F.array(s)))).alias("lines"))
-
-    return F.aggregate(spans, zero, step)["lines"]
-
-
-def _line_text(line: Column) -> Column:
-    """Spans of a line by x, with a space at a gap unless the texts already have one or punctuation follows."""
-    by_x = F.array_sort(F.transform(line, lambda s: F.struct(s["x0"].alias("x0"), s["x1"].alias("x1"), s["text"].alias("text"))))
-
-    def piece(s, i):
-        prev = F.try_element_at(by_x, i)
+    def piece(s: Column, prev: Column) -> Column:
         gap = (s["x0"] - prev["x1"] > 0.5) & ~prev["text"].endswith(" ") & ~s["text"].rlike(r"^[ .,;:!?)]")
-        return F.concat(F.when((i > 0) & F.coalesce(gap, F.lit(False)), " ").otherwise(""), s["text"])
+        return F.concat(F.when(gap, " ").otherwise(""), s["text"])
 
-    # try_element_at rejects index 0, so the first span is handled on its own
-    head = F.element_at(by_x, 1)["text"]
-    rest = F.transform(F.slice(by_x, 2, F.greatest(F.size(by_x) - 1, F.lit(0))), lambda s, i: piece(s, i + 1))
-    return F.concat(head, F.array_join(rest, ""))
+    pieces = F.zip_with(by_x, F.slice(shifted, F.lit(1), F.size(by_x)), piece)
+    return F.array_join(pieces, "")
 
 
-def _block_text(spans: Column, tol: float) -> Column:
-    return F.array_join(F.transform(_group_lines(F.array_sort(spans), tol), _line_text), "\n")
+def _joined(df: DataFrame, by: list[str], order: str, text: str, sep: str, out: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("_t")))), lambda s: s["_t"]), sep).alias(out))
 
 
 def lines_from_spans(spans: DataFrame, by: list[str], boundary: DataFrame | None = None, tol: float = 5.0) -> DataFrame:
     """Page text from spans (y, x0, x1, text). With two columns the left one is read first; what stands above the
     first question of the right column continues the left one.
 
-    One page's spans are gathered into one row: a page is a bounded sheet of text, whatever the size of the table.
+    Every span gets its part of the page (left, continuation, right) and its line, then lines, parts and pages are
+    joined one level after the other.
     """
-    s = spans.filter(F.trim("text") != "").select(*by, F.struct(
-        F.col("y").cast("double").alias("y"), F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), "text").alias("s"))
-    page = s.groupBy(*by).agg(F.collect_list("s").alias("s"))
+    num = lambda c: F.col(c).cast("double").alias(c)
+    s = spans.filter(F.trim("text") != "").select(*by, num("y"), num("x0"), num("x1"), "text")
     if boundary is None:
-        return page.select(*by, _block_text(F.col("s"), tol).alias("texto"))
-    page = page.join(boundary.select(*by, "boundary"), by, "left")
-    left = F.filter("s", lambda x: x["x0"] < F.col("boundary"))
-    right = F.filter("s", lambda x: x["x0"] >= F.col("boundary"))
-    heads = F.transform(F.filter(right, lambda x: x["text"].contains("Questão") | x["text"].contains("QUESTÃO")), lambda x: x["y"])
-    first = F.array_min(heads)
-    carried = F.filter(right, lambda x: F.coalesce(x["y"] < first - 10, F.lit(False)))
-    main = F.filter(right, lambda x: ~F.coalesce(x["y"] < first - 10, F.lit(False)))
-    two = F.concat(_block_text(left, tol), F.when(F.size(carried) > 0, F.concat(F.lit("\n"), _block_text(carried, tol))).otherwise(F.lit("")),
-                   F.lit("\n\n"), _block_text(main, tol))
-    return page.select(*by, F.when(F.col("boundary").isNull(), _block_text(F.col("s"), tol)).otherwise(two).alias("texto"))
+        s = s.withColumn("_part", F.lit(0))
+    else:
+        s = s.join(boundary.select(*by, F.col("boundary").alias("_b")), by, "left")
+        right = F.col("x0") >= F.col("_b")
+        head = F.col("text").contains("Questão") | F.col("text").contains("QUESTÃO")
+        first = s.filter(right & head).groupBy(*by).agg(F.min("y").alias("_q"))
+        s = s.join(first, by, "left").withColumn("_part", F.when(~F.coalesce(right, F.lit(False)), 0).when(
+            F.col("y") < F.col("_q") - 10, 1).otherwise(2)).drop("_b", "_q")
+    lines = anchored_groups(s, [*by, "_part"], "y", tol, "x0").groupBy(*by, "_part", "anchor").agg(
+        _line_text(F.collect_list(F.struct("x0", "x1", "text"))).alias("_line"))
+    parts = _joined(lines, [*by, "_part"], "anchor", "_line", "\n", "_text")
+    # a blank line goes before the right column, a single break before the continuation
+    lead = F.when(F.col("_part") == 1, "\n").when(F.col("_part") == 2, "\n\n").otherwise("")
+    return _joined(parts.withColumn("_text", F.concat(lead, "_text")), by, "_part", "_text", "", "texto")

@@ -86,21 +86,20 @@ def canonicalize(df: DataFrame, col: str = "disciplina") -> DataFrame:
 
 
 def lookup_counts(nodes: DataFrame, counts: DataFrame, name: str, scope: list[str], prefix_tier: bool = True,
-                  exact_raw: bool = True, out: str = "count") -> DataFrame:
+                  raw: DataFrame | None = None, out: str = "count") -> DataFrame:
     """Count for each node name, by the first tier that answers: raw name, normalized name, same first word.
 
     ``counts`` holds (scope, ``key``, ``n``). Each tier is an equi-join on a relation with one row per key, so a
     tier never multiplies rows. The normalized tier takes the smallest raw key; the prefix tier adds all keys
-    that share the first word.
+    that share the first word. ``raw`` is the part of ``counts`` the first tier may use (one row per raw key).
     """
     c = counts.withColumn("_norm", normalize_name(F.col("key"))).withColumn("_first", first_word(F.col("_norm")))
     by_norm = c.groupBy(*scope, "_norm").agg(F.min_by("n", F.struct("key", "n")).alias("_n_norm"))
     by_first = c.groupBy(*scope, "_first").agg(F.sum("n").alias("_n_first")).filter("_first IS NOT NULL")
     res = nodes.withColumn("_norm", normalize_name(F.col(name))).withColumn("_first", first_word(F.col("_norm")))
     tiers = []
-    if exact_raw:
-        raw = counts.select(*scope, F.col("key").alias(name), F.col("n").alias("_n_raw"))
-        res = res.join(raw, [*scope, name], "left")
+    if raw is not None:
+        res = res.join(raw.select(*scope, F.col("key").alias(name), F.col("n").alias("_n_raw")), [*scope, name], "left")
         tiers.append(F.col("_n_raw"))
     res = res.join(by_norm, [*scope, "_norm"], "left")
     tiers.append(F.col("_n_norm"))

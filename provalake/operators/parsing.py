@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provalake.functions import parsing as P
+from provalake.functions.once import once
 from provalake.functions.text import clean_watermarks, not_blank, trim_all
 from provalake.operators.filters import incomplete, review_status, validation_alerts
 from provalake.operators.mutations import overlay
@@ -15,7 +16,7 @@ from provalake.operators.windows import next_value
 def segment_questions(docs: DataFrame, key: str = "doc_id", text: str = "full_text") -> DataFrame:
     """One row per question block: number, discipline, topic, header answer and block text."""
     return (
-        docs.withColumn("_style", P.header_style(F.col(text)))
+        once(docs.select(key, text), {"_style": P.header_style(F.col(text))})
         .select(key, F.posexplode(P.question_blocks(F.col(text), F.col("_style"))).alias("seq", "q"))
         .select(key, "seq", "q.*"))
 
@@ -23,16 +24,16 @@ def segment_questions(docs: DataFrame, key: str = "doc_id", text: str = "full_te
 def parse_blocks(segments: DataFrame) -> DataFrame:
     """Voided flag, answer, options, stem, alerts and review status of each block."""
     b = F.col("bloco")
-    out = segments.withColumns({
+    out = once(segments, {
         "anulada": P.block_voided(b), "gabarito": P.block_answer(b, F.col("gabarito_cabecalho")), "alternativas": P.block_options(b)})
-    out = out.withColumn("enunciado", P.block_stem(b, F.col("alternativas")))
+    out = once(out, {"enunciado": P.block_stem(b, F.col("alternativas"))})
     out = out.withColumn("alertas", validation_alerts(F.col("enunciado"), F.size("alternativas")))
     return out.withColumn("status_extracao", review_status(F.col("alertas"))).drop("bloco", "gabarito_cabecalho")
 
 
 def parse_parts(df: DataFrame, text: str) -> DataFrame:
-    out = df.withColumn("alternativas", P.content_options(F.col(text)))
-    return out.withColumn("enunciado", P.content_stem(F.col(text), F.col("alternativas")))
+    out = once(df, {"alternativas": P.content_options(F.col(text))})
+    return once(out, {"enunciado": P.content_stem(F.col(text), F.col("alternativas"))})
 
 
 def page_text(pages: DataFrame, by: str = "doc", max_pages: int = 10, marker: str = "PAGINA") -> DataFrame:
@@ -70,7 +71,8 @@ def orphan_content(questions: DataFrame, docs: DataFrame, key: str = "doc_id", t
     c = F.regexp_replace(c, r"(?iuU)T[ée]cnico\s+Universit[áa]rio\s*-?\s*\d*", "")
     c = F.regexp_replace(c, r"(?U)^\s*\d+\s+", "")
     c = trim_all(F.regexp_replace(c, r"(?U)\s+", " "))
-    return nxt.join(docs.select(key, text), key).select(key, "numero", c.alias("conteudo")).filter(F.length("conteudo") > min_chars)
+    found = once(nxt.join(docs.select(key, text), key), {"conteudo": c})
+    return found.select(key, "numero", "conteudo").filter(F.length("conteudo") > min_chars)
 
 
 def repair_incomplete(questions: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "full_text") -> DataFrame:
@@ -90,7 +92,7 @@ def detect_headers(docs: DataFrame, key: str = "doc_id", text: str = "full_text"
 
 
 def locate_questions(questions: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "full_text") -> DataFrame:
-    return questions.join(docs.select(key, text), key).withColumn("pos", P.question_position(F.col(text), F.col("numero"))).drop(text)
+    return once(questions.join(docs.select(key, text), key), {"pos": P.question_position(F.col(text), F.col("numero"))}).drop(text)
 
 
 def assign_disciplines(questions: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "full_text") -> DataFrame:
@@ -100,6 +102,6 @@ def assign_disciplines(questions: DataFrame, docs: DataFrame, key: str = "doc_id
     """
     d = docs.select(key, text, P.header_lines(F.col(text)).alias("_h"))
     pos = P.question_position(F.col(text), F.col("numero"))
-    out = questions.join(d, key).withColumn("_pos", pos)
+    out = once(questions.join(d, key), {"_pos": pos})
     found = F.try_element_at(F.filter("_h", lambda h: h["pos"] < F.col("_pos")), F.lit(-1))["disciplina"]
     return out.withColumn("disciplina", F.coalesce(found, F.col("disciplina"))).drop(text, "_h", "_pos")

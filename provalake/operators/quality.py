@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provalake.functions.once import once
 from provalake.functions.text import words
 
 
@@ -25,8 +26,8 @@ def word_quality(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text:
     Unknown words are counted once per document over its first ``sample`` words (all of them by default). Each
     (document, word) pair is made distinct inside the row before the join, so frequent words shuffle once per document.
     """
-    w = words(F.col(text))
-    base = docs.select(key, F.size(w).alias("word_count"), F.size(F.filter(w, lambda x: F.length(x) > 18)).alias("_long"),
+    w = F.col("_w")
+    base = once(docs.select(key, text), {"_w": words(F.col(text))}).select(key, F.size(w).alias("word_count"), F.size(F.filter(w, lambda x: F.length(x) > 18)).alias("_long"),
                        (F.slice(w, 1, sample) if sample else w).alias("_s"))
     tok = base.select(key, "word_count", "_long", F.size("_s").alias("_n"),
                       F.explode_outer(F.array_distinct(F.transform("_s", F.lower))).alias("word"))
@@ -39,7 +40,7 @@ def word_quality(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id", text:
     lng = F.when(short, 0.0).otherwise(F.round(F.col("_long") / F.greatest("word_count", F.lit(1)), 4))
     val = F.when(short, 0.0).otherwise(F.round(1 - F.col("_unknown") / F.greatest("_n", F.lit(1)), 4))
     out = per.select(key, "word_count", err.alias("spell_error_rate"), lng.alias("long_word_ratio"), val.alias("valid_word_ratio"))
-    out = out.withColumn("score", F.round(quality_score(F.col("spell_error_rate"), F.col("long_word_ratio"),
-                                                        F.col("valid_word_ratio"), F.col("word_count")), 6))
+    out = out.withColumn("score", quality_score(F.col("spell_error_rate"), F.col("long_word_ratio"),
+                                                F.col("valid_word_ratio"), F.col("word_count")))
     return out.withColumns({"needs_correction": (F.col("score") < 0.80) | (F.col("long_word_ratio") > 0.05),
                             "needs_vision": F.col("score") < 0.75})

@@ -102,7 +102,7 @@ def _walk(values: np.ndarray, start: int, nxt: np.ndarray) -> list[int]:
     return out
 
 
-def anchored_groups(df: DataFrame, by: str, value: str, tol: float, tiebreak: str, partitions: int | None = None) -> DataFrame:
+def anchored_groups(df: DataFrame, by: list[str], value: str, tol: float, tiebreak: str, partitions: int | None = None) -> DataFrame:
     """Adds ``anchor``: the value that opened the row's group. A new group opens at the first value more than
     ``tol`` above the current anchor (not above the previous row).
 
@@ -110,52 +110,60 @@ def anchored_groups(df: DataFrame, by: str, value: str, tol: float, tiebreak: st
     (1) each slice reports, for every value that could open its first own group, the anchor in force at its end;
     (2) these small reports are chained per key; (3) each slice assigns its rows from its entry anchor.
     """
-    base = sliced(df.withColumn("_x", F.col(value).cast("double")), [by], [value, tiebreak], partitions)
-    key_type = df.schema[by].dataType.simpleString()
-    slim = base.select(by, SLICE, "_x").filter("_x IS NOT NULL").distinct()
+    base = sliced(df.withColumn("_x", F.col(value).cast("double")), by, [value, tiebreak], partitions)
+    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    slim = base.select(*by, SLICE, "_x").filter("_x IS NOT NULL").distinct()
+    # keys that go over a slice border: fewer than there are slices
+    spread = slim.select(*by, SLICE).distinct().groupBy(*by).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    split = slim.join(F.broadcast(spread), by, "left_semi")
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.unique(pdf["_x"].to_numpy())
-        nxt = _next_anchor(v, tol)
-        end = np.arange(len(v))
-        for i in range(len(v) - 1, -1, -1):  # anchor in force at the slice's end when v[i] opens a group
-            if nxt[i] < len(v):
-                end[i] = end[nxt[i]]
-        n = min(len(v), int(np.searchsorted(v, v[0] + tol, side="right")) + 1)
-        return pd.DataFrame({by: pdf[by].iloc[0], SLICE: pdf[SLICE].iloc[0], "open": v[:n], "leave": v[end[:n]]})
-
-    reports = slim.groupBy(by, SLICE).applyInPandas(report, f"{by} {key_type}, {SLICE} int, open double, leave double")
+        out = []
+        for key, g in pdf.groupby(by, dropna=False, sort=False):
+            v = np.sort(g["_x"].to_numpy())
+            nxt = _next_anchor(v, tol)
+            end = np.arange(len(v))
+            for i in range(len(v) - 1, -1, -1):  # anchor in force at the slice's end when v[i] opens a group
+                if nxt[i] < len(v):
+                    end[i] = end[nxt[i]]
+            n = min(len(v), int(np.searchsorted(v, v[0] + tol, side="right")) + 1)
+            out.append(pd.DataFrame({**dict(zip(by, key)), SLICE: pdf[SLICE].iloc[0], "open": v[:n], "leave": v[end[:n]]}))
+        return pd.concat(out)
+
+    reports = split.groupBy(SLICE).applyInPandas(report, f"{keys}, {SLICE} int, open double, leave double")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, anchor = [], None
+        key = {c: pdf[c].iloc[0] for c in by}
         for part, g in pdf.sort_values([SLICE, "open"]).groupby(SLICE, sort=True):
-            rows.append((pdf[by].iloc[0], part, anchor))
+            rows.append({**key, SLICE: part, "entry": anchor})
             opens = g["open"].to_numpy()
             at = 0 if anchor is None else int(np.searchsorted(opens, anchor + tol, side="right"))
             if at < len(opens):
                 anchor = float(g["leave"].to_numpy()[at])
-        return pd.DataFrame(rows, columns=[by, SLICE, "entry"])
+        return pd.DataFrame(rows, columns=[*by, SLICE, "entry"])
 
-    entries = reports.groupBy(by).applyInPandas(chain, f"{by} {key_type}, {SLICE} int, entry double")
+    entries = reports.groupBy(*by).applyInPandas(chain, f"{keys}, {SLICE} int, entry double")
 
     def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame(columns=[by, SLICE, "_x", "anchor"])
-        v = np.sort(left["_x"].to_numpy())
-        entry = right["entry"].iloc[0] if len(right) and pd.notna(right["entry"].iloc[0]) else None
-        first = 0 if entry is None else int(np.searchsorted(v, entry + tol, side="right"))
-        opens = v[_walk(v, first, _next_anchor(v, tol))]
-        starts = opens if entry is None else np.concatenate([[entry], opens])
-        anchor = starts[np.searchsorted(starts, v, side="right") - 1]
-        return pd.DataFrame({by: left[by].iloc[0], SLICE: left[SLICE].iloc[0], "_x": v, "anchor": anchor})
-
-    anchors = slim.groupBy(by, SLICE).cogroup(entries.groupBy(by, SLICE)).applyInPandas(
-        assign, f"{by} {key_type}, {SLICE} int, _x double, anchor double")
-    return base.join(anchors, [by, SLICE, "_x"], "left").drop(SLICE, "_x")
+        known = {tuple(r[:-1]): r[-1] for r in right[[*by, "entry"]].itertuples(index=False) if pd.notna(r[-1])}
+        left = left.sort_values("_x", kind="stable").reset_index(drop=True)
+        anchor = np.empty(len(left))
+        for key, rows in left.groupby(by, dropna=False, sort=False).indices.items():
+            v = left["_x"].to_numpy()[rows]
+            entry = known.get(key if isinstance(key, tuple) else (key,))
+            first = 0 if entry is None else int(np.searchsorted(v, entry + tol, side="right"))
+            opens = v[_walk(v, first, _next_anchor(v, tol))]
+            starts = opens if entry is None else np.concatenate([[entry], opens])
+            anchor[rows] = starts[np.searchsorted(starts, v, side="right") - 1]
+        return left[[*by, SLICE, "_x"]].assign(anchor=anchor)
+
+    anchors = slim.groupBy(SLICE).cogroup(entries.groupBy(SLICE)).applyInPandas(assign, f"{keys}, {SLICE} int, _x double, anchor double")
+    return base.join(anchors, [*by, SLICE, "_x"], "left").drop(SLICE, "_x")
 
 
 def anchored_minute(events: DataFrame, seconds: float = 60.0) -> DataFrame:
     """Requests and tokens per provider and anchored minute: a window opens at the first event after the last one expired."""
     e = events.withColumn("_s", F.unix_micros(F.col("ts").cast("timestamp")))
-    g = anchored_groups(e, "provider", "_s", seconds * 1e6, "event_id")
+    g = anchored_groups(e, ["provider"], "_s", seconds * 1e6, "event_id")
     return g.groupBy("provider", "anchor").agg(F.count("*").alias("requests"), F.sum("tokens_used").alias("tokens"))

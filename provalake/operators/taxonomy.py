@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provalake import schemas
+from provalake.functions.once import let
 from provalake.functions.text import normalize_discipline, normalize_name, not_blank
 from provalake.operators.matching import lookup_counts
+from provalake.session import cut_lineage
 
 MAX_DEPTH = 8
 _NODE = ("struct<node_path:array<int>,depth:int,disciplina:string,item_id:string,texto:string,full_path:string,"
@@ -43,22 +45,27 @@ def _empty() -> Column:
     return F.array().cast(f"array<{_NODE}>")
 
 
-def _items(items: Column, path: Column, depth: int, disc: Column, parent: Column, levels: int) -> Column:
-    """Nodes of one item list and everything below it."""
+def _items(items: Column, at: Column, depth: int, disc: Column, levels: int) -> Column:
+    """Nodes of one item list and everything below it. ``at`` holds the path and full name of the parent, bound once
+    per node so that the expression grows with the depth only."""
 
     def one(item: Column, i: Column) -> Column:
         text = F.coalesce(not_blank(item["texto"]), item["id"], F.lit(""))
         item_id = F.coalesce(not_blank(item["id"]), F.concat(F.lit("item-"), i.cast("string")))
-        here = F.concat(path, F.array(i))
-        full = F.when(parent == "", text).otherwise(F.concat(parent, F.lit(" > "), text))
-        own = F.array(_node(here, depth, disc, item_id, text, full, parent))
-        if levels > 1:
-            below = _items(item["filhos"], here, depth + 1, disc, full, levels - 1)
-        else:  # children beyond the declared depth: stop loudly, never drop them
-            below = F.when(
+        here = F.struct(F.concat(at["path"], F.array(i)).alias("path"), text.alias("text"), item_id.alias("id"),
+                        F.when(at["full"] == "", text).otherwise(F.concat(at["full"], F.lit(" > "), text)).alias("full"))
+
+        def expand(me: Column) -> Column:
+            own = F.array(_node(me["path"], depth, disc, me["id"], me["text"], me["full"], at["full"]))
+            if levels > 1:
+                return F.concat(own, _items(item["filhos"], me, depth + 1, disc, levels - 1))
+            # children beyond the declared depth: stop loudly, never drop them
+            deeper = F.when(
                 F.coalesce(item["filhos"], F.lit("[]")).rlike(r"^\s*(\[\s*\])?\s*$"), _empty()
             ).otherwise(F.raise_error(F.lit("syllabus is deeper than max_depth")).cast(f"array<{_NODE}>"))
-        return F.concat(own, below)
+            return F.concat(own, deeper)
+
+        return let(here, expand)
 
     return F.coalesce(F.flatten(F.transform(items, one)), _empty())
 
@@ -92,7 +99,7 @@ def flatten_taxonomy(syllabi: DataFrame, key: str = "edital_id", col: str = "tax
         own = F.array(_node(path, 0, name, F.concat(F.lit("disciplina-"), i.cast("string")), name, name,
                             F.lit(None).cast("string")))
         nested = F.coalesce(F.size(d["itens"]) > 0, F.lit(False))
-        nodes = F.concat(own, F.when(nested, _items(d["itens"], path, 1, name, name, max_depth)).otherwise(
+        nodes = F.concat(own, F.when(nested, _items(d["itens"], F.struct(path.alias("path"), name.alias("full")), 1, name, max_depth)).otherwise(
             _legacy(d["assuntos"], path, name)))
         return F.struct(F.when(nested, "nested").otherwise("legacy").alias("shape"), nodes.alias("_nodes"))
 
@@ -123,16 +130,16 @@ def incidence_tree(nodes: DataFrame, links: DataFrame, disc_counts: DataFrame, t
     already aggregated. With ``scoped`` the older topic and subtopic levels are looked up too; by default they are
     zero. All look-ups are equi-joins on (project, name).
     """
-    n = links.join(nodes, key)
-    top = lookup_counts(n.filter("depth = 0"), disc_counts.select(project, F.col("disciplina").alias("key"), "n"),
-                        "texto", [project])
-    topics = topic_counts.select(project, normalize_name(F.col("disciplina")).alias("_disc"), F.col("assunto").alias("key"), "n")
-    # spellings of one discipline share a scope: keep the smallest spelling per raw topic, as the tiers expect
-    searchable = F.lit(True) if scoped else (F.col("shape") == "nested") | (F.col("depth") == 1)
-    low = n.filter("depth > 0").withColumn("_disc", normalize_name(F.col("disciplina")))
-    found = lookup_counts(low, topics, "texto", [project, "_disc"], exact_raw=False)
-    found = found.withColumn("count", F.when(searchable, F.col("count")).otherwise(F.lit(0).cast("long"))).drop("_disc")
-    return top.unionByName(found.select(*top.columns))
+    n = links.join(nodes, key).withColumn("_scope", F.when(F.col("depth") == 0, F.lit("d")).otherwise(
+        F.concat(F.lit("t:"), normalize_name(F.col("disciplina")))))
+    top = disc_counts.select(project, F.lit("d").alias("_scope"), F.col("disciplina").alias("key"), "n")
+    topics = topic_counts.select(project, F.concat(F.lit("t:"), normalize_name(F.col("disciplina"))).alias("_scope"),
+                                 F.col("assunto").alias("key"), "n")
+    found = lookup_counts(n, top.unionByName(topics), "texto", [project, "_scope"], raw=top)
+    if not scoped:
+        looked_up = (F.col("shape") == "nested") | (F.col("depth") <= 1)
+        found = found.withColumn("count", F.when(looked_up, F.col("count")).otherwise(F.lit(0).cast("long")))
+    return found.drop("_scope")
 
 
 def nest_tree(rows: DataFrame, key: list[str], max_depth: int = 6) -> DataFrame:
@@ -141,7 +148,7 @@ def nest_tree(rows: DataFrame, key: list[str], max_depth: int = 6) -> DataFrame:
     Children are collected per parent node, which a syllabus document bounds.
     """
     fields = ["item_id", "texto", "count"]
-    level = rows.filter(F.col("depth") >= max_depth)
+    rows = cut_lineage(rows.select(*key, "node_path", "depth", *fields))  # read once per level
     below = None
     for depth in range(max_depth, -1, -1):
         level = rows.filter(F.col("depth") == depth).select(

@@ -36,7 +36,7 @@ def scan_classifications_json(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_dir(spark: SparkSession, path: str, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """Read every exam file below a folder. A file that does not parse becomes an error row, never a failure."""
-    schema = StructType(schemas.QUESTION_FILE.fields).add("_corrupt", "string")
+    schema = StructType(list(schemas.QUESTION_FILE.fields)).add("_corrupt", "string")
     files = (
         spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
         .text(path)

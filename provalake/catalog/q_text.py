@@ -47,7 +47,7 @@ def canon_sql():
     return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in C.CANONICAL_DISCIPLINES.items()) + ") t(k, v)"
 
 
-TITLE = r"array_to_string(list_transform(regexp_extract_all({0}, '\pL+|\PL+'), lambda w: replace(upper(w[1]), 'ß', 'Ss') || lower(w[2:])), '')"
+TITLE = r"array_to_string(list_transform(regexp_extract_all({0}, '\pL+|\PL+'), lambda w: replace(upper(w[1]), 'ẞ', 'Ss') || lower(w[2:])), '')"
 RAW_NAMES = """SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 'PORTUGUÊS.' WHEN 2 THEN ' raciocínio lógico' WHEN 3 THEN 'Redação' WHEN 4 THEN 'noções de legislação;' WHEN 5 THEN lower(d) ELSE concat(d, ' ', p_name) END AS raw
  FROM (SELECT l_orderkey, l_linenumber, p_name, """ + """CASE WHEN p_type='STANDARD' THEN 'Português' WHEN p_type='PROMO' THEN 'LÍNGUA PORTUGUESA' WHEN p_type='SMALL' THEN 'Matemática'
  WHEN p_type='LARGE' THEN 'Raciocínio Lógico' WHEN p_type='ECONOMY' THEN 'Legislação Básica' ELSE 'Inglês' END AS d FROM lineitem JOIN part ON l_partkey = p_partkey)"""

@@ -60,21 +60,49 @@ def text_variant(kind: str, stem: Column, options: Column, answer: Column) -> Co
 
 def similar_to(targets: DataFrame, vecs: DataFrame, threshold: float = 0.75, k: int = 10, metric: str = "cosine",
                max_targets: int = 1000) -> DataFrame:
-    """Top ``k`` vectors at or above ``threshold`` for each target, never the target itself.
+    """Top ``k`` vectors for each target, never the target itself: by cosine at or above ``threshold``, or nearest by
+    ``l2`` or ``cosine_distance`` or largest by ``inner`` product.
 
-    Targets are broadcast, so their number is checked first and larger sets are refused: use ``similar_pairs`` then.
-    Every map task keeps ``k`` rows per target, hence the shuffle is small whatever the size of ``vecs``.
+    Targets go to every task, so their number is checked first and larger sets are refused (``similar_pairs`` has no
+    such limit). A task multiplies its batches with the target matrix and keeps ``k`` rows per target and batch.
     """
-    if targets.limit(max_targets + 1).count() > max_targets:
+    head = targets.select("id", "embedding").limit(max_targets + 1).collect()
+    if len(head) > max_targets:
         raise ValueError(f"more than {max_targets} targets; use similar_pairs")
-    t = F.broadcast(targets.select(F.col("id").alias("target"), F.col("embedding").alias("_t")))
-    scored = vecs.join(t, F.col("id") != F.col("target")).withColumn("_s", (
-        V.cosine(F.col("embedding"), F.col("_t")) if metric == "cosine" else V.distance(F.col("embedding"), F.col("_t"), metric)))
-    if metric == "cosine":
-        scored = scored.filter(F.col("_s") >= threshold)
-    order = F.desc("_s") if metric == "cosine" else F.asc("_s")
-    top = top_per_group(scored.select("target", "id", "_s"), ["target"], [order, F.col("id")], k, rank="rank")
-    return top.select("target", "id", F.round("_s", 6).alias("score"), "rank")
+    if metric not in ("cosine", "cosine_distance", "l2", "inner"):
+        raise ValueError(f"unknown metric {metric}")
+    names = [r[0] for r in head]
+    t = np.array([r[1] for r in head], dtype=np.float64).reshape(len(head), -1)
+    id_type = vecs.schema["id"].dataType.simpleString()
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size_t = np.linalg.norm(t, axis=1)
+        for pdf in batches:
+            if pdf.empty or not names:
+                continue
+            x, ids = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["id"].to_numpy()
+            dots = x @ t.T
+            if metric == "inner":
+                s = dots
+            elif metric == "l2":
+                s = -np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (size_t ** 2)[None, :] - 2 * dots))
+            else:
+                size = np.linalg.norm(x, axis=1)[:, None] * size_t[None, :]
+                s = np.where(size == 0, 0.0, dots / np.where(size == 0, 1, size))
+            for j, name in enumerate(names):
+                ok = ids != name
+                if metric == "cosine":
+                    ok &= s[:, j] >= threshold
+                pos = np.nonzero(ok)[0]
+                best = pos[np.lexsort((ids[pos], -s[pos, j]))[:k]]
+                if len(best):
+                    yield pd.DataFrame({"target": name, "id": ids[best], "score": s[best, j]})
+
+    found = vecs.select("id", "embedding").mapInPandas(score, f"target {id_type}, id {id_type}, score double")
+    top = top_per_group(found, ["target"], [F.desc("score"), F.col("id")], k, rank="rank")
+    value = F.col("score")
+    shown = {"l2": -value, "cosine_distance": 1 - value}.get(metric, value)
+    return top.select("target", "id", F.round(shown, 6).alias("score"), "rank")
 
 
 def distinct_vectors(vecs: DataFrame) -> DataFrame:

@@ -20,11 +20,11 @@ from provalake.operators import quality as Q
 from provalake.operators import taxonomy as T
 from provalake.plans import incidence as I
 from provalake.sources import adapters as A
-from provalake.sources.tables import scan
+from provalake.sources.tables import scan, spread
 
 
 def docs(spark, sf):
-    return scan(spark, sf, "documents")
+    return spread(scan(spark, sf, "documents"), "doc_id")
 
 
 @query("strip_accents", "SELECT doc_id, md5(strip_accents(text)) AS h FROM documents")

@@ -16,7 +16,7 @@ from provalake.plans import jobs as JB
 from provalake.plans import report as R
 from provalake.session import scratch_dir
 from provalake.sources import adapters as A
-from provalake.sources.tables import scan
+from provalake.sources.tables import scan, spread
 from provalake.streaming import ingest as SI
 from provalake.streaming import quota as SQ
 from provalake.streaming import status as SS
@@ -78,7 +78,7 @@ def knn_distance(spark, sf):
 
 @query("embed_text")
 def embed_text(spark, sf):
-    out = V.embed(scan(spark, sf, "documents").select("doc_id", "text"), "text")
+    out = V.embed(spread(scan(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "text")
     return out.select("doc_id", F.round(VF.norm(F.col("embedding")), 4).alias("norma"), F.size("embedding").alias("dim"))
 
 
@@ -322,7 +322,7 @@ def job_incidence(spark, sf):
 
 @query("job_vectorize")
 def job_vectorize(spark, sf):
-    q = scan(spark, sf, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("questao_id"), "text")
+    q = spread(scan(spark, sf, "conversations"), "conv_id", "turn").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("questao_id"), "text")
     out = JB.vectorize(q, F.col("text"), threshold=0.9)
     return out["pairs"].select("id_1", "id_2", F.round("score", 4).alias("score"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provalake import constants as C
+from provalake.functions.once import once
 from provalake.functions.text import canonical_discipline, first_word, normalize_discipline, normalize_name, not_blank
 
 
@@ -29,6 +30,13 @@ def matches_any(name: Column, syllabus: Column) -> Column:
     )
 
 
+def match_flag(discipline: Column, syllabus: Column) -> Column:
+    """Keep a question? All of them where the syllabus names nothing, else those whose discipline matches."""
+    raw = not_blank(discipline)
+    hit = F.coalesce(matches_any(normalize_discipline(raw), syllabus), F.lit(False))
+    return F.when(F.coalesce(F.size(syllabus), F.lit(0)) == 0, True).when(raw.isNull(), False).otherwise(hit)
+
+
 def match_relation(disciplines: DataFrame, syllabi: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, disciplina, match) for every distinct discipline of a scope.
 
@@ -37,10 +45,7 @@ def match_relation(disciplines: DataFrame, syllabi: DataFrame, scope: list[str])
     """
     names = disciplines.select(*scope, "disciplina").distinct()
     out = names.join(syllabi.select(*scope, "nomes"), scope, "left")
-    raw = not_blank(F.col("disciplina"))
-    no_syllabus = F.coalesce(F.size("nomes"), F.lit(0)) == 0
-    hit = F.coalesce(matches_any(normalize_discipline(raw), F.col("nomes")), F.lit(False))
-    return out.select(*scope, "disciplina", F.when(no_syllabus, True).when(raw.isNull(), False).otherwise(hit).alias("match"))
+    return out.select(*scope, "disciplina", match_flag(F.col("disciplina"), F.col("nomes")).alias("match"))
 
 
 def match_disciplines(questions: DataFrame, syllabi: DataFrame, scope: list[str]) -> DataFrame:
@@ -63,10 +68,10 @@ def removed(questions: DataFrame, syllabi: DataFrame, scope: list[str]) -> DataF
 
 
 def filter_stats(questions: DataFrame, syllabi: DataFrame, scope: list[str]) -> DataFrame:
-    """Per scope: rows before, kept, removed, and removed rows by discipline."""
-    flagged = match_disciplines(questions, syllabi, scope)
+    """Per scope: rows before, kept, removed, and removed rows by discipline. Names are counted first, then matched."""
     label = F.coalesce(not_blank(F.col("disciplina")), F.lit(C.NO_DISCIPLINE))
-    per_name = flagged.groupBy(*scope, label.alias("d"), "match").agg(F.count("*").alias("n"))
+    named = questions.groupBy(*scope, "disciplina").agg(F.count("*").alias("n")).join(syllabi.select(*scope, "nomes"), scope, "left")
+    per_name = once(named, {"match": match_flag(F.col("disciplina"), F.col("nomes"))}).groupBy(*scope, label.alias("d"), "match").agg(F.sum("n").alias("n"))
     gone = F.struct("d", "n")
     return per_name.groupBy(*scope).agg(
         F.sum("n").alias("total_original"), F.coalesce(F.sum(F.when(F.col("match"), F.col("n"))), F.lit(0)).alias("total_filtrado"),

@@ -19,26 +19,29 @@ MAX_PIVOTS = 2048
 CELL_ROWS = 2048
 
 
-def hashed_ngrams(texts: pd.Series, dim: int = 256) -> np.ndarray:
-    """Offline stand-in for an embedding model: hashed words and character trigrams, unit length."""
-    from xxhash import xxh32_intdigest
+def hashed_features(df: DataFrame, col: str, out: str = "embedding", dim: int = 256) -> DataFrame:
+    """Offline stand-in for an embedding model: hashed words and letter trigrams, unit length, all in the JVM."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
 
-    out = np.zeros((len(texts), dim), dtype=np.float32)
-    for row, text in enumerate(texts.fillna("").str.lower()):
-        grams = text.split() + [text[i:i + 3] for i in range(len(text) - 2)]
-        idx = [xxh32_intdigest(g) % dim for g in grams]
-        np.add.at(out[row], idx, 1.0)
-    size = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(size == 0, 1, size)
+    tokens = F.filter(F.split(F.lower(F.coalesce(col, F.lit(""))), r"\s+"), lambda w: w != "")
+    grams = F.flatten(F.transform(tokens, lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: w.substr(i, F.lit(3)))))
+    counted = HashingTF(numFeatures=dim, inputCol="_grams", outputCol="_tf").transform(df.withColumn("_grams", F.concat(tokens, grams)))
+    unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)
+    return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_grams", "_tf", "_unit")
 
 
 def embed(df: DataFrame, col: str, make: Callable[[], Callable[[pd.Series], np.ndarray]] | None = None, out: str = "embedding",
           batch_size: int = 32) -> DataFrame:
-    """Adds a vector per text. ``make`` builds the model once per task; it is called on ``batch_size`` texts at a time."""
+    """Adds a vector per text. ``make`` builds the model once per task and is called on ``batch_size`` texts at a time;
+    without it hashed features stand in."""
+    if make is None:
+        return hashed_features(df, col, out)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = make() if make else hashed_ngrams
+        model = make()
         for texts in batches:
             parts = [model(texts.iloc[i:i + batch_size]) for i in range(0, len(texts), batch_size)]
             yield pd.Series([list(map(float, v)) for p in parts for v in p], index=texts.index)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from provalake.functions.once import once
 from provalake.functions.scoring import confidence
+from provalake.functions.text import normalize_discipline
 from provalake.operators import aggregates as G
 from provalake.operators import filters as X
 from provalake.operators import findings as FD
@@ -33,9 +34,10 @@ def extract(docs: DataFrame, syllabi: DataFrame, scope: list[str], key: str = "d
     names = docs.select(key, *[c for c in scope if c != key]).join(syllabi, scope, "left")
     q = X.drop_essays(q.join(names, key, "left"))
     q = once(q, {"_s": confidence(F.col("enunciado"), F.col("alternativas"), F.col("gabarito"), F.col("disciplina"), F.col("numero"), F.col("nomes"))})
-    q = q.withColumns({"confianca_score": F.col("_s.score"), "nivel": F.col("_s.nivel")}).drop("_s", "nomes")
+    q = q.withColumns({"confianca_score": F.col("_s.score"), "nivel": F.col("_s.nivel")}).drop("_s")
     best = W.dedupe_most_complete(q, W.completeness(F.size("alternativas"), F.col("enunciado")), F.col("seq"), [key, "numero"])
-    kept = N.kept(best, syllabi, scope)
+    # the names are on the row already: testing here keeps the parsing to one pass
+    kept = best.filter(N.match_flag(F.col("disciplina"), F.transform(F.coalesce("nomes", F.array().cast("array<string>")), normalize_discipline))).drop("nomes")
     return kept, G.exam_rollup(kept.withColumnRenamed(key, "prova_id"))
 
 

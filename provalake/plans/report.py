@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provalake.functions.text import format_pct, priority, study_hours
 from provalake.operators.windows import top_per_group
+from provalake.session import cut_lineage
 
 RULE = "\n---\n\n"
 
@@ -44,7 +45,7 @@ def _lines(df: DataFrame, order: list[str], text, out: str) -> DataFrame:
 
 def markdown(labels: DataFrame, questions: DataFrame, pairs: DataFrame | None = None, stamp=None) -> DataFrame:
     """R6: one Markdown text per discipline from R1..R5. ``pairs`` holds (disciplina, id_1, id_2, score)."""
-    shares = topic_shares(labels, questions)
+    shares = cut_lineage(topic_shares(labels, questions))  # one row per topic, read by four sections
     pct = format_pct(F.col("pct"))
     r1 = _lines(shares, ["posicao"], F.concat(F.lit("- **"), "assunto", F.lit(":** "), F.col("n").cast("string"), F.lit(" questões ("), pct, F.lit(")\n")), "_r1")
     samples = sample_questions(shares, labels, questions)

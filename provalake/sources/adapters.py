@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provalake.sources.tables import scan
+from provalake.sources.tables import scan, spread
 
 
 def discipline_of(p_type):
@@ -108,7 +108,7 @@ def editais(spark: SparkSession, root: str) -> DataFrame:
     key = F.col("p_partkey")
     doc = F.when(key % 10 == 0, F.lit('{"disciplinas":[]}')).when(key % 10 == 5, F.lit(None).cast("string")).when(
         key % 3 == 0, legacy).otherwise(nested)
-    return scan(spark, root, "part").select(
+    return spread(scan(spark, root, "part"), "p_partkey").select(
         key.alias("edital_id"), name.alias("nome"), brand.alias("banca"),
         (F.lit(2000) + F.col("p_size")).cast("int").alias("ano"), doc.alias("taxonomia"),
     )
@@ -160,7 +160,7 @@ def exam_text(spark: SparkSession, root: str) -> DataFrame:
                       F.lit("Informática\nQuestão 02\n"), two, voided, F.lit("\nA) sim\nB) não\nResposta: B"))
     legacy = F.concat(F.lit("1. [Português - Sintaxe] "), one, options, F.lit("Resposta: D\n2. [Informática] "), two,
                       voided, F.lit("\nA) sim\nB) não\nResposta: B"))
-    return scan(spark, root, "documents").select(
+    return spread(scan(spark, root, "documents"), "doc_id").select(
         "doc_id", F.when(F.col("doc_id") % 3 == 0, legacy).otherwise(marked).alias("full_text"))
 
 
@@ -189,7 +189,8 @@ def digests(spark: SparkSession, root: str) -> DataFrame:
         F.lit('],"questions_analysis":[{"id":"a","difficulty":"'), level, F.lit('","has_trap":'), trap,
         F.lit('},{"id":"b"}]}'),
     )
-    return scan(spark, root, "lineitem").select(
+    lines = spread(scan(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey", "l_partkey")
+    return lines.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), n.cast("string"), F.col("l_partkey").cast("string"),
                     F.col("l_suppkey").cast("string")).alias("chunk_id"),
         F.col("l_orderkey").alias("job_id"), body.alias("response"),

@@ -17,6 +17,15 @@ def scan(spark: SparkSession, root: str, name: str, where: Column | None = None,
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores, for work that costs far more per row than moving the row.
+
+    Only a table read in fewer partitions than there are cores is moved, so a large table never is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def scan_questions_json(spark: SparkSession, path: str) -> DataFrame:
     """Exam files ``{metadados, questoes: [...]}`` as one row per question, in file order."""
     files = spark.read.schema(schemas.QUESTION_FILE).option("multiLine", True).json(path)

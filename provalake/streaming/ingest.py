@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from provalake.functions.once import once
 from provalake.functions.scoring import confidence
 from provalake.operators import aggregates, windows
 from provalake.operators.parsing import parse_blocks, segment_questions
+from provalake.sources.tables import spread
 
 
 def read_exam_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
@@ -19,9 +21,9 @@ def read_exam_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> D
 
 def scored_questions(docs: DataFrame, key: str = "prova_id") -> DataFrame:
     """Parsed questions with their score. Stateless, so it runs the same on a stream and on a batch."""
-    q = parse_blocks(segment_questions(docs, key))
+    q = parse_blocks(segment_questions(docs if docs.isStreaming else spread(docs, key), key))
     s = confidence(F.col("enunciado"), F.col("alternativas"), F.col("gabarito"), F.col("disciplina"), F.col("numero"))
-    return q.withColumn("_s", s).withColumns({"score": F.col("_s.score"), "nivel": F.col("_s.nivel")}).drop("_s")
+    return once(q, {"_s": s}).withColumns({"score": F.col("_s.score"), "nivel": F.col("_s.nivel")}).drop("_s")
 
 
 def best_per_number(questions: DataFrame, key: str = "prova_id") -> DataFrame:
@@ -35,9 +37,10 @@ def start_ingest(docs: DataFrame, out: str, checkpoint: str, key: str = "prova_i
 
     def write(batch: DataFrame, batch_id: int) -> None:
         q = best_per_number(scored_questions(batch, key), key)
-        status = aggregates.exam_status(batch.select(F.col(key).alias("prova_id")).distinct(),
-                                        q.withColumnRenamed(key, "prova_id") if key != "prova_id" else q)
         q.drop("alertas").withColumn("lote", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/questoes/batch={batch_id}")
+        # statuses come from the table just written, so the texts are parsed once
+        done = batch.sparkSession.read.parquet(f"{out}/questoes/batch={batch_id}").withColumnRenamed(key, "prova_id")
+        status = aggregates.exam_status(batch.select(F.col(key).alias("prova_id")).distinct(), done)
         status.withColumn("lote", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/provas/batch={batch_id}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -37,7 +37,11 @@ QUESTION_ENDS = [r'"motivo_anulacao"\s*:\s*(?:null|"[^"]*")\s*\}', r'"anulada"\s
                  r'"gabarito"\s*:\s*"[A-E]"\s*\}']
 ITEM_ENDS = [r'"filhos"\s*:\s*\[\s*\]\s*\}']
 
-_OUTSIDE = re.compile(r'"(?:[^"\\]|\\.)*"?', re.S)
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"?', re.S)
+
+
+def _blank_strings(text: str) -> str:
+    return _STRING.sub(lambda m: " " * len(m.group(0)), text)
 
 
 def _last_end(text: str, patterns: list[str]) -> int:
@@ -45,7 +49,8 @@ def _last_end(text: str, patterns: list[str]) -> int:
 
 
 def _close(text: str, pairs_first: bool) -> str:
-    braces, brackets = text.count("{") - text.count("}"), text.count("[") - text.count("]")
+    bare = _blank_strings(text)
+    braces, brackets = bare.count("{") - bare.count("}"), bare.count("[") - bare.count("]")
     if not pairs_first:
         return text + "]" * brackets + "}" * braces
     pairs = max(0, min(braces, brackets))
@@ -59,7 +64,7 @@ def _cut_and_close(text: str | None, syllabus: bool) -> str | None:
     text = text[text.index("{"):]
     end = _last_end(text, ITEM_ENDS if syllabus else QUESTION_ENDS)
     if end <= 0:  # last bracket that closes outside any string
-        blank = _OUTSIDE.sub(lambda m: " " * len(m.group(0)), text)
+        blank = _blank_strings(text)
         end = max(blank.rfind("}"), -1 if syllabus else blank.rfind("]")) + 1
     if end <= 0:
         return None

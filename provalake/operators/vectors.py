@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provalake.functions import vector as V
@@ -227,8 +227,12 @@ def expand_pairs_top(best: DataFrame, few: DataFrame, k: int) -> DataFrame:
     a = few.select(F.col("rep").alias("id_1"), F.col("id").alias("_a"))
     b = few.select(F.col("rep").alias("id_2"), F.col("id").alias("_b"))
     across = best.join(a, "id_1").join(b, "id_2").select(F.least("_a", "_b").alias("id_1"), F.greatest("_a", "_b").alias("id_2"), "score")
-    first = few.groupBy("rep").agg(F.min("id").alias("id_1"))  # in a group of copies the first k pairs all start at its smallest id
-    within = few.join(first, "rep").filter("id > id_1").select("id_1", F.col("id").alias("id_2"), F.lit(1.0).alias("score"))
+    # at most k + 1 ids per group of copies; ids of a group too large to matter in full pair up with its first id only
+    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("id")))
+    x = ranked.select("rep", F.col("id").alias("id_1"), F.col("_r").alias("_r1"))
+    y = ranked.select("rep", F.col("id").alias("id_2"), F.col("_r").alias("_r2"), F.max("_r").over(Window.partitionBy("rep")).alias("_m"))
+    within = x.join(y, "rep").filter((F.col("_r1") < F.col("_r2")) & ((F.col("_m") <= k) | (F.col("_r1") == 1))).select(
+        "id_1", "id_2", F.lit(1.0).alias("score"))
     return across.unionByName(within).orderBy(F.desc("score"), "id_1", "id_2").limit(k)
 
 

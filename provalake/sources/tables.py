@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from provalake import schemas
+from provalake.functions.once import once
 
 
 def scan(spark: SparkSession, root: str, name: str, where: Column | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -47,11 +48,11 @@ def scan_dir(spark: SparkSession, path: str, pattern: str = "*.json") -> tuple[D
     """Read every exam file below a folder. A file that does not parse becomes an error row, never a failure."""
     schema = StructType(list(schemas.QUESTION_FILE.fields)).add("_corrupt", "string")
     files = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-        .text(path)
+        spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("arquivo"), F.col("value"))
-        .withColumn("doc", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     )
+    files = once(files, {"doc": F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})})
     bad = F.col("doc._corrupt").isNotNull() | F.col("doc.questoes").isNull()
     good = files.filter(~bad).select("arquivo", F.posexplode("doc.questoes").alias("seq", "q")).select("arquivo", "seq", "q.*")
     errors = files.filter(bad).select("arquivo", F.lit("arquivo invalido").alias("_error"), F.col("value").alias("conteudo"))

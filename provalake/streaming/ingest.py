@@ -15,7 +15,7 @@ from provalake.sources.tables import spread
 
 def read_exam_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     return (
-        spark.readStream.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+        spark.readStream.option("pathGlobFilter", pattern).text(path, wholetext=True)
         .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^.]+$", 1).alias("prova_id"), F.col("value").alias("full_text")))
 
 

@@ -20,6 +20,12 @@ def tumbling_usage(events: DataFrame, every: str = "1 minute", watermark: str =
     return usage(with_event_time(events, watermark), every)
 
 
+def _result(rows: list[tuple]) -> pd.DataFrame:
+    names = pd.Series([r[0] for r in rows], dtype=object)
+    counts = {c: pd.Series([r[i] for r in rows], dtype="int64") for i, c in enumerate(("anchor", "requests", "tokens"), 1)}
+    return pd.DataFrame({"provider": names, **counts})
+
+
 def anchored_usage(events: DataFrame, watermark: str = "10 minutes", seconds: int = 60) -> DataFrame:
     """Anchored windows per provider as a stateful operator.
 
@@ -36,12 +42,11 @@ def anchored_usage(events: DataFrame, watermark: str = "10 minutes", seconds: in
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             for pdf in rows:
-                us = pdf["ts"].astype("datetime64[us, UTC]").astype("int64") if hasattr(pdf["ts"].dt, "tz") and pdf["ts"].dt.tz is not None \
-                    else pdf["ts"].astype("datetime64[us]").astype("int64")
+                us = pdf["us"]
                 self.pending.appendList([(int(a), int(b)) for a, b in zip(us, pdf["tokens_used"])])
                 last_ms = int(us.max()) // 1000 + 1
                 self.handle.registerTimer(max(last_ms, timerValues.getCurrentWatermarkInMs() + 1))
-            yield pd.DataFrame({"provider": [], "anchor": [], "requests": [], "tokens": []})
+            yield _result([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             ready_us = timerValues.getCurrentWatermarkInMs() * 1000
@@ -63,12 +68,12 @@ def anchored_usage(events: DataFrame, watermark: str = "10 minutes", seconds: in
                 self.handle.registerTimer(max(rest[-1][0] // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
             else:
                 self.pending.clear()
-            yield pd.DataFrame(done, columns=["provider", "anchor", "requests", "tokens"])
+            yield _result(done)
 
         def close(self) -> None:
             pass
 
-    e = with_event_time(events, watermark).select("provider", "ts", "tokens_used")
+    e = with_event_time(events, watermark).select("provider", "ts", F.unix_micros("ts").alias("us"), "tokens_used")
     return e.groupBy("provider").transformWithStateInPandas(
         statefulProcessor=Anchored(), outputStructType="provider string, anchor long, requests long, tokens long",
         outputMode="Append", timeMode="EventTime")

@@ -126,7 +126,7 @@ def join_first_word(spark, sf):
     links = A.projetos(spark, sf).filter("edital_id IS NOT NULL").select("projeto_id", "edital_id")
     nodes = links.join(T.flatten_taxonomy(A.editais(spark, sf)).filter("depth = 0"), "edital_id").select("projeto_id", F.col("texto").alias("nome"))
     counts = G.counts(A.questoes_provas(spark, sf), ["projeto_id", "disciplina"]).withColumnRenamed("disciplina", "key")
-    return N.lookup_counts(nodes, counts, "nome", ["projeto_id"], raw=counts)
+    return N.lookup_counts(nodes, counts, "nome", ["projeto_id"], raw=F.lit(True))
 
 
 @query("asof_header", with_("v_quota", extra={"m": "SELECT o_custkey % 2 AS g, o_orderdate AS at, max(o_orderkey) AS header FROM orders GROUP BY ALL"}) + """SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, m.header AS header

@@ -386,8 +386,7 @@ def job_full(spark, sf):
 
 
 def report_inputs(spark, sf):
-    q = A.questoes(spark, sf).withColumn("disciplina", N.canonical_discipline(F.col("disciplina")))
-    q = q.filter("disciplina <> ''")
+    q = N.canonicalize(A.questoes(spark, sf)).filter("disciplina <> ''")
     first = W.keep_first(q, ["questao_id"], [F.col("numero")])
     labels = first.select("questao_id", "disciplina", F.col("assunto_pci").alias("assunto"), F.col("questao_id").alias("seq"))
     return labels, first

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provalake import constants as C
 from provalake.functions.once import once
 from provalake.functions.text import canonical_discipline, first_word, normalize_discipline, normalize_name, not_blank
+from provalake.session import cut_lineage
 
 
 def alias_map() -> Column:
@@ -87,24 +88,28 @@ def canonical_audit(df: DataFrame, col: str = "disciplina") -> DataFrame:
 
 
 def canonicalize(df: DataFrame, col: str = "disciplina") -> DataFrame:
-    return df.withColumn(col, canonical_discipline(F.col(col)))
+    """Replace spellings by canonical names. Each distinct spelling is worked out once and joined back."""
+    names = once(df.select(F.col(col).alias("_raw")).distinct(), {"_name": F.coalesce(canonical_discipline(F.col("_raw")), F.lit(""))})
+    return df.join(names, df[col].eqNullSafe(names["_raw"]), "left").withColumn(col, F.col("_name")).drop("_raw", "_name")
 
 
 def lookup_counts(nodes: DataFrame, counts: DataFrame, name: str, scope: list[str], prefix_tier: bool = True,
-                  raw: DataFrame | None = None, out: str = "count") -> DataFrame:
+                  raw: Column | None = None, out: str = "count") -> DataFrame:
     """Count for each node name, by the first tier that answers: raw name, normalized name, same first word.
 
     ``counts`` holds (scope, ``key``, ``n``). Each tier is an equi-join on a relation with one row per key, so a
     tier never multiplies rows. The normalized tier takes the smallest raw key; the prefix tier adds all keys
-    that share the first word. ``raw`` is the part of ``counts`` the first tier may use (one row per raw key).
+    that share the first word. ``raw`` selects the counts the first tier may use (one row per raw key). The counts
+    are small next to what they count and are read by every tier, so they are computed once.
     """
+    counts = cut_lineage(counts.select(*scope, "key", "n"))
     c = counts.withColumn("_norm", normalize_name(F.col("key"))).withColumn("_first", first_word(F.col("_norm")))
     by_norm = c.groupBy(*scope, "_norm").agg(F.min_by("n", F.struct("key", "n")).alias("_n_norm"))
     by_first = c.groupBy(*scope, "_first").agg(F.sum("n").alias("_n_first")).filter("_first IS NOT NULL")
     res = nodes.withColumn("_norm", normalize_name(F.col(name))).withColumn("_first", first_word(F.col("_norm")))
     tiers = []
     if raw is not None:
-        res = res.join(raw.select(*scope, F.col("key").alias(name), F.col("n").alias("_n_raw")), [*scope, name], "left")
+        res = res.join(counts.filter(raw).select(*scope, F.col("key").alias(name), F.col("n").alias("_n_raw")), [*scope, name], "left")
         tiers.append(F.col("_n_raw"))
     res = res.join(by_norm, [*scope, "_norm"], "left")
     tiers.append(F.col("_n_norm"))

@@ -135,7 +135,7 @@ def incidence_tree(nodes: DataFrame, links: DataFrame, disc_counts: DataFrame, t
     top = disc_counts.select(project, F.lit("d").alias("_scope"), F.col("disciplina").alias("key"), "n")
     topics = topic_counts.select(project, F.concat(F.lit("t:"), normalize_name(F.col("disciplina"))).alias("_scope"),
                                  F.col("assunto").alias("key"), "n")
-    found = lookup_counts(n, top.unionByName(topics), "texto", [project, "_scope"], raw=top)
+    found = lookup_counts(n, top.unionByName(topics), "texto", [project, "_scope"], raw=F.col("_scope") == "d")
     if not scoped:
         looked_up = (F.col("shape") == "nested") | (F.col("depth") <= 1)
         found = found.withColumn("count", F.when(looked_up, F.col("count")).otherwise(F.lit(0).cast("long")))

@@ -137,7 +137,7 @@ def similar_pairs(vecs: DataFrame, threshold: float = 0.75, cell_rows: int = CEL
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    base = distinct_vectors(vecs)
+    base = cut_lineage(distinct_vectors(vecs))
     n = base.count()
     pivots = _pivots(base, n, cell_rows, max_pivots) if n else np.zeros((1, 1))
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
@@ -213,12 +213,13 @@ def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
-def top_pairs(vecs: DataFrame, threshold: float = 0.75, k: int = 20, **kw) -> DataFrame:
+def top_pairs(vecs: DataFrame, threshold: float = 0.75, k: int = 20, pairs: DataFrame | None = None, **kw) -> DataFrame:
     """The ``k`` most similar pairs, exact also with copies: only the ``k + 1`` smallest ids of a group of copies can
-    appear in the first ``k`` pairs, so no more of them are expanded."""
+    appear in the first ``k`` pairs, so no more of them are expanded. ``pairs`` may hold the result of ``similar_pairs``."""
     members = copies(vecs, distinct_vectors(vecs.filter(V.norm(F.col("embedding")) > 0)))
     few = top_per_group(members, ["rep"], [F.col("id")], k + 1)
-    best = similar_pairs(vecs, threshold, **kw).orderBy(F.desc("score"), "id_1", "id_2").limit(k)
+    pairs = similar_pairs(vecs, threshold, **kw) if pairs is None else pairs
+    best = pairs.orderBy(F.desc("score"), "id_1", "id_2").limit(k)
     # equal scores need no more than k pairs of representatives: each stands for its own smallest ids
     return expand_pairs_top(best, few, k)
 
@@ -281,7 +282,8 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> Data
         "id", F.coalesce("_c", "id").alias("component"))
 
 
-def density_cluster(vecs: DataFrame, threshold: float = 0.75, min_samples: int = 3, min_cluster_size: int = 5, **kw) -> DataFrame:
+def density_cluster(vecs: DataFrame, threshold: float = 0.75, min_samples: int = 3, min_cluster_size: int = 5,
+                    pairs: DataFrame | None = None, **kw) -> DataFrame:
     """Density clusters at a fixed similarity: (id, label), -1 for noise.
 
     A vector with ``min_samples`` neighbours (itself included) is a core. Cores joined by similarity form a cluster;
@@ -290,7 +292,7 @@ def density_cluster(vecs: DataFrame, threshold: float = 0.75, min_samples: int =
     not follow varying densities.
     """
     dv = distinct_vectors(vecs)
-    pairs = cut_lineage(similar_pairs(vecs, threshold, **kw).select("id_1", "id_2"))
+    pairs = cut_lineage(similar_pairs(vecs, threshold, **kw).select("id_1", "id_2")) if pairs is None else pairs.select("id_1", "id_2")
     both = pairs.unionByName(pairs.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2")))
     weight = dv.select(F.col("id").alias("id_2"), "n")
     degree = both.join(weight, "id_2").groupBy(F.col("id_1").alias("id")).agg(F.sum("n").alias("_d"))

@@ -12,9 +12,13 @@ from provalake.session import cut_lineage
 RULE = "\n---\n\n"
 
 
-def topic_shares(labels: DataFrame, questions: DataFrame) -> DataFrame:
+def questions_per_discipline(questions: DataFrame) -> DataFrame:
+    return questions.filter("disciplina IS NOT NULL").groupBy("disciplina").agg(F.count("*").alias("total"))
+
+
+def topic_shares(labels: DataFrame, questions: DataFrame, total: DataFrame | None = None) -> DataFrame:
     """R1: labels per (discipline, topic), their share of the discipline's questions, and their rank."""
-    total = questions.groupBy("disciplina").agg(F.count("*").alias("total"))
+    total = questions_per_discipline(questions) if total is None else total
     per = labels.groupBy("disciplina", F.coalesce("assunto", F.lit("Não classificado")).alias("assunto")).agg(
         F.count("*").alias("n"), F.min("seq").alias("primeiro"))
     out = per.join(total, "disciplina").withColumn("pct", F.round(F.col("n") / F.col("total") * 100, 6))
@@ -45,7 +49,8 @@ def _lines(df: DataFrame, order: list[str], text, out: str) -> DataFrame:
 
 def markdown(labels: DataFrame, questions: DataFrame, pairs: DataFrame | None = None, stamp=None) -> DataFrame:
     """R6: one Markdown text per discipline from R1..R5. ``pairs`` holds (disciplina, id_1, id_2, score)."""
-    shares = cut_lineage(topic_shares(labels, questions))  # one row per topic, read by four sections
+    out = cut_lineage(questions_per_discipline(questions))
+    shares = cut_lineage(topic_shares(labels, questions, out))  # one row per topic, read by four sections
     pct = format_pct(F.col("pct"))
     r1 = _lines(shares, ["posicao"], F.concat(F.lit("- **"), "assunto", F.lit(":** "), F.col("n").cast("string"), F.lit(" questões ("), pct, F.lit(")\n")), "_r1")
     samples = sample_questions(shares, labels, questions)
@@ -59,7 +64,6 @@ def markdown(labels: DataFrame, questions: DataFrame, pairs: DataFrame | None =
     r5 = _lines(priorities(shares), ["posicao"], F.concat(
         F.col("posicao").cast("string"), F.lit(". **"), "assunto", F.lit("** (Prioridade "), "prioridade", F.lit(")\n   - Incidência: "), "incidencia",
         F.lit("\n   - Tempo sugerido de estudo: "), F.col("horas").cast("string"), F.lit(" horas\n\n")), "_r5")
-    out = questions.filter("disciplina IS NOT NULL").groupBy("disciplina").agg(F.count("*").alias("total"))
     for part in (r1, r2, r5):
         out = out.join(part, "disciplina", "left")
     r4 = F.lit("")

@@ -11,7 +11,7 @@ from provalake.functions.text import normalize_discipline, normalize_name, not_b
 from provalake.operators.matching import lookup_counts
 from provalake.session import cut_lineage
 
-MAX_DEPTH = 8
+MAX_DEPTH = 6
 _NODE = ("struct<node_path:array<int>,depth:int,disciplina:string,item_id:string,texto:string,full_path:string,"
          "parent_path:string>")
 

@@ -52,7 +52,7 @@ def provas(spark: SparkSession, root: str) -> DataFrame:
 
 
 def questoes(spark: SparkSession, root: str) -> DataFrame:
-    line, part = scan(spark, root, "lineitem"), scan(spark, root, "part")
+    line, part = spread(scan(spark, root, "lineitem"), "l_orderkey", "l_partkey"), scan(spark, root, "part")
     text = lambda c: F.col(c).cast("string")
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat_ws("-", text("l_orderkey"), text("l_linenumber"), text("l_partkey"), text("l_suppkey"),
@@ -138,7 +138,7 @@ def patterns(spark: SparkSession, root: str) -> DataFrame:
     """Findings of several passes over the whole line table."""
     kind = F.element_at(F.array(*map(F.lit, ["temporal", "similaridade", "dificuldade", "estilo", "pegadinha"])),
                         F.col("l_linenumber") % 5 + 1)
-    return scan(spark, root, "lineitem").join(
+    return spread(scan(spark, root, "lineitem"), "l_orderkey", "l_partkey").join(
         scan(spark, root, "part"), F.col("l_partkey") == F.col("p_partkey")
     ).select(
         kind.alias("type"),

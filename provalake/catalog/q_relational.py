@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from provalake.catalog.ctes import with_
+from provalake.catalog.q_sources import trim_sql
 from provalake.catalog.registry import query
 from provalake.operators import aggregates as G
 from provalake.operators import joins as J
@@ -12,7 +13,7 @@ from provalake.operators import taxonomy as T
 from provalake.operators import windows as W
 from provalake.operators.quota import anchored_groups
 from provalake.sources import adapters as A
-from provalake.sources.tables import scan
+from provalake.sources.tables import scan, spread
 
 # --- joins -----------------------------------------------------------------------------------------------------
 
@@ -378,7 +379,7 @@ def chunk_fixed(spark, sf):
 
 @query("window_pages_overlap", with_(extra={**PAGES_SQL, "w": "SELECT DISTINCT doc, (page // 2) * 2 AS primeira FROM pg",
     "x": r"""SELECT w.doc, primeira, max(page) AS ultima, string_agg(concat(chr(10), '--- PAGINA ', (page + 1)::VARCHAR, ' ---', chr(10), text), '' ORDER BY page) AS texto
- FROM w JOIN pg ON pg.doc = w.doc AND pg.page BETWEEN primeira AND primeira + 2 GROUP BY ALL"""}) + "SELECT doc, primeira, ultima, md5(texto) AS texto_md5 FROM x WHERE length(trim(texto, ' ')) >= 500")
+ FROM w JOIN pg ON pg.doc = w.doc AND pg.page BETWEEN primeira AND primeira + 2 GROUP BY ALL"""}) + "SELECT doc, primeira, ultima, md5(texto) AS texto_md5 FROM x WHERE " + f"length({trim_sql('texto')}) >= 500")
 def window_pages_overlap(spark, sf):
     return W.page_windows(doc_pages(spark, sf)).select("doc", F.col("primeira").cast("int").alias("primeira"), "ultima", F.md5("texto").alias("texto_md5"))
 
@@ -391,6 +392,18 @@ def chunk_text_overlap(spark, sf):
         "doc_id", "ordem", F.md5("t").alias("texto_md5"))
 
 
+@query("chunk_text_at_space", with_(recursive=True, extra={"w": """SELECT doc_id, text, 0 AS ordem, 0::BIGINT AS a, (CASE WHEN length(text) <= 800 THEN length(text) ELSE 701 + CASE WHEN p > 0 THEN p ELSE 99 END END)::BIGINT AS z FROM (
+ SELECT doc_id, text, length(regexp_replace(substring(text, 702, 100), '[^ \\n]*$', '')) AS p FROM documents WHERE text <> '')
+ UNION ALL SELECT doc_id, text, ordem + 1, a, CASE WHEN a + 800 >= length(text) THEN length(text) ELSE a + 701 + CASE WHEN p > 0 THEN p ELSE 99 END END FROM (
+ SELECT doc_id, text, ordem, z - 50 AS a, length(regexp_replace(substring(text, (z - 50 + 702)::BIGINT, 100), '[^ \\n]*$', '')) AS p FROM w WHERE z < length(text))"""}) + "SELECT doc_id, ordem, md5(substring(text, a + 1, z - a)) AS texto_md5 FROM w")
+def chunk_text_at_space(spark, sf):
+    from provalake.functions.text import text_windows_at_space
+
+    d = spread(scan(spark, sf, "documents"), "doc_id").filter("text <> ''")
+    return d.select("doc_id", F.posexplode(text_windows_at_space(F.col("text"), 800, 50, 100)).alias("ordem", "t")).select(
+        "doc_id", "ordem", F.md5("t").alias("texto_md5"))
+
+
 EVENTS_US = "SELECT event_id, user_id % 2 AS g, epoch_us(ts) AS us FROM events"
 
 

@@ -49,7 +49,7 @@ def question_blocks(text: Column, style: Column) -> Column:
 
 def _bracket_block(p: Column) -> Column:
     labels = F.split(F.regexp_extract(p, BRACKET_HEADER, 2), "-")
-    part = lambda n: F.trim(F.try_element_at(labels, F.lit(n)))
+    part = lambda n: trim_all(F.try_element_at(labels, F.lit(n)))
     return F.struct(
         F.regexp_extract(p, BRACKET_HEADER, 1).cast("int").alias("numero"), part(1).alias("disciplina"),
         part(2).alias("assunto_pci"), F.lit(None).cast("string").alias("gabarito_cabecalho"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -216,3 +217,27 @@ def text_windows(col: Column, size: int = 8000, overlap: int = 1000) -> Column:
     starts = F.sequence(F.lit(0), F.length(col) - 1, F.lit(size - overlap))
     cut = F.transform(starts, lambda s: col.substr(s + 1, F.lit(size)))
     return F.when(F.length(col) <= size, F.array(col)).otherwise(cut)
+
+
+def text_windows_at_space(col: Column, size: int = 6000, overlap: int = 200, reach: int = 500) -> Column:
+    """Overlapping windows that end after the last blank or line break within their final ``reach`` characters.
+
+    Where a window starts depends on where the one before ended, so this walks each text in Python, batch by batch.
+    """
+    def cut(text: str) -> list[str]:
+        out, start = [], 0
+        while start < len(text):
+            end = min(start + size, len(text))
+            if end < len(text):
+                low = max(start + size - reach, start) + 1
+                at = max(text.rfind(" ", low, end + 1), text.rfind("\n", low, end + 1))
+                end = at + 1 if at >= 0 else end
+            out.append(text[start:end])
+            start = end - overlap if end < len(text) else end
+        return out
+
+    @F.pandas_udf("array<string>")
+    def windows(texts: pd.Series) -> pd.Series:
+        return texts.map(cut, na_action="ignore")
+
+    return windows(col)

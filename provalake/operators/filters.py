@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provalake import constants as C
-from provalake.functions.text import not_blank
+from provalake.functions.text import not_blank, trim_all
 
 
 def filter_questions(df: DataFrame, status: str = "todas", years: Iterable[int] = (), boards: Iterable[str] = (),
@@ -42,7 +42,7 @@ def text_search(df: DataFrame, term: str) -> DataFrame:
 
 
 def drop_essays(df: DataFrame) -> DataFrame:
-    name = F.lower(F.trim(F.coalesce("disciplina", F.lit(""))))
+    name = trim_all(F.lower(F.coalesce("disciplina", F.lit(""))))
     return df.filter(~name.isin(C.ESSAY_DISCIPLINES))
 
 
@@ -52,7 +52,7 @@ def drop_essay_pages(pages: DataFrame, text: str = "text") -> DataFrame:
 
 def filled_options(options: Column) -> Column:
     """Number of options with visible text."""
-    return F.coalesce(F.size(F.map_filter(options, lambda k, v: F.length(F.trim(v)) > 0)), F.lit(0))
+    return F.coalesce(F.size(F.map_filter(options, lambda k, v: F.length(trim_all(v)) > 0)), F.lit(0))
 
 
 def incomplete(options: Column, stem: Column) -> Column:

@@ -87,13 +87,13 @@ def recommendations(rows: DataFrame, by: list[str], text: str, seq: str) -> Data
 def report_concat(passes: DataFrame, by: list[str], order: list[str], text: str, limit: int = 10000, rule: str = "\n\n---\n\n") -> DataFrame:
     """Non-empty pass texts joined with a rule line, cut to ``limit`` characters.
 
-    Only texts that begin before the cut can show in the result. A running length finds them first, so at most
+    Only texts whose leading rule line begins before the cut can show in the result. A running length finds them first, so at most
     ``limit`` short texts are gathered for a report however many passes it has.
     """
     used = passes.filter(not_blank(F.col(text)).isNotNull())
     ran = running_sums(used, by, order, {"_end": F.length(text).cast("long") + len(rule)})
     begins = F.col("_end") - F.length(text) - len(rule)
-    kept = ran.filter(begins < limit)
+    kept = ran.filter(begins - len(rule) < limit)
     return kept.groupBy(*by).agg(F.substring(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t")))), lambda s: s["_t"]), rule), 1, limit).alias("texto"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provalake.functions.text import trim_all
 from provalake.operators.quota import anchored_groups
 
 
@@ -34,7 +35,7 @@ def lines_from_spans(spans: DataFrame, by: list[str], boundary: DataFrame | None
     joined one level after the other.
     """
     num = lambda c: F.col(c).cast("double").alias(c)
-    s = spans.filter(F.trim("text") != "").select(*by, num("y"), num("x0"), num("x1"), "text")
+    s = spans.filter(trim_all(F.col("text")) != "").select(*by, num("y"), num("x0"), num("x1"), "text")
     if boundary is None:
         s = s.withColumn("_part", F.lit(0))
     else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provalake.functions.text import trim_all
 from provalake.operators.scan_order import row_numbers
 
 
@@ -85,7 +86,7 @@ def page_windows(pages: DataFrame, by: str = "doc", size: int = 3, overlap: int
         .groupBy(by, (F.col("_w") * stride).alias("primeira"))
         .agg(F.max("page").alias("ultima"), F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("page", "_t"))), lambda s: s["_t"]), "").alias("texto"))
-        .filter(F.length(F.trim("texto")) >= min_chars)
+        .filter(F.length(trim_all(F.col("texto"))) >= min_chars)
     )
 
 
@@ -101,7 +102,7 @@ def history(events: DataFrame, keep: int = 100, recent: int = 20) -> DataFrame:
 
 def column_boundary(blocks: DataFrame, by: list[str]) -> DataFrame:
     """Two-column pages and the x position between the columns (null for one column)."""
-    text = F.trim("text") != ""
+    text = trim_all(F.col("text")) != ""
     left, right = text & (F.col("x0") < F.col("page_width") * 0.4), text & (F.col("x0") > F.col("page_width") * 0.45)
     agg = blocks.groupBy(*by).agg(
         F.count_if(text).alias("n"), F.count_if(left).alias("n_left"), F.count_if(right).alias("n_right"),

@@ -160,10 +160,11 @@ def test_digest_defaults_and_errors(spark):
     assert (q.difficulty, q.bloom_level, q.has_trap) == ("medium", "understand", False)
 
 
-def test_report_concat_cut(spark):
+@pytest.mark.parametrize("limit", [60, 62, 67, 68, 500])
+def test_report_concat_cut(spark, limit):
     df = spark.createDataFrame([(1, i, None if i == 3 else f"{i:03d}" * 20) for i in range(50)] + [(2, 0, "")], "job int, n int, t string")
-    got = {r.job: r.texto for r in FD.report_concat(df, ["job"], ["n"], "t", limit=500).collect()}
-    assert got == {1: "\n\n---\n\n".join(f"{i:03d}" * 20 for i in range(50) if i != 3)[:500]}
+    got = {r.job: r.texto for r in FD.report_concat(df, ["job"], ["n"], "t", limit=limit).collect()}
+    assert got == {1: "\n\n---\n\n".join(f"{i:03d}" * 20 for i in range(50) if i != 3)[:limit]}
 
 
 def test_flag_report(spark):

@@ -158,3 +158,13 @@ def test_quarantine_required(spark):
     good, bad = JS.parse_responses(df, "r", schemas.CLASSIFICATION, ("disciplina", "assunto"))
     assert [r.id for r in good.collect()] == [1]
     assert {r.id: r._error for r in bad.collect()} == {2: "campo obrigatorio ausente", 3: "json invalido"}
+
+
+def test_windows(spark):
+    text = ("palavra " * 40 + "\n") * 3
+    whole = value(spark, X.text_windows_at_space(F.col("t"), 100, 10, 30), t=text)
+    assert all(len(w) <= 101 for w in whole) and all(w[-1] in " \n" for w in whole)
+    assert whole[0] + "".join(w[10:] for w in whole[1:]) == text
+    plain = value(spark, X.text_windows(F.col("t"), 100, 10), t=text)
+    assert plain[0] + "".join(w[10:] for w in plain[1:]) == text
+    assert value(spark, X.text_windows(F.col("t"), 100, 10), t="curto") == ["curto"]

@@ -84,7 +84,9 @@ def canonical_discipline(col: Column) -> Column:
 
 
 def prune_context(col: Column) -> Column:
+    """Drop a question-number prefix, a leading exam tag and surplus white space."""
     out = col
+    # Fixed patterns: number prefixes, in the order they are tried, then the exam tag.
     for pattern in (
         r"(?iuU)^Questão\s+\d+[.:]\s*",
         r"(?iuU)^QUESTÃO\s+\d+\s*[-–]\s*",

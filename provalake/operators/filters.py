@@ -110,6 +110,7 @@ def document_code(min_length: int = 1000) -> Column:
 
 def document_format(text: Column) -> Column:
     """Question paper with answers, bare answer key, or generic paper."""
+    # Fixed patterns: marks of an answered paper, of question content, and of a bare answer key.
     hits = lambda *ps: sum((text.rlike(p).cast("int") for p in ps[1:]), text.rlike(ps[0]).cast("int"))
     paper = hits(r"\d+\.\s*\[.*?\]", r"Resposta:\s*[A-E]", r"(?i)ANULADA", r"(?i)PCI\s+Concursos")
     content = (

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provalake.functions.text import not_blank
 from provalake.operators.scan_order import carry_last, next_in_key
 from provalake.operators.windows import keep_first
 
@@ -62,10 +61,6 @@ def segments(marks: DataFrame, by: list[str], start: str, length: str) -> DataFr
         "fim", F.coalesce("_next", F.col(length) + 1)).drop("_next")
 
 
-def question_discipline(questions: DataFrame) -> DataFrame:
-    return questions.withColumn("disciplina", not_blank(F.col("disciplina")))
-
-
 def claim_evidence(claims: DataFrame, pool: DataFrame, by: str = "report_id", k: int = 5, max_claims: int = 20,
                    max_pool: int = 50) -> DataFrame:
     """Evidence rows per claim of the same report, ranked by shared words.

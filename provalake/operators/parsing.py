@@ -64,6 +64,7 @@ def orphan_content(questions: DataFrame, docs: DataFrame, key: str = "doc_id", t
     nxt = next_value(questions, [key], "numero", "_next").filter("_next IS NOT NULL")
     if only is not None:
         nxt = nxt.join(only.select(key, "numero").distinct(), [key, "numero"], "left_semi")
+    # Fixed patterns: header to header, then page marks, a running foot line and a leading page number are dropped.
     n, m = F.col("numero").cast("string"), F.col("_next").cast("string")
     pat = F.concat(F.lit(r"(?isuU)Quest[ãa]o\s*"), n, F.lit(r"\s*(?:\([^)]+\))?\s*(.*?)Quest[ãa]o\s*"), m)
     raw = trim_all(F.try_element_at(F.regexp_extract_all(F.col(text), pat, F.lit(1)), F.lit(1)))

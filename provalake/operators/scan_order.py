@@ -22,7 +22,7 @@ def sliced(df: DataFrame, keys: list[str], order: list[str], partitions: int | N
     return cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn(SLICE, F.spark_partition_id()))
 
 
-def _carry(per_slice: DataFrame, keys: list[str], exprs: dict[str, Column], spec) -> DataFrame:
+def _carry(per_slice: DataFrame, keys: list[str], exprs: dict) -> DataFrame:
     """State from earlier slices, only for slices that continue a key."""
     w = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     out = per_slice.select(*keys, SLICE, *[e(w).alias(n) for n, e in exprs.items()],
@@ -35,7 +35,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     """Adds inclusive running sums of the given expressions per key, in the given order."""
     base = sliced(df.withColumns({f"_v_{n}": e for n, e in sums.items()}), keys, order, partitions)
     totals = base.groupBy(*keys, SLICE).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    before = _carry(totals, keys, {f"_b_{n}": (lambda w, n=n: F.sum(f"_t_{n}").over(w)) for n in sums}, None)
+    before = _carry(totals, keys, {f"_b_{n}": (lambda w, n=n: F.sum(f"_t_{n}").over(w)) for n in sums})
     local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = _null_safe_join(base, F.broadcast(before), [*keys, SLICE])
     return joined.withColumns(
@@ -54,7 +54,7 @@ def carry_last(df: DataFrame, keys: list[str], order: list[str], value: str, nam
     rank = F.struct(*order)
     ends = base.groupBy(*keys, SLICE).agg(
         F.max_by(F.when(F.col(value).isNotNull(), F.col(value)), F.when(F.col(value).isNotNull(), rank)).alias("_end"))
-    before = _carry(ends, keys, {"_before": lambda w: F.last("_end", ignorenulls=True).over(w)}, None)
+    before = _carry(ends, keys, {"_before": lambda w: F.last("_end", ignorenulls=True).over(w)})
     local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return _null_safe_join(base, F.broadcast(before), [*keys, SLICE]).withColumn(
         name, F.coalesce(F.last(value, ignorenulls=True).over(local), F.col("_before"))).drop(SLICE, "_before")

@@ -56,6 +56,7 @@ def next_value(df: DataFrame, by: list[str], col: str, name: str = "proximo") ->
 def start_page(pages: DataFrame, by: str = "doc") -> DataFrame:
     """First page that opens the questions: strict test on 5 pages, looser test on 10, else page 0."""
     text = F.lower("text")
+    # Fixed patterns: first question header and option marks.
     options = text.rlike(r"\([a-e]\)")
     question = text.rlike(r"(?U)quest[aã]o\s*0?1\b")
     scratch = text.contains("rascunho") & (F.length("text") < 500)

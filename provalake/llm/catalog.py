@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from provalake.llm import quality_classifier, quality_rules, toxicity
+from provalake.llm import byte_bpe, quality_classifier, quality_rules, token_files, toxicity
 from provalake.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -53,3 +53,13 @@ def op2_quality_classifier(spark, sf_dir):
 @query("op7_toxicity")
 def op7_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_byte_bpe")
+def op3_byte_bpe(spark, sf_dir):
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_files")
+def op6_token_files(spark, sf_dir):
+    return token_files.token_files(table(spark, sf_dir, "documents"))

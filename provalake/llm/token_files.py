@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ HEADER = np.dtype([("base", "<u4"), ("n", "<u2"), ("outliers", "<u2"), ("width",
 #: A segment ends with the document that brings it to so many ids; texts are encoded in groups of so many characters.
 SEGMENT_IDS, CHUNK = 1 << 18, 2_000_000
 #: Cached words in a Python worker; a full cache starts anew.
-MOST_WORDS = 600_000
+MOST_WORDS = 1_000_000
 END_ID = 0
 SEGMENT_SCHEMA = ("shard int, segment int, first_id long, n_ids long, doc_ids array<long>, doc_starts array<long>, "
                   "block_starts array<int>, payload binary")
@@ -61,7 +62,8 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     packed: list[bytes] = [b""] * n_blocks
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        bits = (deltas[rows][:, :, None] >> np.arange(w)).astype(np.uint8) & 1
+        size_of = np.dtype("<u2" if w <= 16 else "<u4")
+        bits = np.unpackbits(deltas[rows].astype(size_of).view(np.uint8), axis=1, bitorder="little").reshape(len(rows), BLOCK, -1)[:, :, :w]
         for i, data in zip(rows.tolist(), np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little"), strict=True):
             packed[i] = data.tobytes()
     for i in range(n_blocks):
@@ -85,8 +87,10 @@ def unpack(payload: bytes, starts: np.ndarray) -> np.ndarray:
         rows = np.flatnonzero(header["width"] == w)
         if w:
             packed = data[starts[rows, None] + HEADER.itemsize + np.arange(BLOCK * w // 8)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            out[rows] = bits @ (1 << np.arange(w, dtype=np.int64))
+            size_of = np.dtype("<u2" if w <= 16 else "<u4")
+            bits = np.zeros((len(rows), BLOCK, 8 * size_of.itemsize), np.uint8)
+            bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+            out[rows] = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").view(size_of)
     for i in np.flatnonzero(header["outliers"]).tolist():
         n = int(header["outliers"][i])
         at = int(starts[i]) + HEADER.itemsize + BLOCK * int(header["width"][i]) // 8
@@ -96,19 +100,20 @@ def unpack(payload: bytes, starts: np.ndarray) -> np.ndarray:
     return out[np.arange(BLOCK) < header["n"][:, None]].astype(np.uint32)
 
 
-def words(text: str) -> list[str]:
-    """The text cut before each single space between two characters that aren't blank: there the tokenizer always cuts too,
-    and it looks at nothing beyond, so the parts can be encoded, and cached, one by one."""
+def words(text: str) -> tuple[str, list[str]]:
+    """The text cut at each single space between two characters that aren't blank: there the tokenizer always cuts too, before
+    the space, and looks at nothing beyond, so the parts can be encoded, and cached, one by one. The first part, and the
+    rest without the space before each."""
     first, *rest = text.split(" ")
     if not (_BESIDE_BLANK.search(text) or text[:1].isspace() or text[-1:].isspace() or _OTHER_BLANK.search(text)):
-        return [first, *(" " + w for w in rest)]
+        return first, rest
     out = [first]
     for before, w in zip([first, *rest], rest):
         if before and not before[-1].isspace() and w and not w[0].isspace():
-            out.append(" " + w)
+            out.append(w)
         else:
             out[-1] += " " + w
-    return out
+    return out[0], out[1:]
 
 
 class Encoder:
@@ -118,19 +123,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
+        self.opening: dict[str, bytes] = {}  # first parts of texts
+        self.cache: dict[str, bytes] = {}  # parts after a space
         tokens = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.opens = np.array([t.startswith("\u0120") for t in tokens])  # the vocabulary's sign for a space
 
+    def _each(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
     def _learn(self, new: list[str]) -> None:
-        """Encode new words. Those whose only space is the first are joined, many to a call: the tokenizer cuts before each
-        space, and only a word's first token begins with one, so the ids fall apart again. The rest go one by one."""
+        """Encode new parts, each after a space. Those without another blank are joined, many to a call: the tokenizer cuts
+        before each space, and only a part's first token begins with one, so the ids fall apart again. The rest go one by one."""
         plain, other = [], []
         for w in new:
-            (plain if w[:1] == " " and len(w) > 1 and " " not in w[1:] and not w[1].isspace() and not w[-1].isspace() else other).append(w)
+            (plain if w and " " not in w and not w[0].isspace() and not w[-1].isspace() else other).append(w)
         for start in range(0, len(plain), 20_000):
             part = plain[start:start + 20_000]
-            joined = ["".join(part[i:i + 200]) for i in range(0, len(part), 200)]
+            joined = [" " + " ".join(part[i:i + 200]) for i in range(0, len(part), 200)]
             ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], "<u4")
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(part) or starts[:1].any():
@@ -140,16 +149,18 @@ class Encoder:
             self.cache.update(zip(part, (data[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))
         for start in range(0, len(other), 20_000):
             part = other[start:start + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(found.ids, "<u4").tobytes()
+            self.cache.update(zip(part, self._each([" " + w for w in part]), strict=True))
 
     def encode(self, group: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Each distinct word goes through the tokenizer once."""
         split = [words(t) for t in group]
-        if len(self.cache) >= MOST_WORDS:
+        if len(self.cache) + len(self.opening) >= MOST_WORDS:
             self.cache.clear()
-        self._learn(list({w for ws in split for w in ws if w not in self.cache}))
-        return [b"".join(map(self.cache.__getitem__, ws)) for ws in split]
+            self.opening.clear()
+        first = list({f for f, _ in split}.difference(self.opening))
+        self.opening.update(zip(first, self._each(first), strict=True))
+        self._learn(list(set(chain.from_iterable(rest for _, rest in split)).difference(self.cache)))
+        return [self.opening[f] + b"".join(map(self.cache.__getitem__, rest)) for f, rest in split]
 
 
 def encoder(path: str) -> Encoder:

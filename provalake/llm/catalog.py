@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from provalake.llm import byte_bpe, quality_classifier, quality_rules, token_files, toxicity
+from provalake.llm import byte_bpe, minhash, quality_classifier, quality_rules, token_files, toxicity
 from provalake.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -63,3 +63,8 @@ def op3_byte_bpe(spark, sf_dir):
 @query("op6_token_files")
 def op6_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"))
+
+
+@query("op8_minhash")
+def op8_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from provalake.llm import byte_bpe, minhash, quality_classifier, quality_rules, token_files, toxicity
+from pyspark.sql import functions as F
+
+from provalake.llm import byte_bpe, chat_preferences, minhash, quality_classifier, quality_rules, token_files, topk, toxicity
 from provalake.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -68,3 +70,38 @@ def op6_token_files(spark, sf_dir):
 @query("op8_minhash")
 def op8_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op9_topk(spark, sf_dir):
+    return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+@query("op10_chat_preferences", """
+WITH s AS (SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS turns,
+  max(CASE WHEN role = 'assistant' THEN n END) AS last FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM s) GROUP BY conv_id),
+a AS (SELECT * FROM t WHERE last IS NOT NULL),
+p AS (SELECT x.conv_id AS pair_id, x.turns AS c, list_concat(x.turns[1:x.last - 1], [y.turns[y.last]]) AS r FROM a x JOIN a y ON y.conv_id = xor(x.conv_id, 1)),
+k AS (SELECT *, coalesce(list_position(list_transform(range(1, greatest(len(c), len(r)) + 1), lambda i: c[i] IS NOT DISTINCT FROM r[i]), false) - 1, len(c)) AS n FROM p),
+f AS (SELECT pair_id, CAST(n AS BIGINT) AS prompt_turns, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM k)
+SELECT pair_id, prompt_turns,
+  coalesce(array_to_string(list_transform(p, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS prompt,
+  coalesce(array_to_string(list_transform(c, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS chosen,
+  coalesce(array_to_string(list_transform(r, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), ''), '') AS rejected,
+  coalesce(array_to_string(list_transform(c, lambda t: '0:' || (length(t.role) + 5) || (CASE WHEN t.role = 'assistant' THEN ' 1:' ELSE ' 0:' END) || (length(t.text) + 8)), ' '), '') AS chosen_mask,
+  coalesce(array_to_string(list_transform(r, lambda t: '0:' || (length(t.role) + 5) || (CASE WHEN t.role = 'assistant' THEN ' 1:' ELSE ' 0:' END) || (length(t.text) + 8)), ' '), '') AS rejected_mask,
+  CAST(coalesce(list_sum(list_transform(c, lambda t: CASE WHEN t.role = 'assistant' THEN length(t.text) + 8 ELSE 0 END)), 0) AS BIGINT) AS chosen_learnt,
+  CAST(coalesce(list_sum(list_transform(r, lambda t: CASE WHEN t.role = 'assistant' THEN length(t.text) + 8 ELSE 0 END)), 0) AS BIGINT) AS rejected_learnt
+FROM f
+""")
+def op10_chat_preferences(spark, sf_dir):
+    return chat_preferences.format_pairs(chat_preferences.replaced_answers(table(spark, sf_dir, "conversations")))

@@ -364,3 +364,17 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, `ids` (array of int) and the digest of the bytes decoded from them; cases as in `encode`."""
+    path = path or vocabulary_path()
+
+    def run(batches):
+        for docs_, rows in _each(batches, path, lambda c, x: (x, hashlib.sha256(c.decode(x, c.ends(x))).hexdigest())):
+            sizes = np.array([len(r[0]) // 4 for r in rows], np.int64)
+            values = pa.array(np.frombuffer(b"".join(r[0] for r in rows), "<i4"))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([docs_, pa.array(sizes), lists, pa.array([r[1] for r in rows])], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")

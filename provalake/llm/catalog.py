@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from provalake.llm import byte_bpe, chat_preferences, minhash, quality_classifier, quality_rules, token_files, topk, toxicity
+from provalake.llm import byte_bpe, chat_preferences, minhash, mixing, quality_classifier, quality_rules, token_files, topk, toxicity
 from provalake.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -105,3 +105,9 @@ FROM f
 """)
 def op10_chat_preferences(spark, sf_dir):
     return chat_preferences.format_pairs(chat_preferences.replaced_answers(table(spark, sf_dir, "conversations")))
+
+
+@query("op5_mixing")
+def op5_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, mixing.labelled_by(docs, "lang"), mixing.TARGETS)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,17 @@ def worker_store() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def filtered(docs: DataFrame, make_test: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows whose text passes a Python test, which each task makes once. All columns go through as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make_test()
+        for batch in batches:
+            yield batch.filter(pa.array([test(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def groups_by_size(sizes: list[int], most: int):
     """Consecutive index ranges whose sizes add up to about `most`; a single larger item stands alone."""
     start, total = 0, 0

@@ -217,3 +217,11 @@ def _links(docs: DataFrame, sketched: DataFrame, rows: DataFrame) -> DataFrame:
     links = stored(links.unionByName(_confirm(stored(_star_pairs(again), "pairs"), sets)), "links")
     rest = _rest_pairs(_crowded(_labelled(again, links)))
     return links.unionByName(_confirm(stored(rest, "pairs"), sets))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stand for their component; a repeated doc_id stays once, a row without
+    a doc_id stays."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    known = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

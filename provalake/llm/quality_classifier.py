@@ -10,7 +10,7 @@ would score as good.)
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provalake.llm.common import held_out, texts
-from provalake.llm.training import fit_logistic, labelled_sample
+from provalake.llm.common import filtered, held_out, texts
+from provalake.llm.training import fit_logistic, labelled_sample, logistic
 
 #: Bounds of the training sample: documents of either label, blocks of each document, and bytes of a block.
 PER_CLASS, BLOCKS_PER_DOC, BLOCK = 3000, 6, 1024
@@ -61,17 +61,22 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, **options)
 
 
-def _raw(batches: Iterator[pd.DataFrame], good: bytes, bad: bytes) -> Iterator[pd.DataFrame]:
+def raw_scorer(good: bytes, bad: bytes) -> Callable[[str], float]:
+    """Bytes that the good dictionary saves against the bad one, per byte of the text; 0 for an empty text."""
     as_good, as_bad = _compressor(good), _compressor(bad)
+
+    def raw(text: str) -> float:
+        data = text.encode()
+        parts = blocks(data)
+        return sum(len(as_bad.compress(p)) - len(as_good.compress(p)) for p in parts) / len(data) if parts else 0.0
+
+    return raw
+
+
+def _raw(batches: Iterator[pd.DataFrame], good: bytes, bad: bytes) -> Iterator[pd.DataFrame]:
+    raw = raw_scorer(good, bad)
     for batch in batches:
-        raw = []
-        for text in batch["text"]:
-            data = text.encode()
-            parts = blocks(data)
-            g = sum(len(as_good.compress(p)) for p in parts)
-            b = sum(len(as_bad.compress(p)) for p in parts)
-            raw.append((b - g) / len(data) if parts else 0.0)
-        yield batch.drop(columns="text").assign(raw=raw)
+        yield batch.drop(columns="text").assign(raw=[raw(t) for t in batch["text"]])
 
 
 def raw_scores(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
@@ -125,3 +130,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = PER_CLASS) -> DataFrame:
     scored = score(docs, train(docs, labels, per_class=per_class))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score reaches the threshold. A narrow pass: nothing is shuffled."""
+
+    def keep(text: Callable[[str], float]) -> Callable[[str | None], bool]:
+        return lambda t: bool(logistic(text(t or ""), model.slope, model.intercept) >= threshold)
+
+    return filtered(docs, lambda: keep(raw_scorer(model.good, model.bad)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provalake.llm.common import held_out, texts
-from provalake.llm.training import fit_logistic, labelled_sample
+from provalake.llm.common import filtered, held_out, texts, worker_store
+from provalake.llm.training import fit_logistic, labelled_sample, logistic
 
 #: Bounds: labelled documents of either class, and learnt entries.
 PER_CLASS, MOST_ENTRIES = 6000, 2000
@@ -58,8 +58,6 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _folding() -> tuple[np.ndarray, np.ndarray]:
-    from provalake.llm.common import worker_store
-
     store = worker_store()
     if "folding" not in store:
         store["folding"] = _tables()
@@ -121,14 +119,21 @@ def matches(text: str, found) -> tuple[float, int]:
     return sum(w for _, w in spans.values()), n_words
 
 
-def _raw(batches: Iterator[pd.DataFrame], lexicon: dict[str, float], exceptions: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+def raw_scorer(lexicon: dict[str, float], exceptions: tuple[str, ...]) -> Callable[[str], float]:
+    """The weight of a text's matches over a power of its number of words."""
     found = automaton(lexicon, exceptions)
+
+    def raw(text: str) -> float:
+        weight, n_words = matches(text, found)
+        return weight / max(n_words, 1) ** LENGTH_POWER
+
+    return raw
+
+
+def _raw(batches: Iterator[pd.DataFrame], lexicon: dict[str, float], exceptions: tuple[str, ...]) -> Iterator[pd.DataFrame]:
+    raw = raw_scorer(lexicon, exceptions)
     for batch in batches:
-        raw = []
-        for text in batch["text"]:
-            weight, n_words = matches(text, found)
-            raw.append(weight / max(n_words, 1) ** LENGTH_POWER)
-        yield batch.drop(columns="text").assign(raw=raw)
+        yield batch.drop(columns="text").assign(raw=[raw(t) for t in batch["text"]])
 
 
 def raw_scores(docs: DataFrame, lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
@@ -231,3 +236,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = PER_CLASS) -> DataFrame:
     scored = score(docs, train(docs, labels, per_class=per_class))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_harmless(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score stays below the threshold. A narrow pass: nothing is shuffled."""
+
+    def keep(raw: Callable[[str], float]) -> Callable[[str | None], bool]:
+        return lambda t: bool(logistic(raw(t or ""), model.slope, model.intercept) < threshold)
+
+    return filtered(docs, lambda: keep(raw_scorer(model.lexicon, model.exceptions)))

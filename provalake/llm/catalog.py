@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from provalake.llm import byte_bpe, chat_preferences, minhash, mixing, quality_classifier, quality_rules, token_files, topk, toxicity
+from provalake.llm import byte_bpe, chat_preferences, html_text, minhash, mixing, quality_classifier, quality_rules, token_files, topk, toxicity
 from provalake.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -111,3 +111,8 @@ def op10_chat_preferences(spark, sf_dir):
 def op5_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return mixing.mixed(docs, mixing.labelled_by(docs, "lang"), mixing.TARGETS)
+
+
+@query("op4_html_text")
+def op4_html_text(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))

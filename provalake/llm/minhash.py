@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provalake.llm.common import groups_by_size, mix64, stored, texts
@@ -25,6 +25,8 @@ BINS, ROWS = 128, 4
 #: A finer bucket needs band i and the two bands so many further on.
 STEPS = ((1, 5), (2, 9), (3, 13), (4, 11), (6, 7))
 PROBES = 512
+#: Length of the bitmaps that rule out pairs before their sets are compared, in 64-bit words.
+WORDS_OF_BITS = 16
 MOST_WORDS = 300_000
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -108,7 +110,8 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = _WordHashes()
     for batch in batches:
-        yield pd.DataFrame({"id": batch["doc_id"], "shingles": [s.view(np.int64) for s in _shingled(batch, hashes)]})
+        found = list(_shingled(batch, hashes))
+        yield pd.DataFrame({"id": batch["doc_id"], "shingles": [s.view(np.int64) for s in found], "bits": [bitmap(s) for s in found]})
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -131,17 +134,21 @@ def _confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(100 * F.col("common") >= PERCENT * (F.col("both") - F.col("common"))).select("a", "b")
 
 
-def _near(n, m, most_n, most_m):
-    """Can two sets of n and m shingles be similar, if they share at most `most_n` and `most_m` of them?"""
-    common = F.least(most_n, most_m)
-    return 100 * common >= PERCENT * (n + m - common)
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Which of 64 * WORDS_OF_BITS places the shingles fall on, as signed 64-bit integers."""
+    out = np.zeros(64 * WORDS_OF_BITS, np.uint8)
+    out[(shingles % np.uint64(len(out))).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view("<i8")
 
 
-def _single(sets: DataFrame) -> DataFrame:
-    """How many shingles of each set (id, shingles) occur in none of the others: no link can rest on them."""
-    each = sets.select("id", F.explode("shingles").alias("shingle"))
-    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    return alone.groupBy("id").agg(F.count("*").cast("int").alias("single"))
+def _near(x: str, y: str) -> Column:
+    """Can two sets (structs of n and, once known, bits) be similar? Each place that only one of the bitmaps has is a shingle, or
+    more, that the sets don't share, so this never turns a link away."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    unshared = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(1, WORDS_OF_BITS)),
+                   F.bit_count(F.col(f"{x}.bits")[0].bitwiseXOR(F.col(f"{y}.bits")[0])))
+    sizes = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    return sizes & ((100 + PERCENT) * F.coalesce(unshared, F.lit(0)) <= (100 - PERCENT) * (n + m))
 
 
 def _pair(x, y):
@@ -153,21 +160,20 @@ def _star_pairs(members: DataFrame) -> DataFrame:
 
     The centre has the least hash of its id, so sets that share many buckets mostly meet the same one and pairs stay few.
     """
-    centre = F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"), F.col("n"), F.col("most"), F.col("component"))).alias("centre")
-    c = F.col("centre")
-    pairs = members.join(members.groupBy("key").agg(centre), "key").where((F.col("component") != c["component"]) & _near(F.col("n"), c["n"], F.col("most"), c["most"]))
-    return pairs.select(*_pair(c["id"], F.col("id"))).distinct()
+    x = members.select("key", F.struct("id", "n", "bits", "component").alias("x"))
+    centres = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n", "bits", "component")).alias("y"))
+    pairs = x.join(centres, "key").where((F.col("x.component") != F.col("y.component")) & _near("x", "y"))
+    return pairs.select(*_pair(F.col("x.id"), F.col("y.id"))).distinct()
 
 
 def _rest_pairs(members: DataFrame) -> DataFrame:
     """All pairs that a bucket leaves open: those of different components. The members of the bucket's largest component
     meet only the others, never one another."""
     largest = members.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    x = members.join(largest, "key").where(F.col("component") != F.col("main"))
-    y = members.select("key", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("most").alias("other_most"), F.col("component").alias("other_component"))
-    differ = F.col("component") != F.col("other_component")
-    once = (F.col("other_component") == F.col("main")) | (F.col("id") < F.col("other"))
-    return x.join(y, "key").where(differ & once & _near(F.col("n"), F.col("other_n"), F.col("most"), F.col("other_most"))).select(*_pair(F.col("id"), F.col("other"))).distinct()
+    x = members.join(largest, "key").where(F.col("component") != F.col("main")).select("key", "main", F.struct("id", "n", "bits", "component").alias("x"))
+    y = members.select("key", F.struct("id", "n", "bits", "component").alias("y"))
+    once = (F.col("y.component") == F.col("main")) | (F.col("x.id") < F.col("y.id"))
+    return x.join(y, "key").where((F.col("x.component") != F.col("y.component")) & once & _near("x", "y")).select(*_pair(F.col("x.id"), F.col("y.id"))).distinct()
 
 
 def _crowded(members: DataFrame) -> DataFrame:
@@ -201,18 +207,17 @@ def _links(docs: DataFrame, sketched: DataFrame, rows: DataFrame) -> DataFrame:
     """
     own = rows.where((F.col("doc_id") == F.col("rep")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
     first = sketched.where("n_shingles > 0").select("doc_id", "n_shingles", "keys").join(own, "doc_id", "left_semi")
-    columns = F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), F.col("n_shingles").cast("int").alias("most"), F.col("doc_id").alias("component")
+    columns = F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), F.col("doc_id").alias("component"), F.lit(None).cast("array<long>").alias("bits")
     members = stored(_crowded(first.select(F.explode("keys").alias("key"), *columns)), "buckets")
     wanted = members.select("id").distinct()
-    sets = stored(texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets, "id long, shingles array<long>")
+    sets = stored(texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets, "id long, shingles array<long>, bits array<long>")
                   .dropDuplicates(["id"]), "shingles")
     links = stored(_confirm(stored(_star_pairs(members), "pairs"), sets), "links")
     open_ids = stored(_crowded(_labelled(members, links)).select("id").distinct(), "open")
     bands = BINS // ROWS
     finer = [F.xxhash64(F.lit(32 * k + i), *(F.col("keys")[j % bands] for j in (i, i + s, i + t))) for k, (s, t) in enumerate(STEPS) for i in range(bands)]
     again = first.join(open_ids, F.col("doc_id") == F.col("id"), "left_semi").select(F.explode(F.array(*finer)).alias("key"), *columns)
-    single = _single(sets.join(open_ids, "id", "left_semi"))
-    again = _crowded(_labelled(again, links)).join(single, "id", "left").withColumn("most", F.col("n") - F.coalesce("single", F.lit(0))).drop("single")
+    again = _crowded(_labelled(again.drop("bits"), links)).join(sets.select("id", "bits"), "id")
     again = stored(again, "buckets")
     links = stored(links.unionByName(_confirm(stored(_star_pairs(again), "pairs"), sets)), "links")
     rest = _rest_pairs(_crowded(_labelled(again, links)))

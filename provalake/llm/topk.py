@@ -10,6 +10,7 @@ final scores are resolved and the best of each block go on to a last, small rank
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of a block of vectors and of a block of queries.
-BLOCK_ROWS, QUERY_ROWS = 4096, 1024
+BLOCK_ROWS, QUERY_ROWS = 4096, 512
 #: How deep the lists have been read after each round, and how many open vectors are resolved at once.
 DEPTHS, RESOLVE = (0.6, 0.8, 1.0), 256
 SCALE = 256
@@ -33,63 +34,67 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
 
 class Lists:
-    """The sorted lists of a block of vectors: one per component."""
+    """The sorted lists of a block of vectors: one per component, read from the top for positive weights, else from the bottom."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(vectors.T, self.order, 1).astype(np.float64)
-
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best vectors other than the query's own, ties to the smaller id."""
-        others = self.ids != query_id
+        self.ids, self.vectors = ids, vectors.astype(np.float64)
+        self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.vectors, self.order, 0)
+
+    def _read(self, stop: int, top: bool) -> tuple[np.ndarray, np.ndarray]:
+        """What is known of each component after `stop` entries of each list: a value to use in lower bounds and one for
+        upper bounds. A component that a list has shown is known; one not shown yet lies between the list's far end and
+        the entry read last. For lists read from the bottom, the weights are negative, so the two ends swap by themselves."""
         n = len(self.ids)
-        open_ = np.flatnonzero(others)
-        if n > max(RESOLVE, k):
-            open_ = self._open(query.astype(np.float64), others, k)
-        scores = self.vectors[open_] @ query
-        first = np.lexsort((self.ids[open_], -scores))[:k]
-        return self.ids[open_][first], scores[first]
-
-    def _open(self, query: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
-        """Places of the vectors that can still be among the k best when reading stops."""
+        shown = np.zeros(self.vectors.shape, bool)
+        rows = self.order[n - stop:] if top else self.order[:stop]
+        np.put_along_axis(shown, rows, True, 0)
+        front = self.sorted[n - stop] if top else self.sorted[stop - 1]
+        far = self.sorted[0] if top else self.sorted[-1]
+        return np.where(shown, self.vectors, far), np.where(shown, self.vectors, front)
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query its id, and ids and exact scores of the k best vectors other than its own, ties to the smaller id.
+
+        All lists are read in step, so a round's bounds for all queries are four matrix products. A query leaves as soon as few
+        vectors can still be among its best.
+        """
         n = len(self.ids)
-        used = np.flatnonzero(query)
-        order, values, weight = self.order[used], self.values[used], query[used]
-        down = weight > 0
-        order[down], values[down] = order[down, ::-1], values[down, ::-1]
-        parts = values * weight[:, None]  # each list from its best end
-        last = parts[:, -1]
-        seen = np.zeros((len(used), n))
-        lists = np.arange(len(used))[:, None]
-        read, start = np.zeros(n), 0
-        open_ = np.flatnonzero(others)
+        waiting, queries = np.arange(len(query_ids)), queries.astype(np.float64)
         for depth in DEPTHS:
-            stop = max(start + 1, math.ceil(n * depth))
-            places = order[:, start:stop]
-            read += np.bincount(places.ravel(), parts[:, start:stop].ravel(), n)
-            seen[lists, places] = 1.0
-            front = parts[:, min(stop, n) - 1]
-            lower = read + last.sum() - last @ seen
-            upper = read + front.sum() - front @ seen
-            # the k best lower bounds, tightened by resolving the most promising vectors
-            likely = open_[np.argsort(-(lower[open_] + upper[open_]), kind="stable")[:4 * k]]
-            sure = np.sort(np.maximum(self.vectors[likely] @ query, lower[likely]))[::-1]
-            if len(sure) >= k:
-                open_ = open_[upper[open_] >= sure[k - 1]]
-            start = stop
-            if len(open_) <= RESOLVE or start >= n:
+            if not len(waiting):
                 break
-        return open_
+            stop = min(n, max(1, math.ceil(n * depth)))
+            weight = queries[waiting]
+            up, down = np.maximum(weight, 0), np.minimum(weight, 0)
+            (low_up, high_up), (low_down, high_down) = self._read(stop, True), self._read(stop, False)
+            lower = up @ low_up.T + down @ low_down.T
+            upper = up @ high_up.T + down @ high_down.T
+            own = self.ids[None, :] == query_ids[waiting][:, None]
+            lower[own] = upper[own] = -np.inf
+            sure = np.full(len(waiting), -np.inf)
+            if n > k:
+                # the k-th best lower bound, tightened by resolving the vectors with the best upper bounds
+                likely = np.argpartition(-upper, min(n, 4 * k) - 1, axis=1)[:, :4 * k]
+                exact = np.einsum("qd,qcd->qc", weight, self.vectors[likely])
+                exact[np.take_along_axis(own, likely, 1)] = -np.inf
+                sure = np.maximum(np.partition(lower, n - k, axis=1)[:, n - k], np.sort(exact, 1)[:, ::-1][:, :k][:, -1])
+            open_ = (upper >= sure[:, None]) & ~own
+            ready = (open_.sum(1) <= max(RESOLVE, k)) | (stop == n)
+            for q in np.flatnonzero(ready):
+                places = np.flatnonzero(open_[q])
+                scores = self.vectors[places] @ weight[q]
+                first = np.lexsort((self.ids[places], -scores))[:k]
+                yield int(query_ids[waiting[q]]), self.ids[places][first], scores[first].astype(np.int64)
+            waiting = waiting[~ready]
 
 
 def _block(k: int):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(vectors) and len(queries):
-            lists = Lists(vectors["vec_id"].to_numpy(np.int64), np.stack(vectors["v"].to_list()).astype(np.int64))
-            for query_id, query in zip(queries["vec_id"].to_numpy(np.int64), queries["v"], strict=True):
-                ids, scores = lists.best(query_id, np.asarray(query, np.int64), k)
+            lists = Lists(vectors["vec_id"].to_numpy(np.int64), np.stack(vectors["v"].to_list()))
+            for query_id, ids, scores in lists.best(queries["vec_id"].to_numpy(np.int64), np.stack(queries["v"].to_list()), k):
                 out["query_id"] += [query_id] * len(ids)
                 out["vec_id"] += ids.tolist()
                 out["score"] += scores.tolist()
@@ -103,7 +108,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     `vectors` has vec_id and `v` (array<long>); `is_query` picks the queries from it. Scores are exact integer inner products,
     ties go to the smaller vec_id, rows with the query's own vec_id are left out, a row repeated n times can rank n times, and
-    vectors of different lengths never meet. Each query row is one query, so repeated query rows are answered once.
+    vectors of different lengths never meet. A repeated query row is answered once. Scores are exact up to 2^53.
     """
     rows = vectors.withColumn("size", F.size("v"))
     counts = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()

@@ -27,7 +27,7 @@ def scan_tables(spark, sf):
 
 @query("page_text_assemble", with_("v_pages") + r"""SELECT doc, max(rn)::BIGINT AS paginas, md5(string_agg(
  concat(chr(10), '--- PAGINA ', rn::VARCHAR, ' ---', chr(10), text), '' ORDER BY rn)) AS texto_md5 FROM (
- SELECT doc, text, row_number() OVER (PARTITION BY doc ORDER BY page) AS rn FROM v_pages) WHERE rn <= 10 GROUP BY doc""")
+ SELECT doc, text, row_number() OVER (PARTITION BY doc ORDER BY page) AS rn FROM v_pages) GROUP BY doc""")
 def page_text_assemble(spark, sf):
     return P.page_text(A.page_texts(spark, sf)).select("doc", "paginas", F.md5("full_text").alias("texto_md5"))
 

@@ -532,9 +532,9 @@ def recommend_dedupe(spark, sf):
     return FD.recommendations(r, ["job"], "texto", "seq")
 
 
-@query("report_concat", """SELECT conv_id, md5(substring(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn), 1, 1000)) AS h FROM conversations WHERE text <> '' GROUP BY 1""")
+@query("report_concat", """SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn)) AS h FROM conversations WHERE text <> '' GROUP BY 1""")
 def report_concat(spark, sf):
-    return FD.report_concat(scan(spark, sf, "conversations"), ["conv_id"], ["turn"], "text", limit=1000).select("conv_id", F.md5("texto").alias("h"))
+    return FD.report_concat(scan(spark, sf, "conversations"), ["conv_id"], ["turn"], "text").select("conv_id", F.md5("texto").alias("h"))
 
 
 # --- syllabus --------------------------------------------------------------------------------------------------
@@ -604,7 +604,7 @@ def incidence_tree(spark, sf):
 
 @query("nest_tree")
 def nest_tree(spark, sf):
-    return T.nest_tree(tree(spark, sf), ["projeto_id", "edital_id"], 4)
+    return T.nest_tree(tree(spark, sf), ["projeto_id", "edital_id"])
 
 
 @query("job_result_row", with_("v_jobs") + """SELECT job_id, status, (job_id % 4)::INT AS similar_pairs_count, 0 AS chunk_digests_count, status = 'completed' AS has_report, disciplina, CASE WHEN status = 'completed' THEN 7 ELSE total_questoes END AS total_questoes,

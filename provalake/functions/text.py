@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,11 +14,14 @@ from provalake import constants as C
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
+@lru_cache
 def _accent_table(form: str) -> tuple[str, str]:
     """Source and target alphabets for translate(), derived from Unicode decompositions."""
     src, dst = [], []
-    for code in range(0x80, 0x250):
+    for code in range(0x80, 0x20000):
         ch = chr(code)
+        if 0xAC00 <= code < 0xD7A4 or 0xD800 <= code < 0xE000:  # composed syllables keep their parts; surrogates are no letters
+            continue
         base = "".join(c for c in unicodedata.normalize(form, ch) if not unicodedata.combining(c))
         if base != ch and len(base) == 1:
             src.append(ch)
@@ -27,8 +31,10 @@ def _accent_table(form: str) -> tuple[str, str]:
 
 
 def strip_accents(col: Column, compat: bool = True) -> Column:
-    """Drop diacritics. ``compat`` also folds compatibility letters such as the ordinal signs."""
+    """Drop diacritics. ``compat`` also folds compatibility letters such as the ordinal signs and Latin ligatures."""
     src, dst = _accent_table("NFKD" if compat else "NFD")
+    for code in [*range(0xFB00, 0xFB07), 0x132, 0x133] if compat else []:
+        col = F.replace(col, F.lit(chr(code)), F.lit(unicodedata.normalize("NFKD", chr(code))))
     return F.translate(col, src, dst)
 
 

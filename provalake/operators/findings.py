@@ -84,18 +84,18 @@ def recommendations(rows: DataFrame, by: list[str], text: str, seq: str) -> Data
     return uniq.unionByName(none)
 
 
-def report_concat(passes: DataFrame, by: list[str], order: list[str], text: str, limit: int = 10000, rule: str = "\n\n---\n\n") -> DataFrame:
-    """Non-empty pass texts joined with a rule line, cut to ``limit`` characters.
+def report_concat(passes: DataFrame, by: list[str], order: list[str], text: str, limit: int | None = None, rule: str = "\n\n---\n\n") -> DataFrame:
+    """Non-empty pass texts joined with a rule line; whole, unless ``limit`` asks for the first so many characters.
 
-    Only texts whose leading rule line begins before the cut can show in the result. A running length finds them first, so at most
-    ``limit`` short texts are gathered for a report however many passes it has.
+    With a limit, only texts whose leading rule line begins before the cut are gathered; a running length finds them.
     """
     used = passes.filter(not_blank(F.col(text)).isNotNull())
-    ran = running_sums(used, by, order, {"_end": F.length(text).cast("long") + len(rule)})
-    begins = F.col("_end") - F.length(text) - len(rule)
-    kept = ran.filter(begins - len(rule) < limit)
-    return kept.groupBy(*by).agg(F.substring(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t")))), lambda s: s["_t"]), rule), 1, limit).alias("texto"))
+    if limit is not None:
+        ran = running_sums(used, by, order, {"_end": F.length(text).cast("long") + len(rule)})
+        used = ran.filter(F.col("_end") - F.length(text) - 2 * len(rule) < limit)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t")))), lambda s: s["_t"])
+    whole = used.groupBy(*by).agg(F.array_join(parts, rule).alias("texto"))
+    return whole if limit is None else whole.withColumn("texto", F.substring("texto", 1, limit))
 
 
 def verify_rollup(claims: DataFrame, by: list[str]) -> DataFrame:
@@ -103,16 +103,10 @@ def verify_rollup(claims: DataFrame, by: list[str]) -> DataFrame:
                                    F.count_if(~F.col("is_verified")).alias("rejected_claims"))
 
 
-def flag_report(reports: DataFrame, claims: DataFrame, by: str = "report_id", max_claims: int = 20) -> DataFrame:
-    """Reports with a warning list of rejected claims in front.
-
-    A report has at most ``max_claims`` checked claims, so the list gathered per report is short by definition.
-    """
-    from provalake.operators.windows import top_per_group
-
-    checked = top_per_group(claims, [by], [F.col("claim_no")], max_claims)
+def flag_report(reports: DataFrame, claims: DataFrame, by: str = "report_id") -> DataFrame:
+    """Reports with a warning list of all their rejected claims in front: the list is part of the report's text."""
     line = F.concat(F.lit("- "), F.substring("claim", 1, 100), F.lit("..."))
-    bad = checked.filter(~F.col("is_verified")).groupBy(by).agg(
+    bad = claims.filter(~F.col("is_verified")).groupBy(by).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_no", line.alias("l")))), lambda s: s["l"]), "\n").alias("_w"))
     text = F.concat(F.lit(C.WARNING_HEAD), F.col("_w"), F.lit("\n\n---\n\n"), F.col("texto"))
     return reports.join(bad, by, "left").withColumn("texto", F.coalesce(text, F.col("texto"))).drop("_w")

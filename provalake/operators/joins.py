@@ -61,20 +61,14 @@ def segments(marks: DataFrame, by: list[str], start: str, length: str) -> DataFr
         "fim", F.coalesce("_next", F.col(length) + 1)).drop("_next")
 
 
-def claim_evidence(claims: DataFrame, pool: DataFrame, by: str = "report_id", k: int = 5, max_claims: int = 20,
-                   max_pool: int = 50) -> DataFrame:
-    """Evidence rows per claim of the same report, ranked by shared words.
+def claim_evidence(claims: DataFrame, pool: DataFrame, by: str = "report_id", k: int = 5) -> DataFrame:
+    """The ``k`` evidence rows of the same report that share most words with a claim.
 
-    A report checks its first ``max_claims`` claims against the first ``max_pool`` rows of its pool. These two
-    sizes belong to the operation itself, and they keep each report's comparisons at 1 000 however large it is.
+    Words meet words in one equi-join on report and word, so every claim is held against every row that can count.
     """
-    toks = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))
-    c = _first_n(claims, by, "claim_no", max_claims).select(by, "claim_no", toks(F.col("claim")).alias("_ct"))
-    e = _first_n(pool, by, "evidence_no", max_pool).select(by, "evidence_no", toks(F.col("enunciado")).alias("_et"))
-    scored = c.join(e, by).withColumn("overlap", F.size(F.array_intersect("_ct", "_et"))).filter("overlap > 0")
+    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))).alias("_word")
+    c = claims.select(by, "claim_no", words(F.col("claim"))).distinct()
+    e = pool.select(by, "evidence_no", words(F.col("enunciado"))).distinct()
+    scored = c.join(e, [by, "_word"]).groupBy(by, "claim_no", "evidence_no").agg(F.count("*").cast("int").alias("overlap"))
     w = Window.partitionBy(by, "claim_no").orderBy(F.desc("overlap"), "evidence_no")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_ct", "_et")
-
-
-def _first_n(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("_n") <= n).drop("_n")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

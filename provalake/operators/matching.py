@@ -88,9 +88,8 @@ def canonical_audit(df: DataFrame, col: str = "disciplina") -> DataFrame:
 
 
 def canonicalize(df: DataFrame, col: str = "disciplina") -> DataFrame:
-    """Replace spellings by canonical names. Each distinct spelling is worked out once and joined back."""
-    names = once(df.select(F.col(col).alias("_raw")).distinct(), {"_name": F.coalesce(canonical_discipline(F.col("_raw")), F.lit(""))})
-    return df.join(names, df[col].eqNullSafe(names["_raw"]), "left").withColumn(col, F.col("_name")).drop("_raw", "_name")
+    """Replace spellings by canonical names: a narrow projection, so a frequent name is no hot key."""
+    return once(df, {"_name": F.coalesce(canonical_discipline(F.col(col)), F.lit(""))}).withColumn(col, F.col("_name")).drop("_name")
 
 
 def lookup_counts(nodes: DataFrame, counts: DataFrame, name: str, scope: list[str], prefix_tier: bool = True,

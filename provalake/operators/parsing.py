@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from provalake.functions import parsing as P
 from provalake.functions.once import once
@@ -36,11 +37,10 @@ def parse_parts(df: DataFrame, text: str) -> DataFrame:
     return once(out, {"enunciado": P.content_stem(F.col(text), F.col("alternativas"))})
 
 
-def page_text(pages: DataFrame, by: str = "doc", max_pages: int = 10, marker: str = "PAGINA") -> DataFrame:
-    """First ``max_pages`` pages of each document joined in page order, each under a page marker."""
-    from provalake.operators.windows import top_per_group
-
-    kept = top_per_group(pages, [by], [F.col("page")], max_pages, rank="_n")
+def page_text(pages: DataFrame, by: str = "doc", max_pages: int | None = None, marker: str = "PAGINA") -> DataFrame:
+    """The pages of each document joined in page order, each under a page marker; all, unless ``max_pages`` asks for the first ones."""
+    numbered = pages.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("page")))
+    kept = numbered if max_pages is None else numbered.filter(F.col("_n") <= max_pages)
     line = F.concat(F.lit(f"\n--- {marker} "), F.col("_n").cast("string"), F.lit(" ---\n"), clean_watermarks(F.col("text")))
     return kept.select(by, F.struct("_n", line.alias("t")).alias("_p")).groupBy(by).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["t"]), "").alias("full_text"),

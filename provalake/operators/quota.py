@@ -102,6 +102,11 @@ def _walk(values: np.ndarray, start: int, nxt: np.ndarray) -> list[int]:
     return out
 
 
+def _plain(key) -> tuple:
+    """A group key with null for the missing values that pandas shows as NaN."""
+    return tuple(None if pd.isna(k) else k for k in key)
+
+
 def anchored_groups(df: DataFrame, by: list[str], value: str, tol: float, tiebreak: str, partitions: int | None = None) -> DataFrame:
     """Adds ``anchor``: the value that opened the row's group. A new group opens at the first value more than
     ``tol`` above the current anchor (not above the previous row).
@@ -115,7 +120,8 @@ def anchored_groups(df: DataFrame, by: list[str], value: str, tol: float, tiebre
     slim = base.select(*by, SLICE, "_x").filter("_x IS NOT NULL").distinct()
     # keys that go over a slice border: fewer than there are slices
     spread = slim.select(*by, SLICE).distinct().groupBy(*by).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    split = slim.join(F.broadcast(spread), by, "left_semi")
+    same_key = [slim[c].eqNullSafe(spread[c]) for c in by]
+    split = slim.join(F.broadcast(spread), same_key, "left_semi")
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -127,14 +133,15 @@ def anchored_groups(df: DataFrame, by: list[str], value: str, tol: float, tiebre
                 if nxt[i] < len(v):
                     end[i] = end[nxt[i]]
             n = min(len(v), int(np.searchsorted(v, v[0] + tol, side="right")) + 1)
-            out.append(pd.DataFrame({**dict(zip(by, key)), SLICE: pdf[SLICE].iloc[0], "open": v[:n], "leave": v[end[:n]]}))
+            names = {c: np.array([k] * n, dtype=object) for c, k in zip(by, _plain(key))}
+            out.append(pd.DataFrame({**names, SLICE: pdf[SLICE].iloc[0], "open": v[:n], "leave": v[end[:n]]}))
         return pd.concat(out)
 
     reports = split.groupBy(SLICE).applyInPandas(report, f"{keys}, {SLICE} int, open double, leave double")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, anchor = [], None
-        key = {c: pdf[c].iloc[0] for c in by}
+        key = dict(zip(by, _plain(pdf[c].iloc[0] for c in by)))
         for part, g in pdf.sort_values([SLICE, "open"]).groupby(SLICE, sort=True):
             rows.append({**key, SLICE: part, "entry": anchor})
             opens = g["open"].to_numpy()
@@ -146,20 +153,25 @@ def anchored_groups(df: DataFrame, by: list[str], value: str, tol: float, tiebre
     entries = reports.groupBy(*by).applyInPandas(chain, f"{keys}, {SLICE} int, entry double")
 
     def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known = {tuple(r[:-1]): r[-1] for r in right[[*by, "entry"]].itertuples(index=False) if pd.notna(r[-1])}
+        known = {_plain(r[:-1]): r[-1] for r in right[[*by, "entry"]].itertuples(index=False) if pd.notna(r[-1])}
         left = left.sort_values("_x", kind="stable").reset_index(drop=True)
         anchor = np.empty(len(left))
         for key, rows in left.groupby(by, dropna=False, sort=False).indices.items():
             v = left["_x"].to_numpy()[rows]
-            entry = known.get(key if isinstance(key, tuple) else (key,))
+            entry = known.get(_plain(key if isinstance(key, tuple) else (key,)))
             first = 0 if entry is None else int(np.searchsorted(v, entry + tol, side="right"))
             opens = v[_walk(v, first, _next_anchor(v, tol))]
             starts = opens if entry is None else np.concatenate([[entry], opens])
             anchor[rows] = starts[np.searchsorted(starts, v, side="right") - 1]
-        return left[[*by, SLICE, "_x"]].assign(anchor=anchor)
+        names = {c: np.array(_plain(left[c]), dtype=object) for c in by}
+        return left[[SLICE, "_x"]].assign(anchor=anchor, **names)[[*by, SLICE, "_x", "anchor"]]
 
     anchors = slim.groupBy(SLICE).cogroup(entries.groupBy(SLICE)).applyInPandas(assign, f"{keys}, {SLICE} int, _x double, anchor double")
-    return base.join(anchors, [*by, SLICE, "_x"], "left").drop(SLICE, "_x")
+    found = anchors.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col(SLICE).alias("_ks"), F.col("_x").alias("_kx"), "anchor")
+    same = (base[SLICE] == found["_ks"]) & (base["_x"] == found["_kx"])
+    for i, c in enumerate(by):
+        same = same & base[c].eqNullSafe(found[f"_k{i}"])
+    return base.join(found, same, "left").drop(SLICE, "_x", "_ks", "_kx", *(f"_k{i}" for i in range(len(by))))
 
 
 def anchored_minute(events: DataFrame, seconds: float = 60.0) -> DataFrame:

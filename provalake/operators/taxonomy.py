@@ -142,13 +142,17 @@ def incidence_tree(nodes: DataFrame, links: DataFrame, disc_counts: DataFrame, t
     return found.drop("_scope")
 
 
-def nest_tree(rows: DataFrame, key: list[str], max_depth: int = 6) -> DataFrame:
+def nest_tree(rows: DataFrame, key: list[str], max_depth: int | None = None) -> DataFrame:
     """Rows (node_path, depth, item_id, texto, count) back to one JSON tree per key, built from the leaves up.
 
+    All levels that the rows have, unless ``max_depth`` asks for the upper ones.
+
     Children are collected per parent node, which a syllabus document bounds.
     """
     fields = ["item_id", "texto", "count"]
     rows = cut_lineage(rows.select(*key, "node_path", "depth", *fields))  # read once per level
+    if max_depth is None:
+        max_depth = rows.agg(F.max("depth")).first()[0] or 0
     below = None
     for depth in range(max_depth, -1, -1):
         level = rows.filter(F.col("depth") == depth).select(

@@ -62,28 +62,27 @@ def text_variant(kind: str, stem: Column, options: Column, answer: Column) -> Co
 
 
 def similar_to(targets: DataFrame, vecs: DataFrame, threshold: float = 0.75, k: int = 10, metric: str = "cosine",
-               max_targets: int = 1000) -> DataFrame:
+               target_rows: int = 1000, block_rows: int = 20000) -> DataFrame:
     """Top ``k`` vectors for each target, never the target itself: by cosine at or above ``threshold``, or nearest by
     ``l2`` or ``cosine_distance`` or largest by ``inner`` product.
 
-    Targets go to every task, so their number is checked first and larger sets are refused (``similar_pairs`` has no
-    such limit). A task multiplies its batches with the target matrix and keeps ``k`` rows per target and batch.
+    Targets and vectors are dealt into blocks of about ``target_rows`` and ``block_rows`` by a hash of their id. Each block of
+    targets meets each block of vectors in one task, which keeps ``k`` rows per target.
     """
-    head = targets.select("id", "embedding").limit(max_targets + 1).collect()
-    if len(head) > max_targets:
-        raise ValueError(f"more than {max_targets} targets; use similar_pairs")
     if metric not in ("cosine", "cosine_distance", "l2", "inner"):
         raise ValueError(f"unknown metric {metric}")
-    names = [r[0] for r in head]
-    t = np.array([r[1] for r in head], dtype=np.float64).reshape(len(head), -1)
-    id_type = vecs.schema["id"].dataType.simpleString()
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size_t = np.linalg.norm(t, axis=1)
-        for pdf in batches:
-            if pdf.empty or not names:
-                continue
-            x, ids = np.stack(pdf["embedding"].to_numpy()).astype(np.float64), pdf["id"].to_numpy()
+    id_type, target_type = (d.schema["id"].dataType.simpleString() for d in (vecs, targets))
+    n_targets, n_blocks = (max(1, -(-d.count() // size)) for d, size in ((targets, target_rows), (vecs, block_rows)))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = targets.select("id", "embedding", deal(n_targets).alias("_t"), every(n_blocks).alias("_b"))
+    right = vecs.select("id", "embedding", deal(n_blocks).alias("_b"), every(n_targets).alias("_t"))
+
+    def score(wanted: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"target": [], "id": [], "score": []})]
+        if len(wanted) and len(pdf):
+            t, x = (np.stack(d["embedding"].to_numpy()).astype(np.float64) for d in (wanted, pdf))
+            ids, size_t = pdf["id"].to_numpy(), np.linalg.norm(t, axis=1)
             dots = x @ t.T
             if metric == "inner":
                 s = dots
@@ -92,16 +91,17 @@ def similar_to(targets: DataFrame, vecs: DataFrame, threshold: float = 0.75, k:
             else:
                 size = np.linalg.norm(x, axis=1)[:, None] * size_t[None, :]
                 s = np.where(size == 0, 0.0, dots / np.where(size == 0, 1, size))
-            for j, name in enumerate(names):
+            for j, name in enumerate(wanted["id"]):
                 ok = ids != name
                 if metric == "cosine":
                     ok &= s[:, j] >= threshold
                 pos = np.nonzero(ok)[0]
                 best = pos[np.lexsort((ids[pos], -s[pos, j]))[:k]]
                 if len(best):
-                    yield pd.DataFrame({"target": name, "id": ids[best], "score": s[best, j]})
+                    found.append(pd.DataFrame({"target": name, "id": ids[best], "score": s[best, j]}))
+        return pd.concat(found[1:] or found)
 
-    found = vecs.select("id", "embedding").mapInPandas(score, f"target {id_type}, id {id_type}, score double")
+    found = left.groupBy("_t", "_b").cogroup(right.groupBy("_t", "_b")).applyInPandas(score, f"target {target_type}, id {id_type}, score double")
     top = top_per_group(found, ["target"], [F.desc("score"), F.col("id")], k, rank="rank")
     value = F.col("score")
     shown = {"l2": -value, "cosine_distance": 1 - value}.get(metric, value)
@@ -238,10 +238,11 @@ def expand_pairs_top(best: DataFrame, few: DataFrame, k: int) -> DataFrame:
 
 
 def similarity_rows(vecs: DataFrame, threshold: float, **kw) -> DataFrame:
-    """Similarity matrix in long form: both directions and the diagonal, entries at or above ``threshold``."""
-    pairs = similar_pairs(vecs, threshold, **kw)
+    """Similarity matrix in long form: both directions and the diagonal, entries at or above ``threshold``, copies included."""
+    whole = vecs.filter(V.norm(F.col("embedding")) > 0)
+    pairs = expand_pairs(similar_pairs(vecs, threshold, **kw), copies(whole, distinct_vectors(whole)))
     swapped = pairs.select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2"), "score")
-    diagonal = distinct_vectors(vecs.filter(V.norm(F.col("embedding")) > 0)).select(F.col("id").alias("id_1"), F.col("id").alias("id_2"), F.lit(1.0).alias("score"))
+    diagonal = whole.select(F.col("id").alias("id_1"), F.col("id").alias("id_2"), F.lit(1.0).alias("score"))
     return pairs.unionByName(swapped).unionByName(diagonal)
 
 

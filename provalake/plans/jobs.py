@@ -65,7 +65,7 @@ def reduce_findings(digests: DataFrame, passes: DataFrame, by: list[str]) -> dic
     votes = p.withColumn("_first", F.row_number().over(_per_pattern(by)) == 1)
     analysis = FD.question_analysis(digests, by)
     recs = passes.select(*by, "pass_no", F.posexplode_outer("study_recommendations").alias("i", "texto")).withColumn(
-        "seq", F.col("pass_no") * 1000 + F.coalesce("i", F.lit(0)))
+        "seq", F.col("pass_no").cast("decimal(28,0)") * F.lit(2**31) + F.coalesce("i", F.lit(0)))  # pass first, then place, for any number of either
     order = F.struct("pass_no", "seq")
     return {
         "patterns": FD.vote(votes.filter("_first"), order, tuple(by)).drop("n_evidence"),
@@ -91,7 +91,7 @@ def verify(reports: DataFrame, claims: DataFrame, pool: DataFrame, judge: Callab
     """
     evidence = J.claim_evidence(claims, pool, by)
     best = evidence.filter("rank = 1").select(by, "claim_no", "overlap")
-    checked = W.top_per_group(claims, [by], [F.col("claim_no")], 20).join(best, [by, "claim_no"], "left")
+    checked = claims.join(best, [by, "claim_no"], "left")
     verdicts = judge(checked) if judge else checked.withColumn("is_verified", F.coalesce(F.col("overlap") >= min_overlap, F.lit(False)))
     return {"evidence": evidence, "verdicts": verdicts, "rollup": FD.verify_rollup(verdicts, [by]), "reports": FD.flag_report(reports, verdicts, by)}
 
@@ -111,9 +111,20 @@ class PhaseRun:
         return "completed_with_errors" if self.completed else "failed"
 
 
+def materialized(result: object) -> object:
+    """The same result with every table in it written to the shared folder, so that failures at run time show here."""
+    if isinstance(result, DataFrame):
+        return cut_lineage(result)
+    if isinstance(result, dict):
+        return {k: materialized(v) for k, v in result.items()}
+    if isinstance(result, tuple):
+        return tuple(materialized(v) for v in result)
+    return result
+
+
 def run_phases(phases: list[tuple[str, list[str], Callable[[dict], object]]], skip: tuple[str, ...] = ()) -> PhaseRun:
-    """Run named phases in order. Each lists the phases whose tables it needs. A phase that fails is recorded and the
-    ones that need it are skipped with an error; phases to skip are left out."""
+    """Run named phases in order. Each lists the phases whose tables it needs, and its own tables are written before it counts
+    as completed. A phase that fails is recorded and the ones that need it are skipped with an error; phases to skip are left out."""
     run = PhaseRun()
     for name, needs, step in phases:
         if name in skip:
@@ -123,7 +134,7 @@ def run_phases(phases: list[tuple[str, list[str], Callable[[dict], object]]], sk
             run.errors[name] = "missing input: " + ", ".join(missing)
             continue
         try:
-            run.tables[name] = step(run.tables)
+            run.tables[name] = materialized(step(run.tables))
             run.completed.append(name)
         except Exception as error:  # recorded per phase; the run goes on
             run.errors[name] = str(error)[:500]

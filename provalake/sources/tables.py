@@ -83,10 +83,13 @@ def sink_report(reports: DataFrame, path: str, mode: str = "overwrite") -> None:
     reports.select("disciplina", F.col("markdown").alias("value")).write.mode(mode).partitionBy("disciplina").text(path)
 
 
-def sink_related(parent: DataFrame, questions: DataFrame, labels: DataFrame, path: str) -> list[str]:
-    """Write exams, then questions, then classifications. A later failure leaves the earlier tables in place."""
+def sink_related(parent: DataFrame, questions: DataFrame, labels: DataFrame, path: str, batch: str = "0") -> list[str]:
+    """Write exams, then questions, then classifications, each batch into its own folder (partition ``lote``).
+
+    A batch written again replaces itself, so a retry doubles nothing. A later failure leaves the earlier tables in place.
+    """
     done: list[str] = []
     for name, df in (("provas", parent), ("questoes", questions), ("classificacoes", labels)):
-        df.write.mode("append").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").parquet(f"{path}/{name}/lote={batch}")
         done.append(name)
     return done

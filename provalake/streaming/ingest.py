@@ -37,7 +37,7 @@ def start_ingest(docs: DataFrame, out: str, checkpoint: str, key: str = "prova_i
 
     def write(batch: DataFrame, batch_id: int) -> None:
         q = best_per_number(scored_questions(batch, key), key)
-        q.drop("alertas").withColumn("lote", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/questoes/batch={batch_id}")
+        q.withColumn("lote", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/questoes/batch={batch_id}")
         # statuses come from the table just written, so the texts are parsed once
         done = batch.sparkSession.read.parquet(f"{out}/questoes/batch={batch_id}").withColumnRenamed(key, "prova_id")
         status = aggregates.exam_status(batch.select(F.col(key).alias("prova_id")).distinct(), done)
@@ -49,7 +49,8 @@ def start_ingest(docs: DataFrame, out: str, checkpoint: str, key: str = "prova_i
 def current_questions(spark: SparkSession, out: str) -> DataFrame:
     """Question table after all batches: the newest batch of each exam replaces earlier ones."""
     q = spark.read.option("basePath", f"{out}/questoes").parquet(f"{out}/questoes")
-    newest = q.groupBy("prova_id").agg(F.max("lote").alias("lote"))
+    p = spark.read.option("basePath", f"{out}/provas").parquet(f"{out}/provas")
+    newest = p.groupBy("prova_id").agg(F.max("lote").alias("lote"))  # also batches in which an exam had no question
     return q.join(newest, ["prova_id", "lote"], "left_semi")
 
 

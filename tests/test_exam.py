@@ -225,6 +225,32 @@ def test_phases():
     assert "missing input: b" == run.errors["c"] and "e" not in run.tables
 
 
+def test_phase_that_fails_at_run_time(spark):
+    broken = lambda t: spark.range(3).select(F.raise_error(F.lit("boom")).alias("x"))
+    run = JB.run_phases([("a", [], lambda t: spark.range(3)), ("b", [], broken), ("c", ["b"], lambda t: t["b"]), ("d", ["a"], lambda t: {"x": t["a"].limit(2)})])
+    assert run.completed == ["a", "d"] and "boom" in run.errors["b"] and run.errors["c"] == "missing input: b"
+    assert run.tables["d"]["x"].count() == 2
+
+
+def test_every_claim_meets_every_evidence_row(spark):
+    claims = spark.createDataFrame([(1, i, f"claim palavra{i} unica{i}") for i in range(30)], "report_id int, claim_no int, claim string")
+    pool = spark.createDataFrame([(1, i, f"linha palavra{i - 60} unica{i - 60}") for i in range(90)], "report_id int, evidence_no int, enunciado string")
+    out = JB.verify(spark.createDataFrame([(1, "texto")], "report_id int, texto string"), claims, pool, min_overlap=2)
+    assert {(r.claim_no, r.evidence_no) for r in out["evidence"].filter("rank = 1").collect()} == {(i, i + 60) for i in range(30)}
+    assert tuple(out["rollup"].first()) == (1, 30, 30, 0)
+    none = JB.verify(spark.createDataFrame([(1, "texto")], "report_id int, texto string"), claims, pool.filter("evidence_no < 60"), min_overlap=2)
+    assert none["reports"].first().texto.count("- claim") == 30
+
+
+def test_all_pages_and_whole_reports(spark):
+    pages = spark.createDataFrame([("d", i, f"texto {i}") for i in range(60)], "doc string, page int, text string")
+    from provalake.operators import parsing as PO
+
+    assert PO.page_text(pages).first().paginas == 60 and PO.page_text(pages, max_pages=10).first().paginas == 10
+    passes = spark.createDataFrame([(1, i, "x" * 900) for i in range(40)], "job int, n int, t string")
+    assert len(FD.report_concat(passes, ["job"], ["n"], "t").first().texto) == 40 * 900 + 39 * 7
+
+
 def test_report_and_requests(spark):
     q = spark.createDataFrame([(f"q{i}", "Direito", i, f"enunciado {i}", "A", 1) for i in range(10)], "questao_id string, disciplina string, numero int, enunciado string, gabarito string, edital_id int")
     labels = q.select("questao_id", "disciplina", F.when(F.col("numero") < 7, "Penal").otherwise("Civil").alias("assunto"), F.col("numero").alias("seq"))

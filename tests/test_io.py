@@ -143,3 +143,13 @@ def test_ingest_files(spark, tmp_path):
     exams = {r.prova_id: r.status for r in SI.current_exams(spark, str(tmp_path / "out")).collect()}
     assert exams["p3"] == "partial" and len(exams) == 3
     assert SI.current_questions(spark, str(tmp_path / "out")).count() == 3
+
+
+def test_exam_sent_again_without_questions(spark, tmp_path):
+    out = str(tmp_path / "out")
+    old = spark.createDataFrame([("p1", 1, 0), ("p2", 1, 0)], "prova_id string, numero int, lote int")
+    for batch, rows in ((0, old), (1, old.filter("false"))):
+        rows.write.parquet(f"{out}/questoes/batch={batch}")
+    for batch, ids in ((0, ["p1", "p2"]), (1, ["p1"])):
+        spark.createDataFrame([(i, batch) for i in ids], "prova_id string, lote int").write.parquet(f"{out}/provas/batch={batch}")
+    assert [r.prova_id for r in SI.current_questions(spark, out).collect()] == ["p2"]

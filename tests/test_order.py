@@ -112,3 +112,9 @@ def test_columns(spark):
     rows = [(1, x, 600., "t") for x in (30., 35., 40., 300., 310., 305.)] + [(2, x, 600., "t") for x in (30., 40., 50., 60.)]
     got = {r.pg: r.boundary for r in column_boundary(spark.createDataFrame(rows, "pg int, x0 double, page_width double, text string"), ["pg"]).collect()}
     assert got == {1: 170.0, 2: None}
+
+
+def test_anchored_groups_with_a_null_key(spark):
+    df = spark.createDataFrame([(None, i, float(i)) for i in range(40)] + [("a", i, float(i)) for i in range(5)], "k string, id int, v double")
+    got = {(r.k, r.id): r.anchor for r in anchored_groups(df, ["k"], "v", 3.0, "id", partitions=4).collect()}
+    assert got == {(k, i): float(i - i % 4) for k, n in ((None, 40), ("a", 5)) for i in range(n)}

@@ -168,3 +168,8 @@ def test_windows(spark):
     plain = value(spark, X.text_windows(F.col("t"), 100, 10), t=text)
     assert plain[0] + "".join(w[10:] for w in plain[1:]) == text
     assert value(spark, X.text_windows(F.col("t"), 100, 10), t="curto") == ["curto"]
+
+
+@pytest.mark.parametrize("raw,expected", [("mbẽ ế ﬁm", "mbe e fim"), ("Ǖ ỹ Ώ", "U y Ω"), ("한글 çã", "한글 ca")])
+def test_accents_of_all_unicode(spark, raw, expected):
+    assert value(spark, X.strip_accents(F.col("t")), t=raw) == expected

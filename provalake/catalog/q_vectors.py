@@ -450,3 +450,37 @@ def sink_report(spark, sf):
     back = spark.read.option("basePath", path).text(path, wholetext=True).select("disciplina", F.regexp_replace("value", r"\n\z", "").alias("t"))
     total = F.regexp_extract("t", r"\*\*Total de Questões:\*\* (\d+)", 1).cast("long")
     return back.select("disciplina", total.alias("total"), F.md5("t").alias("h"))
+
+
+# --- files of questions ----------------------------------------------------------------------------------------
+
+def question_files(spark, sf, text):
+    """One JSON file of all its questions for every project, in a folder of its own."""
+    path = scratch_dir(spark, "files")
+    fields = F.struct("prova_id", "numero", "questao_id", "enunciado", "gabarito")
+    files = A.questoes_provas(spark, sf).groupBy("projeto_id").agg(
+        F.to_json(F.struct(F.struct(F.min("banca").alias("banca"), F.min("ano").alias("ano")).alias("metadados"),
+                           F.sort_array(F.collect_list(fields)).alias("questoes"))).alias("value"))
+    files.select("projeto_id", text(F.col("value")).alias("value")).write.partitionBy("projeto_id").text(path)
+    return path
+
+
+def project_of_file():
+    return F.regexp_extract("arquivo", r"projeto_id=(\d+)/", 1).cast("long").alias("projeto_id")
+
+
+@query("scan_questions_json", with_("v_questoes", "v_provas", "v_qp") + """SELECT projeto_id, (row_number() OVER (PARTITION BY projeto_id ORDER BY prova_id, numero, questao_id) - 1)::INT AS seq,
+ min(banca) OVER (PARTITION BY projeto_id) AS banca, min(ano) OVER (PARTITION BY projeto_id) AS ano, numero::INT AS numero, enunciado, gabarito FROM v_qp""")
+def scan_questions_json(spark, sf):
+    rows = S.scan_questions_json(spark, question_files(spark, sf, lambda v: v))
+    return rows.select(project_of_file(), "seq", "banca", "ano", "numero", "enunciado", "gabarito")
+
+
+@query("scan_dir_batch", with_("v_questoes", "v_provas", "v_qp") + """SELECT projeto_id, CASE WHEN projeto_id % 7 = 0 THEN 'arquivo invalido' ELSE 'lido' END AS estado,
+ CASE WHEN projeto_id % 7 = 0 THEN 1 ELSE count(*) END AS linhas FROM v_qp GROUP BY projeto_id""")
+def scan_dir_batch(spark, sf):
+    """Every seventh file breaks off in the middle: it gives one error row, the others their questions."""
+    half = lambda v: F.when(F.col("projeto_id") % 7 == 0, F.substring(v, F.lit(1), F.floor(F.length(v) / 2).cast("int"))).otherwise(v)
+    good, errors = S.scan_dir(spark, question_files(spark, sf, half), "part-*")
+    rows = good.select(project_of_file(), F.lit("lido").alias("estado")).unionByName(errors.select(project_of_file(), F.col("_error").alias("estado")))
+    return rows.groupBy("projeto_id", "estado").agg(F.count("*").alias("linhas"))

@@ -28,8 +28,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn at the rates that bring the languages' tokens to their target weights, without more of any than
-    there is: by default the total is the largest that needs no repeats on average."""
+    """Documents are drawn at the rates that bring the languages' tokens to their target weights. At least mixing.KEEP of
+    the tokens stay: scarce languages are repeated, up to mixing.MOST_RATE times, and a missing one leaves its weight to the
+    others."""
     return mixing.resampled(docs, mixing.labelled_by(docs, "lang"), mixing.TARGETS)
 
 

@@ -10,6 +10,7 @@ recomputed from them wherever it is needed.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +27,15 @@ PER_DOMAIN, FEATURES = 500, 1024
 #: Posteriors are counted in this many parts.
 PARTS = 1000
 MOST_STEPS, TOLERANCE = 300, 1e-4
+#: By default no document is taken more often than this on average, so a domain that would need more falls short of its target.
+MOST_RATE = 4.0
+#: The default total is this share of the tokens there are, or more where no domain has to be repeated for it. What is left
+#: below 1 makes room for the chance of the draws, so that a mix hardly ever has more rows than its input.
+KEEP = 0.9
 #: Target weights of the registered query and of the pipeline.
 TARGETS = {"en": 0.55, "de": 0.18, "fr": 0.17, "es": 0.10}
 
+_LOG = logging.getLogger(__name__)
 _FEATURE = (mix64(np.arange(65536, dtype=np.uint64)) % np.uint64(FEATURES)).astype(np.int64)
 
 
@@ -59,7 +66,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], per_domain: int = PER_DOMAIN, rounds: int = 300) -> Model:
     """Softmax regression on a bounded sample of `labelled` (doc_id, domain): per_domain documents of each domain, chosen by a
     hash of the id. Their ids are broadcast; per_domain * domains rows of FEATURES numbers reach the driver. Domains without
-    a labelled document get almost no membership."""
+    a labelled document get no membership, unless none has one."""
     key = F.xxhash64("doc_id")
     ids = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "domain").where(F.col("doc_id").isNotNull())
     ids = ids.groupBy("doc_id").agg(F.min("domain").alias("domain"))
@@ -81,6 +88,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], per_do
             p /= p.sum(1, keepdims=True)
             speed = 0.9 * speed - 2.0 * (x.T @ (balance * (p - y)) + 1e-5 * weights)
             weights = weights + speed
+        weights[-1, y.sum(0) == 0] = -1e9
     return Model(domains, weights)
 
 
@@ -105,22 +113,22 @@ def memberships(docs: DataFrame, model: Model) -> DataFrame:
     return texts(docs).mapInPandas(lambda it: _members(it, model), "doc_id long, n_tokens long, member array<int>")
 
 
-def rates(member: np.ndarray, start: float, steps: list[np.ndarray]) -> np.ndarray:
-    """The rates of cells (rows of posteriors) after the given steps."""
+def rates(member: np.ndarray, start: float, steps: list[np.ndarray], most: float = np.inf) -> np.ndarray:
+    """The rates of cells (rows of posteriors) after the given steps; none above `most`."""
     r = np.full(len(member), start)
     for s in steps:
-        r = np.maximum(0.0, r - member @ s)
+        r = np.clip(r - member @ s, 0.0, most)
     return r
 
 
-def _expected(cells: DataFrame, start: float, steps: list[np.ndarray], n: int) -> np.ndarray:
+def _expected(cells: DataFrame, start: float, steps: list[np.ndarray], n: int, most: float) -> np.ndarray:
     """Expected tokens of each domain at the present rates: partial sums by batch, then one row of n numbers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(n)
         for b in batches:
             member = np.stack(b["member"].to_list()).reshape(-1, n) / PARTS
-            total += (rates(member, start, steps) * b["tokens"].to_numpy(float)) @ member
+            total += (rates(member, start, steps, most) * b["tokens"].to_numpy(float)) @ member
         yield pd.DataFrame({"domain": range(n), "tokens": total})
 
     found = cells.mapInPandas(run, "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect()
@@ -133,8 +141,10 @@ def _expected(cells: DataFrame, start: float, steps: list[np.ndarray], n: int) -
 def fit(cells: DataFrame, targets: dict[str, float], total: float | None = None) -> tuple[float, list[np.ndarray], np.ndarray, np.ndarray]:
     """Start rate, steps, target tokens and expected tokens by domain, for cells (member, tokens).
 
-    `total` tokens are shared out by the targets' weights; by default the most that every domain can give once, so that few
-    rates exceed one. The step is the inverse of the largest eigenvalue of the tokens' second moments of membership.
+    Domains without tokens are left out, and the weights of the others shared out anew. `total` tokens are shared out by the
+    weights, at whatever rates it takes. By default they are KEEP of those there are, or more where every domain can give its
+    part once: scarce domains are repeated, up to MOST_RATE times; one that would need more gives what it can, and the others
+    keep their parts. The step is the inverse of the largest eigenvalue of the tokens' second moments of membership.
     """
     n = len(targets)
     share = np.array(list(targets.values())) / sum(targets.values())
@@ -142,16 +152,19 @@ def fit(cells: DataFrame, targets: dict[str, float], total: float | None = None)
     sums = [F.sum(F.col("tokens") * at[d]) for d in range(n)] + [F.sum(F.col("tokens") * at[d] * at[e]) for d in range(n) for e in range(n)]
     found = np.array([float(v or 0) for v in cells.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()])
     have, moments = found[:n], found[n:].reshape(n, n)
+    share = np.where(have > 0, share, 0.0)
+    share /= share.sum() or 1.0
+    most = np.inf if total is not None else MOST_RATE
     if total is None:
-        total = float(min((have[d] / share[d] for d in range(n) if share[d] > 0), default=0.0))
-    want = share * total
-    start = total / have.sum() if have.sum() else 0.0
+        total = max(KEEP * have.sum(), float(min((have[d] / share[d] for d in range(n) if share[d] > 0), default=0.0)))
+    start = total / have.sum() if have.sum() else 1.0
+    want = share * total if np.isinf(most) else np.minimum(share * total, most * have)
     largest = float(np.linalg.eigvalsh(moments)[-1]) or 1.0
     steps: list[np.ndarray] = []
     expected = have * start
     while len(steps) < MOST_STEPS and np.abs(expected - want).max() > TOLERANCE * max(total, 1.0):
         steps.append((expected - want) / largest)
-        expected = _expected(cells, start, steps, n)
+        expected = _expected(cells, start, steps, n, most)
     return start, steps, want, expected
 
 
@@ -160,16 +173,24 @@ class Plan:
     model: Model
     start: float
     steps: list[np.ndarray]
+    most: float
+    want: np.ndarray
+    expected: np.ndarray
 
     def rates(self, member: np.ndarray) -> np.ndarray:
-        return rates(member / PARTS, self.start, self.steps)
+        return rates(member / PARTS, self.start, self.steps, self.most)
 
 
 def planned(members: DataFrame, model: Model, targets: dict[str, float], total: float | None = None) -> Plan:
-    """Fit the rates over the cells of a table of memberships."""
+    """Fit the rates over the cells of a table of memberships. A warning names the domains that can't have their target."""
     cells = members.groupBy("member").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
-    start, steps, _, _ = fit(stored(cells, "cells"), targets, total)
-    return Plan(model, start, steps)
+    start, steps, want, expected = fit(stored(cells, "cells"), targets, total)
+    weight = np.array(list(targets.values())) / sum(targets.values())
+    got = expected / (expected.sum() or 1.0)
+    missed = [f"{d} {g:.4f} instead of {w:.4f}" for d, w, g in zip(targets, weight, got, strict=True) if abs(g - w) > 10 * TOLERANCE]
+    if missed and expected.sum():
+        _LOG.warning("shares that differ from their targets: %s", ", ".join(missed))
+    return Plan(model, start, steps, np.inf if total is not None else MOST_RATE, want, expected)
 
 
 def _draw():

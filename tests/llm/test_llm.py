@@ -314,6 +314,24 @@ def test_mixing_awkward_rows(spark, sample):
     assert again.columns == rows.columns and Counter(r["doc_id"] for r in again.collect()) == +copies
 
 
+def _cells(spark, parts, tokens):
+    return spark.createDataFrame([(p, t) for p, t in zip(parts, tokens)], "member array<int>, tokens long")
+
+
+def test_scarce_or_missing_domain_does_not_set_the_size(spark, sample):
+    one = [[1000, 0, 0, 0], [0, 1000, 0, 0], [0, 0, 1000, 0], [0, 0, 0, 1000]]
+    tokens = [600_000, 200_000, 180_000, 1_000]
+    _, _, want, _ = mixing.fit(_cells(spark, one, tokens), mixing.TARGETS)
+    assert want[3] == mixing.MOST_RATE * 1_000 and np.allclose(want[:3] / want[0], np.array([0.55, 0.18, 0.17]) / 0.55)
+    assert want.sum() > 0.8 * sum(tokens)
+    _, _, want, expected = mixing.fit(_cells(spark, one[:3], tokens[:3]), mixing.TARGETS)
+    assert want[3] == 0 and want.sum() >= 0.9 * sum(tokens[:3]) and np.abs(expected - want).max() <= 1e-3 * want.sum()
+    rows = sample[0].where("lang <> 'es' or lang is null")
+    out = mixing.mixed(rows, mixing.labelled_by(rows, "lang"), mixing.TARGETS).toPandas()
+    assert np.stack(out.member.to_list())[:, 3].max() == 0
+    assert (out.n_tokens * out.rate).sum() > 0.85 * out.n_tokens.sum() and out.copies.sum() > 0.7 * len(out)
+
+
 # pages
 
 PAGE = ('<html><head><title>t</title><style>p{}</style></head><body><header>H</header><nav>n</nav><main><article class="post"><header><h1>T &amp; U</h1></header>'

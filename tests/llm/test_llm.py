@@ -332,6 +332,21 @@ def test_scarce_or_missing_domain_does_not_set_the_size(spark, sample):
     assert (out.n_tokens * out.rate).sum() > 0.85 * out.n_tokens.sum() and out.copies.sum() > 0.7 * len(out)
 
 
+@pytest.mark.parametrize("ratios", [(1, 0.01, 0.01, 0.01), (1, 0.3, 0.2, 0.003)])
+def test_fit_reaches_targets_of_small_domains(spark, ratios):
+    parts = [[1000 if d == e else 0 for e in range(4)] for d in range(4)] + [[997 if d == e else 1 for e in range(4)] for d in range(4)]
+    tokens = [int(1_000_000 * r) for r in ratios]
+    _, steps, want, expected = mixing.fit(_cells(spark, parts, tokens + tokens), mixing.TARGETS, total=1_000_000.0)
+    assert np.abs(expected / expected.sum() - list(mixing.TARGETS.values())).max() <= 2e-4 and len(steps) < 100
+    assert np.allclose(want, 1e6 * np.array(list(mixing.TARGETS.values())))
+
+
+def test_missed_targets_are_named(spark, caplog):
+    members = spark.createDataFrame([([1000, 0], 990), ([0, 1000], 10)], "member array<int>, n_tokens long")
+    plan = mixing.planned(members, None, {"a": 0.5, "b": 0.5})
+    assert "b 0." in caplog.text and np.allclose(plan.expected, plan.want, atol=0.2) and plan.want[1] == mixing.MOST_RATE * 10
+
+
 # pages
 
 PAGE = ('<html><head><title>t</title><style>p{}</style></head><body><header>H</header><nav>n</nav><main><article class="post"><header><h1>T &amp; U</h1></header>'

@@ -370,6 +370,19 @@ def test_repeats_go_where_a_page_marks_no_article(spark):
     assert html_text.main_text(pages.where("false")).count() == 0
 
 
+def test_shared_passages_and_copies_stay(spark):
+    quote = "to be or not to be that is the question here"
+    menu = "home about us contact our whole team right here"
+    rows = [(i, f"http://h.example/{i}", f"<p>{menu}</p><p>{i} story {i * 7} of {i * 3}</p>" + (f"<p>{quote}</p>" if i < 3 else "")) for i in range(20)]
+    article = "one article of ten words or so in two copies"
+    rows += [(30, "http://h.example/30", f"<p>{article}</p>"), (31, "http://h.example/31", f"<p>{article}</p>")]
+    rows += [(40 + i, f"http://two.example/{i}", f"<p>{quote}</p><p>page {i}</p>") for i in range(2)]
+    rows += [(50, "http://h.example/50", f"<p>{menu}</p>")]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == f"1 story 7 of 3\n{quote}" and got[9] == "9 story 63 of 27"
+    assert got[30] == got[31] == article and got[40] == f"{quote}\npage 0" and got[50] == menu
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 3, 300).astype(np.uint64)

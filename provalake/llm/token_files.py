@@ -122,7 +122,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.opening: dict[str, bytes] = {}  # first parts of texts
         self.cache: dict[str, bytes] = {}  # parts after a space
         tokens = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))

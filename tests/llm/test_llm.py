@@ -168,6 +168,16 @@ def test_token_files_against_the_tokenizer(spark, sample):
     assert [g[1:] for g in got] == [w[1:] for w in want] and [g[0] for g in got] == starts[:-1]
 
 
+def test_special_strings_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    rows = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a  <|endoftext|>  b", "q <|endoftext|><|endoftext|> r\n<|endoftext|> s", "n <|endoftext|>"]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in token_files.Encoder(path).encode(rows)]
+    assert got == [e.ids for e in plain.encode_batch(rows, add_special_tokens=False)] and got[0] == [64, 220, 50256, 275]
+
+
 def test_token_files_of_rows_without_ids(spark):
     got = token_files.token_files(docs(spark, [(None, "a b"), (None, ""), (3, None)])).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, None, 3] and sum(r["n_tokens"] for r in got) == 5

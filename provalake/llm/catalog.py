@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from provalake.llm import byte_bpe, chat_preferences, html_text, minhash, mixing, quality_classifier, quality_rules, token_files, topk, toxicity
+from provalake.llm import byte_bpe, chat_preferences, html_text, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, token_files, topk, toxicity
 from provalake.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -116,3 +116,20 @@ def op5_mixing(spark, sf_dir):
 @query("op4_html_text")
 def op4_html_text(spark, sf_dir):
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op13_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM late)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b, b - a AS gone, 1 AS span FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(n), 0, 0 FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(span) AS BIGINT) AS n_spans,
+  sha256(unhex(string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b))) AS kept_sha256
+FROM d JOIN gaps USING (doc_id) GROUP BY d.doc_id, d.n
+""")
+def op13_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from provalake.llm import byte_bpe, chat_preferences, html_text, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, token_files, topk, toxicity
+from provalake.llm import byte_bpe, chat_preferences, html_text, minhash, mixing, phrase_mining, quality_classifier, quality_rules, suffix_dedup, token_files, topk, toxicity
 from provalake.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -133,3 +133,23 @@ FROM d JOIN gaps USING (doc_id) GROUP BY d.doc_id, d.n
 """)
 def op13_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op12_phrase_mining", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' ')) AS gs FROM w, range(1, 4) t(k)),
+f AS (SELECT lang, k, g, count(*) AS a FROM (SELECT lang, k, unnest(gs) AS g FROM g) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, a, string_split(g, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+longer AS (SELECT lang, array_to_string(ws[j:j + 1], ' ') AS g, max(a) AS longer FROM c, range(1, 3) t(j) WHERE k = 3 GROUP BY ALL),
+cut AS (SELECT c.lang, c.g, c.a, j, x.a AS l, y.a AS r, (1000000 * CAST(c.a AS HUGEINT) * c.a) // (CAST(x.a AS HUGEINT) * y.a) AS score FROM c, range(1, 3) t(j)
+  JOIN f x ON x.lang = c.lang AND x.k = j AND x.g = array_to_string(ws[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.k = c.k - j AND y.g = array_to_string(ws[j + 1:], ' ')
+  WHERE j < c.k),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, g) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, g AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank FROM kept) JOIN total USING (lang) WHERE rank <= 2000
+""")
+def op12_phrase_mining(spark, sf_dir):
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,13 @@ def groups_by_size(sizes: list[int], most: int):
         yield start, len(sizes)
 
 
+def text_slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about `most` bytes in their column `text`; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    for start, stop in groups_by_size(sizes, most):
+        yield batch.slice(start, stop - start)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit integers (the splitmix64 finalizer; its constants are fixed values)."""
     x = x.astype(np.uint64)

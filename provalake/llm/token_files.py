@@ -13,7 +13,6 @@ that need more are outliers, patched after unpacking.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -33,15 +32,13 @@ BLOCK, PERCENTILE = 512, 90
 HEADER = np.dtype([("base", "<u4"), ("n", "<u2"), ("outliers", "<u2"), ("width", "u1")])
 #: A segment ends with the document that brings it to so many ids; texts are encoded in groups of so many characters.
 SEGMENT_IDS, CHUNK = 1 << 18, 2_000_000
-#: Cached words in a Python worker; a full cache starts anew.
-MOST_WORDS = 1_000_000
+#: Bytes that cached words may take in a Python worker, at about so many for a word and for each of its characters; a full cache
+#: starts anew.
+MOST_CACHED, PER_WORD, PER_CHARACTER = 160_000_000, 220, 5
 END_ID = 0
 SEGMENT_SCHEMA = ("shard int, segment int, first_id long, n_ids long, doc_ids array<long>, doc_starts array<long>, "
                   "block_starts array<int>, payload binary")
 
-_BESIDE_BLANK = re.compile(r" \s|\s ")
-_OTHER_BLANK = re.compile(r"[^\S \n]")
-
 
 def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Payload and block starts of an array of ids below 2^32."""
@@ -100,30 +97,36 @@ def unpack(payload: bytes, starts: np.ndarray) -> np.ndarray:
     return out[np.arange(BLOCK) < header["n"][:, None]].astype(np.uint32)
 
 
-def words(text: str) -> tuple[str, list[str]]:
-    """The text cut at each single space between two characters that aren't blank: there the tokenizer always cuts too, before
-    the space, and looks at nothing beyond, so the parts can be encoded, and cached, one by one. The first part, and the
-    rest without the space before each."""
-    first, *rest = text.split(" ")
-    if not (_BESIDE_BLANK.search(text) or text[:1].isspace() or text[-1:].isspace() or _OTHER_BLANK.search(text)):
-        return first, rest
-    out = [first]
-    for before, w in zip([first, *rest], rest):
+def words(parts: list[str]) -> list[str]:
+    """The parts of a text between its spaces, put together again where the tokenizer may not cut: it always cuts before a single
+    space between two characters that aren't blank, and looks at nothing beyond, so what is left can be encoded, and cached, one
+    by one. All but the first lack the space before them."""
+    out = [parts[0]]
+    for before, w in zip(parts, parts[1:]):
         if before and not before[-1].isspace() and w and not w[0].isspace():
             out.append(w)
         else:
             out[-1] += " " + w
-    return out[0], out[1:]
+    return out
+
+
+def _edged(parts: set[str]) -> set[str]:
+    """Parts that are empty or have a blank at either end."""
+    return {w for w in parts if w.strip() != w} | parts.intersection([""])
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    """Encodes texts over a cache of words. `special`: are the strings of special tokens in a text these tokens?"""
+
+    def __init__(self, path: str, special: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
         self.opening: dict[str, bytes] = {}  # first parts of texts
         self.cache: dict[str, bytes] = {}  # parts after a space
+        self.cached = 0
         tokens = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.opens = np.array([t.startswith("\u0120") for t in tokens])  # the vocabulary's sign for a space
 
@@ -133,33 +136,50 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Encode new parts, each after a space. Those without another blank are joined, many to a call: the tokenizer cuts
         before each space, and only a part's first token begins with one, so the ids fall apart again. The rest go one by one."""
-        plain, other = [], []
-        for w in new:
-            (plain if w and " " not in w and not w[0].isspace() and not w[-1].isspace() else other).append(w)
+        other = [w for w in new if " " in w]
+        plain = [w for w in new if " " not in w] if other else new
         for start in range(0, len(plain), 20_000):
             part = plain[start:start + 20_000]
             joined = [" " + " ".join(part[i:i + 200]) for i in range(0, len(part), 200)]
-            ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], "<u4")
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), "<u4")
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(part) or starts[:1].any():
                 other += part
                 continue
             data, cuts = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
-            self.cache.update(zip(part, (data[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))
+            self.cache.update(zip(part, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
         for start in range(0, len(other), 20_000):
             part = other[start:start + 20_000]
             self.cache.update(zip(part, self._each([" " + w for w in part]), strict=True))
 
     def encode(self, group: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text. Each distinct word goes through the tokenizer once."""
-        split = [words(t) for t in group]
-        if len(self.cache) + len(self.opening) >= MOST_WORDS:
+        """Little-endian unsigned 32-bit ids of each text. Each distinct word goes through the tokenizer once.
+
+        Texts are cut at every space. A part that is empty or has a blank at an end is never kept in the cache, so it shows among
+        the new ones; then the texts that have such parts are put together again where need be.
+        """
+        split = [t.split(" ") for t in group]
+        if self.cached > MOST_CACHED:
             self.cache.clear()
             self.opening.clear()
-        first = list({f for f, _ in split}.difference(self.opening))
+            self.cached = 0
+        new = set(chain.from_iterable(split)).difference(self.cache)
+        edged = _edged(new)
+        if edged:
+            split = [parts if edged.isdisjoint(parts) else words(parts) for parts in split]
+            new = set(chain.from_iterable(split)).difference(self.cache)
+            edged = _edged(new)
+            new -= edged
+        self._learn(list(new))
+        first = list({parts[0] for parts in split}.difference(self.opening))
         self.opening.update(zip(first, self._each(first), strict=True))
-        self._learn(list(set(chain.from_iterable(rest for _, rest in split)).difference(self.cache)))
-        return [self.opening[f] + b"".join(map(self.cache.__getitem__, rest)) for f, rest in split]
+        self.cached += PER_WORD * (len(new) + len(first)) + PER_CHARACTER * (sum(map(len, new)) + sum(map(len, first)))
+        once = list(edged)
+        self.cache.update(zip(once, self._each([" " + w for w in once]), strict=True))
+        out = [self.opening[parts[0]] + b"".join(map(self.cache.__getitem__, parts[1:])) for parts in split]
+        for w in once:
+            del self.cache[w]
+        return out
 
 
 def encoder(path: str) -> Encoder:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from provalake.llm import byte_bpe, chat_preferences, html_text, minhash, mixing, phrase_mining, quality_classifier, quality_rules, suffix_dedup, token_files, topk, toxicity
+from provalake.llm import byte_bpe, chat_preferences, html_text, minhash, mixing, phrase_mining, quality_classifier, quality_rules, suffix_dedup, token_alignment, token_files, topk, toxicity
 from provalake.llm.common import table
 
 QUERIES: dict[str, Callable] = {}
@@ -153,3 +153,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 """)
 def op12_phrase_mining(spark, sf_dir):
     return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark, sf_dir):
+    return token_alignment.align(table(spark, sf_dir, "documents"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,78 +21,110 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provalake.llm.common import stored
+from provalake.llm.common import groups_by_size, stored
 
-LENGTH, KEY = 100, 16
+LENGTH, KEY = 100, 32
 #: Contexts of one anchor that a task puts in order; bytes that are put in order at once.
-MOST_CONTEXTS, BUNDLE = 1000, 1 << 17
+MOST_CONTEXTS, BUNDLE = 64, 1 << 19
 #: Rows without a doc_id come after all others.
 LAST_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 31) - 1)
-# Fixed odd multipliers of the anchor hash.
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+# Fixed odd multipliers of the anchor hash, one for each 8 bytes of the key.
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def lyndon_groups(text: bytes) -> tuple[list[int], list[int]]:
-    """For each suffix the rank at which the group of its longest Lyndon prefix begins, and the previous smaller suffix (or -1).
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges that begin at `start`, one range after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
-    Groups start as first bytes. From the highest group down, each suffix of the group finds its previous smaller suffix over
-    the pointers known so far; suffixes that are pointed to by equally many members of the group have grown by the same
-    Lyndon word, and move to a new group right above their old one.
+
+def lyndon_groups(data: np.ndarray, base: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix the rank at which the group of its longest Lyndon prefix begins, and the previous smaller suffix.
+
+    Many texts go side by side: text t has the bytes, suffixes and ranks from base[t] on; len(data) stands for no suffix.
+    Groups start as first bytes. In each text the highest group that is left is taken: each of its suffixes finds its previous
+    smaller suffix over the pointers known so far. Suffixes that equally many members point to have grown by the same Lyndon
+    word, and move to a new group right above their old one.
     """
-    n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    group, place, last = [0] * n, [0] * n, {}
-    for rank, i in enumerate(order):
-        start = rank if not rank or text[order[rank - 1]] != text[i] else group[order[rank - 1]]
-        group[i], place[i], last[start] = start, rank, rank + 1
-    before = list(range(-1, n - 1))
-    stop = n
-    while stop:
+    n = len(data)
+    symbol = np.repeat(np.arange(len(base)), size) << 8 | data
+    order = np.argsort(symbol, kind="stable")
+    edge = np.flatnonzero(np.diff(symbol[order], prepend=-1))
+    group, place, last = np.full(n + 1, -1), np.empty(n, np.int64), np.zeros(n + 1, np.int64)
+    place[order] = np.arange(n)
+    group[order] = np.repeat(edge, np.diff(np.append(edge, n)))
+    last[edge] = np.append(edge[1:], n)
+    before = np.arange(-1, n)
+    before[base] = n
+    moving = np.zeros(n + 1, bool)
+    base, stop = base[size > 0], (base + size)[size > 0]
+    while len(stop):
         start = group[order[stop - 1]]
-        grown: dict[int, int] = {}
-        for i in order[start:stop]:
-            p = before[i]
-            while p >= 0 and group[p] >= start:
-                p = before[p]
-            before[i] = p
-            if p >= 0:
-                grown[p] = grown.get(p, 0) + 1
-        moving: dict[tuple[int, int], list[int]] = {}
-        for p, times in grown.items():
-            moving.setdefault((times, group[p]), []).append(p)
-        for times, old in sorted(moving, reverse=True):
-            members = moving[times, old]
-            to = last[old]
-            new = to - len(members)
-            if new == old:  # all that is left of the old group: it only got a longer prefix
-                continue
-            last[old], last[new] = new, to
-            for p in members:
-                to -= 1
-                at, other = place[p], order[to]
-                order[at], order[to], place[other], place[p] = other, p, at, to
-                group[p] = new
-        stop = start
+        width = stop - start
+        members, floor = order[_spread(start, width)], np.repeat(start, width)
+        stop = start[start > base]
+        base = base[start > base]
+        while True:
+            p = before[members]
+            over = group[p] >= floor
+            if not over.any():
+                break
+            before[members[over]] = before[p[over]]
+        grown, times = np.unique(p, return_counts=True)
+        if grown[-1] == n:
+            grown, times = grown[:-1], times[:-1]
+        if not len(grown):
+            continue
+        old = group[grown]
+        by = np.lexsort((times, old))
+        grown, times, old = grown[by], times[by], old[by]
+        first = np.flatnonzero(np.diff(old, prepend=-1))
+        many = np.diff(np.append(first, len(old)))
+        first_to = last[old[first]] - many
+        to = _spread(first_to, many)
+        left, was = order[to], place[grown]
+        moving[grown] = True
+        out = left[~moving[left]]
+        moving[grown] = False
+        free = was[was < np.repeat(first_to, many)]
+        order[free], place[out] = out, free
+        order[to], place[grown] = grown, to
+        fresh = np.flatnonzero((np.diff(old, prepend=-1) != 0) | (np.diff(times, prepend=-1) != 0))
+        count = np.diff(np.append(fresh, len(old)))
+        last[old[first]] = first_to
+        last[to[fresh]] = to[fresh] + count
+        group[grown] = np.repeat(to[fresh], count)
     return group, before
 
 
-def suffix_order(text: bytes) -> list[int]:
-    """The suffixes of a text in ascending order. Each suffix that is in place brings the suffixes whose Lyndon prefix ends
-    before it to the next free place of their groups; they follow one another along the pointers."""
-    group, before = lyndon_groups(text)
-    n = len(text)
-    free = list(range(n))
-    out = [-1] * n
-    done = bytearray(n)
-    for rank in range(-1, n):
-        j = (n if rank < 0 else out[rank]) - 1
-        while j >= 0 and not done[j]:
+def suffix_orders(texts: list[bytes]) -> np.ndarray:
+    """The suffixes of each text in ascending order, one text after the other; suffixes are numbered through all texts.
+
+    Each suffix that is in place brings the suffixes whose Lyndon prefix ends before it to the next free place of their groups;
+    they follow one another along the pointers.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    base = np.cumsum(size) - size
+    n = len(data)
+    group, before = lyndon_groups(data, base, size)
+    free, out, done = np.arange(n), np.empty(n, np.int64), np.zeros(n + 1, bool)
+    done[n] = True
+    longest = np.argsort(-size, kind="stable")
+    live = np.searchsorted(-size[longest], -np.arange(int(size.max(initial=0)) + 1), "left")  # texts longer than each rank
+    base, end = base[longest], (base + size)[longest]
+    j = (end - 1)[:int((size > 0).sum())]
+    for rank in range(int(size.max(initial=0)) + 1):
+        while len(j):
             g = group[j]
             out[free[g]] = j
             free[g] += 1
-            done[j] = 1
+            done[j] = True
             j = before[j]
+            j = j[~done[j]]
+        now = out[base[:live[rank]] + rank]
+        j = now[now > base[:len(now)]] - 1
+        j = j[~done[j]]
     return out
 
 
@@ -103,9 +136,11 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return none, none, none
     m, width = n - KEY + 1, LENGTH - KEY + 1
     words = np.ndarray((n - 7,), "<u8", buffer=data, strides=(1,))
-    h = words[:m] * _A + words[8:] * _B
+    h = words[:m] * _ODD[0]
+    for k in range(1, KEY // 8):
+        h += words[8 * k:8 * k + m] * _ODD[k]
     h ^= h >> np.uint64(32)
-    h *= _C
+    h *= _ODD[0]
     h ^= h >> np.uint64(29)
     rows = -(-m // width)
     keys = np.full(rows * width, np.iinfo(np.uint64).max, np.uint64)
@@ -118,28 +153,29 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.append(start[1:], len(least)), h[least[start]].view(np.int64)
 
 
-def repeated_windows(contexts: list[bytes], ranks: list[int]) -> list[np.ndarray]:
-    """For each context the offsets of its windows that a context of smaller rank has too. Ranks order the contexts' first
-    places; contexts of several anchors may come together, for their windows differ."""
-    text = b"\n".join(contexts)
+def repeated_windows(groups: list[list[bytes]], ranks: list[int]) -> list[np.ndarray]:
+    """For each context of all groups the offsets of its windows that a context of smaller rank has too. Ranks order the contexts'
+    first places. The contexts of an anchor are one group; windows of different anchors differ."""
+    contexts = [c for g in groups for c in g]
+    texts = [b"\n".join([*g, b""]) for g in groups]
     size = np.array([len(c) for c in contexts], np.int64)
-    begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    owner = np.full(len(text), -1, np.int64)
-    for k, (b, s) in enumerate(zip(begin.tolist(), size.tolist(), strict=True)):
-        owner[b:b + s - LENGTH + 1] = k
-    order = np.array(suffix_order(text), np.int64)
+    begin = np.cumsum(size + 1) - size - 1
+    windows_of = size - LENGTH + 1
+    owner = np.full(int((size + 1).sum()), -1, np.int64)
+    owner[_spread(begin, windows_of)] = np.repeat(np.arange(len(contexts)), windows_of)
+    order = suffix_orders(texts)
     order = order[owner[order] >= 0]
-    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), LENGTH)
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(texts), np.uint8), LENGTH)
     same = np.zeros(len(order), bool)
     for k in range(1, len(order), 4096):
-        same[k:k + 4096] = (windows[order[k:k + 4096]] == windows[order[k - 1:k + 4095][:len(order[k:k + 4096])]]).all(1)
+        these = order[k:k + 4096]
+        same[k:k + 4096] = (windows[these] == windows[order[k - 1:k - 1 + len(these)]]).all(1)
     runs = np.flatnonzero(~same)
     rank = np.asarray(ranks, np.int64)[owner[order]]
     least = np.repeat(np.minimum.reduceat(rank, runs), np.diff(np.append(runs, len(order))))
     hit = np.sort(order[rank > least])
-    where = owner[hit]
-    cuts = np.searchsorted(where, np.arange(len(contexts) + 1))
-    return [hit[a:b] - begin[k] for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))]
+    cuts = np.searchsorted(owner[hit], np.arange(len(contexts) + 1)).tolist()
+    return [hit[a:b] - begin[k] for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -182,52 +218,43 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["anchor", "context", "doc", "hash", "start"])
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Offsets of removed windows of each context, from rows that come by anchor."""
-    waiting: list[tuple] = []
-    group: list[tuple] = []
-    size = 0
+def _removed(groups: list[list[tuple]]) -> list[tuple]:
+    """Offsets of removed windows of the contexts of many anchors; texts of like size are put in order together."""
+    out: list[tuple] = []
+    groups = sorted(groups, key=lambda g: sum(len(r[1]) for r in g))
+    for a, b in groups_by_size([sum(len(r[1]) for r in g) for g in groups], BUNDLE):
+        rows = [r for g in groups[a:b] for r in g]
+        ranks = np.empty(len(rows), np.int64)
+        ranks[sorted(range(len(rows)), key=lambda k: rows[k][2:])] = np.arange(len(rows))
+        found = repeated_windows([[r[1] for r in g] for g in groups[a:b]], ranks)
+        out += [(r[2], r[3], r[4], f.astype("<i4").tobytes() if len(f) else None) for r, f in zip(rows, found, strict=True)]
+    return out
 
-    def close() -> list[tuple]:
-        """The finished anchor: alone, a context has no repeats."""
-        nonlocal group, size
-        done, group = group, []
-        if len(done) < 2:
-            return [(r[2], r[3], r[4], None) for r in done]
-        waiting.extend(done)
-        size += sum(len(r[1]) for r in done)
-        return []
-
-    def flush() -> list[tuple]:
-        nonlocal waiting, size
-        if not waiting:
-            return []
-        place = sorted(range(len(waiting)), key=lambda k: waiting[k][2:])
-        ranks = [0] * len(waiting)
-        for r, k in enumerate(place):
-            ranks[k] = r
-        found = repeated_windows([r[1] for r in waiting], ranks)
-        out = [(r[2], r[3], r[4], f.astype("<i4").tobytes() if len(f) else None) for r, f in zip(waiting, found, strict=True)]
-        waiting, size = [], 0
-        return out
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Offsets of removed windows of each context, from rows that come by anchor. Alone, a context has no repeats."""
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
                                           names=["doc", "hash", "start", "removed"])
 
-    for batch in batches:
-        rows: list[tuple] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if group and group[0][0] != row[0]:
-                rows += close()
-                if size >= BUNDLE:
-                    rows += flush()
-            group.append(row)
-        if rows:
-            yield table(rows)
-    if rows := close() + flush():
-        yield table(rows)
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    waiting: list[list[tuple]] = []
+    alone: list[tuple] = []
+    size = 0
+    for _, group in groupby(rows, key=lambda r: r[0]):
+        contexts = list(group)
+        if len(contexts) == 1:
+            alone.append((*contexts[0][2:], None))
+        else:
+            waiting.append(contexts)
+            size += sum(len(r[1]) for r in contexts)
+        if size >= 4 * BUNDLE or len(alone) >= 10_000:
+            yield table(alone + _removed(waiting))
+            waiting, alone, size = [], [], 0
+    if waiting or alone:
+        yield table(alone + _removed(waiting))
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,26 +279,42 @@ def _judge_large(contexts: DataFrame) -> DataFrame:
     return late.groupBy("doc", "hash", "start").agg(F.collect_set("offset").alias("offsets"))
 
 
-def removed_windows(docs: DataFrame) -> DataFrame:
-    """`doc`, `hash` (a document's key), its repeated `anchors`, and `firsts`: the contexts that have their first place in it,
-    by start, with the offsets of windows that start earlier elsewhere. All other contexts of those anchors are repeats."""
+def _repeated_anchors(docs: DataFrame) -> DataFrame:
+    """`anchors` of each document (doc, hash) that occur twice or more."""
     keyed = _keyed(docs)
     counts = keyed.select("text").mapInArrow(lambda b: _anchor_rows(b, False), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    repeated = counts.where("n > 1").select("anchor")
     places = keyed.select("doc", "hash", "text").mapInArrow(lambda b: _anchor_rows(b, True), "anchor long, doc long, hash long")
-    at = stored(places.join(repeated, "anchor").groupBy("doc", "hash").agg(F.collect_set("anchor").alias("anchors")), "repeated")
-    found = keyed.select("doc", "hash", "text").join(at, ["doc", "hash"]).mapInArrow(
+    found = places.join(counts.where("n > 1").select("anchor"), "anchor").groupBy("doc", "hash").agg(F.collect_set("anchor").alias("anchors"))
+    return stored(found, "repeated")
+
+
+def _different_contexts(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """Each different context of a repeated anchor with its first place."""
+    found = _keyed(docs).select("doc", "hash", "text").join(at, ["doc", "hash"]).mapInArrow(
         _contexts, "anchor long, context binary, doc long, hash long, start int")
     first = found.groupBy("anchor", "context").agg(F.min(F.struct("doc", "hash", "start")).alias("first"))
-    contexts = stored(first.select("anchor", "context", "first.*"), "contexts")
+    return stored(first.select("anchor", "context", "first.*"), "contexts")
+
+
+def _judged_contexts(contexts: DataFrame) -> DataFrame:
+    """`firsts` of each document: start and removed windows of the contexts that have their first place in it."""
     large = stored(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST_CONTEXTS).select("anchor"), "large")
     dealt = contexts.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    judged = dealt.mapInArrow(_judged, "doc long, hash long, start int, removed binary").select("doc", "hash", "start", "removed", F.lit(None).cast("array<int>").alias("offsets"))
+    judged = dealt.mapInArrow(_judged, "doc long, hash long, start int, removed binary").withColumn("offsets", F.lit(None).cast("array<int>"))
     crowded = contexts.join(large, "anchor", "left_semi")
-    other = crowded.select("doc", "hash", "start").join(_judge_large(crowded), ["doc", "hash", "start"], "left")
-    both = judged.unionByName(other.withColumn("removed", F.lit(None).cast("binary")))
-    firsts = stored(both.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "removed", "offsets")).alias("firsts")), "firsts")
-    return at.join(firsts, ["doc", "hash"], "left")
+    other = crowded.select("doc", "hash", "start").join(_judge_large(crowded), ["doc", "hash", "start"], "left").withColumn("removed", F.lit(None).cast("binary"))
+    both = judged.unionByName(other)
+    return stored(both.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "removed", "offsets")).alias("firsts")), "firsts")
+
+
+def removed_windows(docs: DataFrame) -> DataFrame:
+    """`doc`, `hash` (a document's key), its repeated `anchors`, and `firsts`: the contexts that have their first place in it,
+    by start, with the offsets of windows that start earlier elsewhere. All other contexts of those anchors are repeats.
+
+    Each step is a stored table, and only these are held, so that Spark can drop the shuffle files of the steps before.
+    """
+    at = _repeated_anchors(docs)
+    return at.join(_judged_contexts(_different_contexts(docs, at)), ["doc", "hash"], "left")
 
 
 def cut(data: np.ndarray, repeated: np.ndarray, firsts: list[dict]) -> np.ndarray:

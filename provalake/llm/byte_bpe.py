@@ -21,11 +21,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from provalake.llm.common import groups_by_size, texts, worker_store
+from provalake.llm.common import text_slices, texts, worker_store
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Cached pieces in a Python worker; a full cache starts anew. Code points that are scanned at once.
-MOST_PIECES, CHUNK = 400_000, 2_000_000
+#: Bytes of text that are scanned at once. Bytes that cached pieces may take in a Python worker, at about so many for a piece and
+#: for each of its own; a full cache starts anew.
+CHUNK = 250_000
+MOST_CACHED, PER_PIECE, PER_BYTE = 80_000_000, 220, 5
 #: Pieces up to this many bytes are merged side by side.
 SHORT_PIECE = 24
 NEVER = sys.maxsize
@@ -220,6 +222,7 @@ class Codec:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.split = PreTokenizer()
         self.cache: dict[bytes, bytes] = {}
+        self.cached = 0
         tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             tokens[rank] = token
@@ -238,9 +241,11 @@ class Codec:
 
     def encode(self, group: list[str]) -> list[bytes]:
         split = self.split.pieces(group)
-        if len(self.cache) >= MOST_PIECES:
+        if self.cached > MOST_CACHED:
             self.cache.clear()
+            self.cached = 0
         new = {p for pieces in split for p in pieces if p not in self.cache}
+        self.cached += PER_PIECE * len(new) + PER_BYTE * sum(map(len, new))
         short = [p for p in new if len(p) <= SHORT_PIECE]
         for start in range(0, len(short), 50_000):
             part = short[start:start + 50_000]
@@ -314,10 +319,8 @@ def codec(path: str) -> Codec:
 def _each(batches: Iterator[pa.RecordBatch], path: str, row: Callable) -> Iterator[tuple]:
     coder = codec(path)
     for batch in batches:
-        docs, values = batch.column("doc_id"), batch.column("text").to_pylist()
-        for start, stop in groups_by_size([len(t) for t in values], CHUNK):
-            rows = [row(coder, ids) for ids in coder.encode(values[start:stop])]
-            yield docs.slice(start, stop - start), rows
+        for part in text_slices(batch, CHUNK):
+            yield part.column("doc_id"), [row(coder, ids) for ids in coder.encode(part.column("text").to_pylist())]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -51,7 +51,8 @@ def filtered(docs: DataFrame, make_test: Callable[[], Callable[[str | None], boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make_test()
         for batch in batches:
-            yield batch.filter(pa.array([test(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+            for part in text_slices(batch, 1_000_000):
+                yield part.filter(pa.array([test(t) for t in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -9,10 +9,11 @@ have far more often than others.
 
 from __future__ import annotations
 
-
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -99,7 +100,9 @@ def automaton(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTION
 
 
 def matches(text: str, found) -> tuple[float, int]:
-    """Sum of weights of the matches, the longest entry at each start, and the number of words."""
+    """Sum of weights of the matches, the longest entry at each start, and the number of words.
+
+    A match within an exception doesn't count: one that begins no later and reaches its end, the farthest of those is enough."""
     folded, word = fold(text)
     if not folded:
         return 0.0, 0
@@ -115,7 +118,9 @@ def matches(text: str, found) -> tuple[float, int]:
             elif length > spans.get(start, (0, 0.0))[0]:
                 spans[start] = (length, weight)
     if excepted:
-        spans = {s: v for s, v in spans.items() if not any(a <= s and s + v[0] - 1 <= b for a, b in excepted)}
+        excepted.sort()
+        starts, reach = [a for a, _ in excepted], list(accumulate((b for _, b in excepted), max))
+        spans = {s: v for s, v in spans.items() if not ((k := bisect_right(starts, s)) and s + v[0] - 1 <= reach[k - 1])}
     return sum(w for _, w in spans.values()), n_words
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provalake.llm.common import mix64, stored, texts
+from provalake.llm.training import chosen_texts
 
 #: Bounds of the classifier: labelled documents of each domain, and hashed byte pairs.
 PER_DOMAIN, FEATURES = 500, 1024
@@ -67,7 +68,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], per_domain: int = PER_DOMAIN, rounds: int = 300) -> Model:
     """Softmax regression on a bounded sample of `labelled` (doc_id, domain): per_domain documents of each domain, chosen by a
-    hash of the id. Their ids are broadcast; per_domain * domains rows of FEATURES numbers reach the driver. Domains without
+    hash of the id, with one text for each id. Their ids are broadcast; per_domain * domains rows of FEATURES numbers reach the driver. Domains without
     a labelled document get no membership, unless none has one."""
     key = F.xxhash64("doc_id")
     ids = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "domain").where(F.col("doc_id").isNotNull())
@@ -76,7 +77,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], per_do
     for d in domains:
         some = ids.where(F.col("domain") == d).orderBy(key, "doc_id").limit(per_domain)
         chosen = some if chosen is None else chosen.unionByName(some)
-    sample = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text")
+    sample = chosen_texts(docs, chosen)
     rows = sorted(sample.mapInPandas(_features, "doc_id long, domain string, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     weights = np.zeros((FEATURES + 1, len(domains)))
     if rows:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provalake.llm.common import held_out, texts
+from provalake.llm.common import held_out, stored, texts
 
 
 def labelled_ids(labels: DataFrame, label: str) -> DataFrame:
@@ -18,9 +18,16 @@ def labelled_ids(labels: DataFrame, label: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("label").alias("label"))
 
 
+def chosen_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """`chosen` (distinct doc_id and what else) with one text for each id: of rows that share an id the one whose text has the least
+    hash, found by partial aggregates. So the rows are no more than those of `chosen`, which are broadcast. Written once."""
+    found = texts(docs).join(F.broadcast(chosen), "doc_id")
+    return stored(found.groupBy(*chosen.columns).agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """Up to `per_class` documents of either label, chosen by a hash of the id, with their whole texts, and the number of
-    all usable labelled rows by label. The chosen ids are at most 2 * per_class rows, so they are broadcast to the texts.
+    """Up to `per_class` documents of either label, chosen by a hash of the id, with a whole text each, and the number of all
+    usable labelled rows by label.
 
     `part` is 0 or 1: the two halves of the sample, one to learn from and one to calibrate on.
     """
@@ -28,7 +35,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     key = F.xxhash64("doc_id")
     chosen = [ids.where(F.col("label") == value).orderBy(key, "doc_id").limit(per_class) for value in (0, 1)]
-    sample = texts(docs).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    sample = chosen_texts(docs, chosen[0].unionByName(chosen[1]))
     return sample.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)).cast("int")), counts
 
 

@@ -3,8 +3,11 @@
 Documents with the same set of shingles are one set from the start, so copies never meet as pairs. Each distinct set gets
 one signature: its hashed shingles fall into BINS bins, the least of a bin is its value, and an empty bin borrows from a bin
 that a fixed random sequence of probes finds. Sets that agree in a band of ROWS values share a bucket. A bucket of any size
-proposes a star, every member with one centre, and never all pairs. Links are confirmed on the full sets. Where a bucket is left with
-members outside its centre's component, further stars with a centre among those follow, up to ROUNDS in all.
+proposes a star, every member with one centre, and never all pairs. Links are confirmed on the full sets. Sets whose buckets still
+hold several components after that go on to finer buckets of three bands each: one more star, then the pairs that are left.
+
+A node of the graph is a document, known by its doc_id. Where rows share a doc_id but not their shingles, each of their sets is a
+node of its own, with a number past all doc_ids.
 """
 
 from __future__ import annotations
@@ -12,22 +15,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provalake.llm.common import groups_by_size, mix64, stored, texts
+from provalake.llm.common import mix64, stored, text_slices, texts
 from provalake.llm.graph import components
 
-SHINGLE, PERCENT = 4, 80
+#: Words of a shingle as the query has it and as a filtering stage has it; per cent of similarity.
+SHINGLE, STAGE_SHINGLE, PERCENT = 4, 5, 80
 BINS, ROWS = 128, 4
 #: A finer bucket needs band i and the two bands so many further on.
 STEPS = ((1, 5), (2, 9), (3, 13), (4, 11), (6, 7))
 PROBES = 512
 #: Length of the bitmaps that rule out pairs before their sets are compared, in 64-bit words.
 WORDS_OF_BITS = 16
-MOST_WORDS = 300_000
+#: Word hashes that a task keeps; bytes of text that are shingled at once.
+MOST_WORDS, CHUNK = 300_000, 1_000_000
+#: Parts into which the rows of one shingle set are dealt.
+SALTS = 16
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,44 +92,65 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _shingled(batch: pd.DataFrame, hashes: dict) -> Iterator[np.ndarray]:
-    for start, stop in groups_by_size([len(t) for t in batch["text"]], 4_000_000):
-        if len(hashes) > MOST_WORDS:
-            hashes.clear()
-        for text in batch["text"].iloc[start:stop]:
-            yield shingle_hashes(text, hashes)
+def _shingled(part: pa.RecordBatch, hashes: dict, size: int) -> list[np.ndarray]:
+    if len(hashes) > MOST_WORDS:
+        hashes.clear()
+    return [shingle_hashes(t, hashes, size) for t in part.column("text").to_pylist()]
+
+
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     hashes, probes = _WordHashes(), _probes()
+    none = np.zeros(0, np.int64)
     for batch in batches:
-        rows = []
-        for doc, s in zip(batch["doc_id"], _shingled(batch, hashes), strict=True):
-            id_ = None if pd.isna(doc) else int(doc)
-            if len(s):
-                rows.append((id_, len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(signature(s, probes))))
-            else:
-                rows.append((id_, 0, None, np.zeros(0, np.int64)))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "keys"])
-        yield out.astype({"doc_id": "Int64"})
-
-
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in text_slices(batch, CHUNK):
+            found = _shingled(part, hashes, size)
+            keys = [band_keys(signature(s, probes)) if len(s) else none for s in found]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("hash"), pa.array([len(s) for s in found], pa.int64()), pa.array([_digest(s) for s in found], pa.binary()),
+                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "hash", "n_shingles", "digest", "keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Shingles and bitmaps of the wanted sets: each row has the digests that are wanted of its doc_id, and their nodes."""
     hashes = _WordHashes()
     for batch in batches:
-        found = list(_shingled(batch, hashes))
-        yield pd.DataFrame({"id": batch["doc_id"], "shingles": [s.view(np.int64) for s in found], "bits": [bitmap(s) for s in found]})
+        for part in text_slices(batch, CHUNK):
+            rows = []
+            for s, wanted in zip(_shingled(part, hashes, size), part.column("wanted").to_pylist(), strict=True):
+                digest = _digest(s)
+                rows += [(w["id"], s.view(np.int64), bitmap(s)) for w in wanted if w["digest"] == digest]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "shingles", "bits"])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set (null if empty) and the bucket keys of its bands."""
-    return texts(docs).mapInPandas(_sketch, "doc_id long, n_shingles long, digest binary, keys array<long>")
+def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, `hash` of the text, n_shingles, digest of the shingle set (null if empty) and the bucket keys of its bands."""
+    rows = texts(docs).select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    return rows.mapInArrow(lambda b: _sketch(b, size), "doc_id long, hash long, n_shingles long, digest binary, keys array<long>")
+
+
+def with_nodes(sketched: DataFrame) -> DataFrame:
+    """`id`, the node of each row: its doc_id, or a number past all doc_ids where a doc_id has several shingle sets."""
+    several = (sketched.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
+               .agg(F.min(F.xxhash64("digest")).alias("a"), F.max(F.xxhash64("digest")).alias("b")).where("a <> b").select("doc_id"))
+    last = sketched.agg(F.max("doc_id")).first()[0] or 0
+    own = sketched.join(several, "doc_id", "left_semi").where(F.col("digest").isNotNull()).select("doc_id", "digest").distinct()
+    own = stored(own.withColumn("own", F.lit(max(last, 0) + 1) + F.monotonically_increasing_id()), "nodes")
+    return sketched.join(own, ["doc_id", "digest"], "left").withColumn("id", F.coalesce("own", "doc_id")).drop("own")
 
 
 def with_representative(rows: DataFrame) -> DataFrame:
-    """`rep`, the smallest doc_id with the same shingle set. Only sets that several documents have are joined back."""
-    shared = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    return rows.join(shared.where("n > 1").drop("n"), "digest", "left").withColumn("rep", F.coalesce("least", "doc_id")).drop("least")
+    """`rep`, the smallest node with the same shingle set. Only sets that several nodes have are joined back, in SALTS parts."""
+    known = rows.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
+    shared = known.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
+    return salted.join(shared, ["digest", "salt"], "left").withColumn("rep", F.coalesce("least", "id")).drop("least", "salt")
 
 
 def _confirm(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,37 +214,49 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.drop("component").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _components_of(docs: DataFrame, size: int) -> DataFrame:
+    """Each row's doc_id, hash, n_shingles, digest, `node` and `component`: the smallest node it is tied to, itself included; and
+    `component_id`, the smallest doc_id among those."""
+    sketched = stored(with_nodes(stored(sketches(docs, size), "sketches")), "nodes")
+    rows = stored(with_representative(sketched.select("doc_id", "hash", "n_shingles", "digest", "id")), "sets")
+    linked = components(_links(docs, sketched, rows, size))
+    out = rows.join(linked.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = out.where(F.col("id") != F.col("doc_id")).groupBy("component").agg(F.min("doc_id").alias("least"))
+    out = out.join(several, "component", "left").withColumn("component_id", F.least("component", "least"))
+    return out.select("doc_id", "hash", "n_shingles", "digest", F.col("id").alias("node"), "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (is it that one?).
 
     Null and empty texts have no shingles and are linked with nothing; a null doc_id neither: its component is null and it is
-    kept. Repeated rows give repeated result rows. Texts of any length are read whole; other columns are left out.
+    kept. Repeated rows give repeated result rows; rows that share a doc_id but not their shingles are linked each by its own.
+    Texts of any length are read whole; other columns are left out. `size` is the number of words in a shingle.
     """
-    sketched = stored(sketches(docs), "sketches")
-    rows = stored(with_representative(sketched.select("doc_id", "n_shingles", "digest")).select("doc_id", "n_shingles", "rep"), "sets")
-    linked = components(_links(docs, sketched, rows))
-    out = rows.join(linked.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return _components_of(docs, size).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _links(docs: DataFrame, sketched: DataFrame, rows: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, sketched: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """Confirmed links between representatives, enough of them to tie every component together.
 
     One star for each bucket comes first. Sets in buckets that still hold several components go on to finer buckets, of three
     bands each; there one more star, and then whatever pairs are left between different components.
     """
-    own = rows.where((F.col("doc_id") == F.col("rep")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    first = sketched.where("n_shingles > 0").select("doc_id", "n_shingles", "keys").join(own, "doc_id", "left_semi")
-    columns = F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), F.col("doc_id").alias("component"), F.lit(None).cast("array<long>").alias("bits")
+    own = rows.where((F.col("id") == F.col("rep")) & (F.col("n_shingles") > 0)).select("id").distinct()
+    first = sketched.where("n_shingles > 0").select("id", "n_shingles", "keys").join(own, "id", "left_semi")
+    columns = "id", F.col("n_shingles").cast("int").alias("n"), F.col("id").alias("component"), F.lit(None).cast("array<long>").alias("bits")
     members = stored(_crowded(first.select(F.explode("keys").alias("key"), *columns)), "buckets")
-    wanted = members.select("id").distinct()
-    sets = stored(texts(docs).join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets, "id long, shingles array<long>, bits array<long>")
+    wanted = rows.select("doc_id", "digest", "id").join(members.select("id").distinct(), "id", "left_semi").groupBy("doc_id").agg(
+        F.collect_set(F.struct("digest", "id")).alias("wanted"))
+    sets = stored(texts(docs).join(wanted, "doc_id").select("text", "wanted").mapInArrow(lambda b: _sets(b, size), "id long, shingles array<long>, bits array<long>")
                   .dropDuplicates(["id"]), "shingles")
     links = stored(_confirm(stored(_star_pairs(members), "pairs"), sets), "links")
     open_ids = stored(_crowded(_labelled(members, links)).select("id").distinct(), "open")
     bands = BINS // ROWS
-    finer = [F.xxhash64(F.lit(32 * k + i), *(F.col("keys")[j % bands] for j in (i, i + s, i + t))) for k, (s, t) in enumerate(STEPS) for i in range(bands)]
-    again = first.join(open_ids, F.col("doc_id") == F.col("id"), "left_semi").select(F.explode(F.array(*finer)).alias("key"), *columns)
+    finer = F.array(*[F.struct(*(F.lit(x).alias(n) for n, x in zip("abcd", (bands * k + i, i, (i + s) % bands, (i + t) % bands), strict=True)))
+                      for k, (s, t) in enumerate(STEPS) for i in range(bands)])
+    key = F.xxhash64(F.col("step.a"), *(F.get("keys", F.col(f"step.{x}")) for x in "bcd"))
+    again = first.join(open_ids, "id", "left_semi").select("*", F.explode(finer).alias("step")).select(key.alias("key"), *columns)
     again = _crowded(_labelled(again.drop("bits"), links)).join(sets.select("id", "bits"), "id")
     again = stored(again, "buckets")
     links = stored(links.unionByName(_confirm(stored(_star_pairs(again), "pairs"), sets)), "links")
@@ -224,9 +264,17 @@ def _links(docs: DataFrame, sketched: DataFrame, rows: DataFrame) -> DataFrame:
     return links.unionByName(_confirm(stored(rest, "pairs"), sets))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that stand for their component; a repeated doc_id stays once, a row without
-    a doc_id stays."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+def keep_one_of_each(docs: DataFrame, size: int = STAGE_SHINGLE) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stand for their component: the one with the least doc_id and, of rows with
+    that id, the least hash of its text. Rows that are equal in both stay once (the one with the least hash of all columns).
+    Rows without shingles stay, rows without a doc_id too."""
+    found = _components_of(docs, size).where(F.col("doc_id").isNotNull())
+    some = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "hash")).alias("one")).select("one.*")
+    none = found.where("n_shingles = 0").select("doc_id", "hash")
+    kept = some.unionByName(none).distinct()
+    row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    keyed = docs.where(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash"), row.alias("row"))
+    known = keyed.join(kept, ["doc_id", "hash"], "left_semi").groupBy("doc_id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    known = known.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return known.unionByName(docs.where(F.col("doc_id").isNull()))

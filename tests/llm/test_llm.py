@@ -102,6 +102,53 @@ def test_folding_and_exceptions():
     assert toxicity.matches("", found) == (0.0, 0)
 
 
+def _naive_matches(text, lexicon, exceptions):
+    folded, word = toxicity.fold(text)
+    inside = lambda i: 0 <= i < len(word) and word[i]
+
+    def spans(entry, whole):
+        key = toxicity.fold(entry)[0]
+        return [(i, i + len(key)) for i in range(len(folded) - len(key) + 1) if folded[i:i + len(key)] == key and not inside(i - 1) and not (whole and inside(i + len(key)))]
+
+    excepted = [x for e in exceptions for x in spans(e, True)]
+    best = {}
+    for entry, weight in lexicon.items():
+        for a, b in spans(entry.removesuffix("*"), not entry.endswith("*")):
+            if b - a > best.get(a, (0, 0))[0]:
+                best[a] = (b - a, weight)
+    return sum(w for a, (n, w) in best.items() if not any(x <= a and a + n <= y for x, y in excepted))
+
+
+def test_matches_against_a_search_at_every_place():
+    rng = random.Random(12)
+    lexicon, exceptions = {"scum": 2.0, "pond*": 1.0, "idiot": 4.0, "id*": 0.5, "pond scum bag": 8.0}, ("pond scum", "scum bag", "the idiot by day", "idiot by")
+    found = toxicity.automaton(lexicon, exceptions)
+    bits = ["idiot", "1d10t", "pond", "scum", " ", " ", " ", "by", "day", "the", "bag", "x", ".", "é", "ѕсum"]
+    for _ in range(2000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 30)))
+        assert toxicity.matches(text, found)[0] == _naive_matches(text, lexicon, exceptions), text
+
+
+def test_matching_is_linear_in_the_text():
+    import time
+
+    found = toxicity.automaton(toxicity.GENERAL, toxicity.EXCEPTIONS)
+    began = time.perf_counter()
+    assert toxicity.matches("idiot pond scum " * 130_000, found)[0] == 4.0 * 130_000
+    assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize("module", [quality_classifier, toxicity])
+def test_samples_stay_within_their_bound(spark, module):
+    rows = spark.range(3000).selectExpr("1L AS doc_id", "concat('text number ', id) AS text").unionAll(
+        spark.range(2, 300).selectExpr("id AS doc_id", "concat('one of ', id) AS text"))
+    labels = spark.range(1, 300).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "CAST(id % 2 AS INT) AS toxic")
+    sample, _ = training.labelled_sample(rows, labels, "quality", 60)
+    got = sample.collect()
+    assert len(got) == 120 == len({r["doc_id"] for r in got})
+    assert module.classify(rows, labels).count() == 3298
+
+
 def test_longest_beginning_of_a_family_stays():
     found = [("path*", 50, 4.0), ("pathe*", 50, 4.0), ("pathetic", 49, 4.1), ("lowe*", 90, 5.0), ("lowei*", 90, 5.0), ("loweia", 9, 4.0)]
     assert dict(toxicity.longest_of_families(found)) == {"pathetic": 4.1, "lowei*": 5.0}
@@ -232,6 +279,23 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert kept.columns == docs(spark, []).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(21)
+    t1, t2 = (" ".join(f"{c}{rng.randint(0, 300)}" for _ in range(80)) for c in "ab")
+    rows = [(1, t1), (1, t2), (2, t1 + " plus"), (3, t2 + " plus"), (9, t2.upper()), (5, "alone here"), (5, "not like it"), (5, "alone here"), (6, None), (6, "")]
+    got = [(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs(spark, rows)).collect()]
+    assert sorted(got) == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 5), (5, 5), (5, 5), (6, 6), (6, 6), (9, 1)]
+    kept = sorted((r["doc_id"], r["text"]) for r in minhash.keep_one_of_each(docs(spark, rows)).collect() if r["doc_id"] != 6)
+    assert kept == sorted([(1, t1), (1, t2), (5, "alone here"), (5, "not like it")])
+    again = sorted((r["doc_id"], r["text"]) for r in minhash.keep_one_of_each(docs(spark, rows[::-1]).repartition(5)).collect() if r["doc_id"] != 6)
+    assert again == kept
+
+
+def test_shingle_length_is_a_parameter(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e x y")]
+    assert [r["n_shingles"] for r in minhash.near_duplicates(docs(spark, rows), 5).orderBy("doc_id").collect()] == [3, 3]
+
+
 def test_signatures_estimate_similarity():
     probes = minhash._probes()
     rng = np.random.default_rng(2)

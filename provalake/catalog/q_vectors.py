@@ -7,7 +7,7 @@ from provalake.catalog.q_sources import trim_sql
 from provalake.catalog.q_text import PB, TREE, TREE_COLS, tree
 from provalake.catalog.registry import SQL, query
 from provalake.functions import vector as VF
-from provalake.operators import joins as J
+from provalake.operators import evidence as EV
 from provalake.operators import matching as N
 from provalake.operators import quota as U
 from provalake.operators import vectors as V
@@ -155,7 +155,7 @@ CLAIMS = {"c": f"SELECT report_id, claim_no, {TOK.format('claim')} AS ct FROM v_
 
 @query("claim_evidence", with_("v_claims", "v_evidence", extra=CLAIMS) + "SELECT report_id, claim_no, evidence_no, overlap, rank FROM r WHERE rank <= 5")
 def claim_evidence(spark, sf):
-    return J.claim_evidence(A.claims(spark, sf), A.evidence(spark, sf))
+    return EV.claim_evidence(A.claims(spark, sf), A.evidence(spark, sf))
 
 
 VERDICT = {**CLAIMS, "vd": "SELECT c.report_id, c.claim_no, coalesce(max(overlap) >= 3, FALSE) AS ok FROM c LEFT JOIN s USING (report_id, claim_no) GROUP BY ALL"}

@@ -14,7 +14,7 @@ from provalake.functions.text import normalize_discipline
 from provalake.operators import aggregates as G
 from provalake.operators import filters as X
 from provalake.operators import findings as FD
-from provalake.operators import joins as J
+from provalake.operators import evidence as EV
 from provalake.operators import matching as N
 from provalake.operators import parsing as P
 from provalake.operators import vectors as V
@@ -89,7 +89,7 @@ def verify(reports: DataFrame, claims: DataFrame, pool: DataFrame, judge: Callab
     ``judge`` maps (claim, best overlap) rows to ``is_verified``; by default a claim stands when its best evidence
     shares at least ``min_overlap`` words.
     """
-    evidence = J.claim_evidence(claims, pool, by)
+    evidence = EV.claim_evidence(claims, pool, by)
     best = evidence.filter("rank = 1").select(by, "claim_no", "overlap")
     checked = claims.join(best, [by, "claim_no"], "left")
     verdicts = judge(checked) if judge else checked.withColumn("is_verified", F.coalesce(F.col("overlap") >= min_overlap, F.lit(False)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provalake.operators import aggregates as G
 from provalake.operators import findings as FD
-from provalake.operators import joins as J
+from provalake.operators import evidence as EV
 from provalake.operators import matching as N
 from provalake.operators import mutations as M
 from provalake.operators import parsing as P
@@ -213,7 +213,7 @@ def test_evidence_is_ranked(spark):
     claims = spark.createDataFrame([("r", 0, "a crase ocorre antes de palavra feminina")], "report_id string, claim_no int, claim string")
     pool = spark.createDataFrame([("r", 1, "Crase antes de palavra"), ("r", 2, "Verbo transitivo"), ("r", 3, "palavra feminina"), ("s", 4, "crase palavra feminina antes")],
                                  "report_id string, evidence_no int, enunciado string")
-    assert [(r.evidence_no, r.overlap) for r in J.claim_evidence(claims, pool).orderBy("rank").collect()] == [(1, 3), (3, 2)]
+    assert [(r.evidence_no, r.overlap) for r in EV.claim_evidence(claims, pool).orderBy("rank").collect()] == [(1, 3), (3, 2)]
 
 
 def test_phases():

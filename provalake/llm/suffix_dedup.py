@@ -6,26 +6,29 @@ form a context, the bytes from the first window's start to the last one's end; e
 first place. The contexts of one anchor are then put in suffix order: groups of suffixes with the same Lyndon prefix are made
 in descending order over pointers to the previous smaller suffix, and each group's order is emitted without renaming. In that
 order equal windows are neighbours, and all but the one that starts first are removed. Anchors with more than MOST_CONTEXTS
-different contexts send their windows one by one through a distributed aggregate, so no anchor is gathered in one task.
+different contexts are dealt into parts that are put in order one by one; the windows that are first in their part then go one
+by one through a distributed aggregate over the parts, so no anchor is gathered in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provalake.llm.common import groups_by_size, stored
+from provalake.llm.common import groups_by_size, stored, text_slices
 
 LENGTH, KEY = 100, 32
-#: Contexts of one anchor that a task puts in order; bytes that are put in order at once.
+#: Contexts of one anchor that are put in order whole (a larger one's parts have half as many); bytes that are put in order at once.
 MOST_CONTEXTS, BUNDLE = 64, 1 << 19
+#: Bytes of text that are looked at together.
+CHUNK = 4_000_000
 #: Rows without a doc_id come after all others.
 LAST_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 31) - 1)
@@ -191,7 +194,7 @@ def _bytes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], name_docs: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in text_slices(whole, CHUNK)):
         found = [np.unique(anchors(d)[2], return_counts=True) for d in _bytes(batch)]
         rows = pa.array(np.repeat(np.arange(len(found)), [len(k) for k, _ in found]))
         keys = pa.array(np.concatenate([k for k, _ in found] or [np.zeros(0, np.int64)]))
@@ -203,7 +206,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], name_docs: bool) -> Iterator
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The different contexts of a text's repeated anchors, each at its first place in the text."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in text_slices(whole, CHUNK)):
         out: list[tuple] = []
         for data, doc, hash_, repeated in zip(_bytes(batch), batch.column("doc").to_pylist(), batch.column("hash").to_pylist(), batch.column("anchors"), strict=True):
             start, stop, key = anchors(data)
@@ -233,46 +236,67 @@ def _removed(groups: list[list[tuple]]) -> list[tuple]:
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Offsets of removed windows of each context, from rows that come by anchor. Alone, a context has no repeats."""
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
-                                          names=["doc", "hash", "start", "removed"])
-
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    names = ["doc", "hash", "start", "removed"]
     waiting: list[list[tuple]] = []
-    alone: list[tuple] = []
     size = 0
-    for _, group in groupby(rows, key=lambda r: r[0]):
-        contexts = list(group)
-        if len(contexts) == 1:
-            alone.append((*contexts[0][2:], None))
-        else:
-            waiting.append(contexts)
-            size += sum(len(r[1]) for r in contexts)
-        if size >= 4 * BUNDLE or len(alone) >= 10_000:
-            yield table(alone + _removed(waiting))
-            waiting, alone, size = [], [], 0
-    if waiting or alone:
-        yield table(alone + _removed(waiting))
+
+    def table() -> pa.RecordBatch:
+        columns = list(zip(*_removed(waiting), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
+
+    for rows in _whole_anchors(batches):
+        edge = np.flatnonzero(np.diff(rows.column("anchor").to_numpy(), prepend=np.nan) != 0)
+        many = np.diff(np.append(edge, rows.num_rows))
+        alone = rows.take(pa.array(edge[many == 1]))
+        if alone.num_rows:
+            yield pa.RecordBatch.from_arrays([*(alone.column(c) for c in names[:3]), pa.nulls(alone.num_rows, pa.binary())], names=names)
+        for a, n in zip(edge[many > 1].tolist(), many[many > 1].tolist(), strict=True):
+            group = list(zip(*(c.to_pylist() for c in rows.slice(a, n).columns), strict=True))
+            waiting.append(group)
+            size += sum(len(r[1]) for r in group)
+            if size >= 4 * BUNDLE:
+                yield table()
+                waiting, size = [], 0
+    if waiting:
+        yield table()
+
+
+def _whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows cut between anchors: the last anchor of a batch waits for the next one. There are MOST_CONTEXTS of it at most."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_batches([*rest, batch])
+        anchor = rows.column("anchor").to_numpy()
+        last = int(np.searchsorted(anchor == anchor[-1], True))
+        if last:
+            yield rows.slice(0, last)
+        rest = [rows.slice(last)]
+    yield from rest
 
 
-def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """128-bit hashes of the windows that are not removed yet."""
     for batch in batches:
-        contexts, starts = batch.column("context").to_pylist(), batch.column("start").to_pylist()
-        sizes = [len(c) - LENGTH + 1 for c in contexts]
-        rows = pa.array(np.repeat(np.arange(len(contexts)), sizes))
-        digests = [xxhash.xxh3_128_digest(c[k:k + LENGTH]) for c, s in zip(contexts, sizes, strict=True) for k in range(s)]
+        contexts = batch.column("context").to_pylist()
+        offsets = []
+        for c, removed in zip(contexts, batch.column("removed").to_pylist(), strict=True):
+            left = np.ones(len(c) - LENGTH + 1, bool)
+            if removed is not None:
+                left[np.frombuffer(removed, "<i4")] = False
+            offsets.append(np.flatnonzero(left).astype(np.int32))
+        rows = pa.array(np.repeat(np.arange(len(contexts)), [len(o) for o in offsets]))
+        digests = [xxhash.xxh3_128_digest(c[k:k + LENGTH]) for c, o in zip(contexts, offsets, strict=True) for k in o.tolist()]
         both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        offset = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes] or [np.zeros(0, np.int32)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), batch.column("doc").take(rows),
-                                          batch.column("hash").take(rows), pa.array(starts, pa.int32()).take(rows), pa.array(offset)],
-                                         names=["w1", "w2", "doc", "hash", "start", "offset"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), *(batch.column(c).take(rows) for c in ("doc", "hash", "start")),
+             pa.array(np.concatenate(offsets or [np.zeros(0, np.int32)]))], names=["w1", "w2", "doc", "hash", "start", "offset"])
 
 
-def _judge_large(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts: each window by its 128-bit hash, the earliest by a partial aggregate."""
-    windows = contexts.mapInArrow(_single_windows, "w1 long, w2 long, doc long, hash long, start int, offset int")
+def _judged_across(contexts: DataFrame) -> DataFrame:
+    """Offsets of windows that start earlier in another part of their anchor."""
+    windows = contexts.mapInArrow(_first_windows, "w1 long, w2 long, doc long, hash long, start int, offset int")
     place = F.struct("doc", "hash", "start")
     first = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     late = windows.join(first, ["w1", "w2"]).where(place != F.col("first")).select("doc", "hash", "start", "offset")
@@ -298,12 +322,15 @@ def _different_contexts(docs: DataFrame, at: DataFrame) -> DataFrame:
 
 def _judged_contexts(contexts: DataFrame) -> DataFrame:
     """`firsts` of each document: start and removed windows of the contexts that have their first place in it."""
-    large = stored(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST_CONTEXTS).select("anchor"), "large")
-    dealt = contexts.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    judged = dealt.mapInArrow(_judged, "doc long, hash long, start int, removed binary").withColumn("offsets", F.lit(None).cast("array<int>"))
-    crowded = contexts.join(large, "anchor", "left_semi")
-    other = crowded.select("doc", "hash", "start").join(_judge_large(crowded), ["doc", "hash", "start"], "left").withColumn("removed", F.lit(None).cast("binary"))
-    both = judged.unionByName(other)
+    large = stored(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > MOST_CONTEXTS), "large")
+    part = F.pmod(F.xxhash64("doc", "hash", "start"), F.ceil(2 * F.col("n") / MOST_CONTEXTS))
+    group = F.when(F.col("n").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", part))
+    dealt = contexts.join(large, "anchor", "left").select(group.alias("anchor"), "context", "doc", "hash", "start")
+    columns = ["doc", "hash", "start"]
+    judged = stored(dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_judged, "doc long, hash long, start int, removed binary"), "judged")
+    crowded = contexts.join(large.select("anchor"), "anchor", "left_semi").join(judged, columns)
+    late = _judged_across(crowded).withColumn("removed", F.lit(None).cast("binary"))
+    both = judged.withColumn("offsets", F.lit(None).cast("array<int>")).unionByName(late)
     return stored(both.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "removed", "offsets")).alias("firsts")), "firsts")
 
 
@@ -317,34 +344,45 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     return at.join(_judged_contexts(_different_contexts(docs, at)), ["doc", "hash"], "left")
 
 
-def cut(data: np.ndarray, repeated: np.ndarray, firsts: list[dict]) -> np.ndarray:
-    """Which bytes of a text go."""
+def cut(data: np.ndarray, repeated: np.ndarray, own: np.ndarray, offsets: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Which bytes of a text go: the windows of repeated anchors, but for the contexts that have their first place here (`own`,
+    by start), of which only the windows at `offsets` go."""
     start, stop, key = anchors(data)
     change = np.zeros(len(data) + 1, np.int64)
-    own = {f["start"]: f for f in firsts}
-    for k in np.flatnonzero(np.isin(key, repeated)).tolist():
-        first = own.get(int(start[k]))
-        if first is None:
-            change[start[k]] += 1
-            change[stop[k] + LENGTH - 1] -= 1
-            continue
-        offsets = np.asarray(first["offsets"] or [], np.int64) if first["removed"] is None else np.frombuffer(first["removed"], "<i4")
-        np.add.at(change, start[k] + offsets, 1)
-        np.add.at(change, start[k] + offsets + LENGTH, -1)
+    again = np.isin(key, repeated) & ~np.isin(start, own)
+    change[start[again]] += 1
+    change[stop[again] + LENGTH - 1] -= 1
+    for first, places in offsets:
+        change[first + places] += 1
+        change[first + places + LENGTH] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
+def _own_contexts(column: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple[int, np.ndarray]]]]:
+    """Of each document the starts of its own contexts, and the offsets of removed windows where there are some."""
+    start, removed, offsets = (column.values.field(name) for name in ("start", "removed", "offsets"))
+    starts = start.to_numpy()
+    some = np.flatnonzero(pc.or_(removed.is_valid(), offsets.is_valid()).to_numpy(zero_copy_only=False))
+    for k in range(len(column)):
+        a, b = (column.offsets[k].as_py(), column.offsets[k + 1].as_py()) if column[k].is_valid else (0, 0)
+        places = []
+        for at in some[np.searchsorted(some, a):np.searchsorted(some, b)].tolist():
+            packed = removed[at].as_py()
+            places.append((int(starts[at]), np.frombuffer(packed, "<i4") if packed is not None else np.asarray(offsets[at].as_py(), np.int64)))
+        yield starts[a:b], places
+
+
 def _cut_rows(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for data, repeated, firsts in zip(_bytes(batch), batch.column("anchors"), batch.column("firsts").to_pylist(), strict=True):
+        for data, repeated, (own, offsets) in zip(_bytes(batch), batch.column("anchors"), _own_contexts(batch.column("firsts")), strict=True):
             if repeated.is_valid:
-                gone = cut(data, repeated.values.to_numpy(), firsts or [])
+                gone = cut(data, repeated.values.to_numpy(), own, offsets)
                 kept = data[~gone].tobytes()
                 spans = int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=0) == 1))
             else:
                 kept, spans = data.tobytes(), 0
-            rows.append((len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+            rows.append((len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else b""))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]

@@ -245,7 +245,8 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
 
     for rows in _whole_anchors(batches):
-        edge = np.flatnonzero(np.diff(rows.column("anchor").to_numpy(), prepend=np.nan) != 0)
+        anchor = rows.column("anchor").to_numpy()
+        edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         many = np.diff(np.append(edge, rows.num_rows))
         alone = rows.take(pa.array(edge[many == 1]))
         if alone.num_rows:

@@ -10,6 +10,7 @@ from provalake.functions import vector as VF
 from provalake.operators import evidence as EV
 from provalake.operators import matching as N
 from provalake.operators import quota as U
+from provalake.operators import similar_index as SX
 from provalake.operators import vectors as V
 from provalake.operators.mutations import stack
 from provalake.operators import windows as W
@@ -55,6 +56,30 @@ def topk_pairs(spark, sf):
     return V.top_pairs(A.vectors(spark, sf), T).withColumn("score", F.round("score", 6))
 
 
+BLEND = {**VECS, "w": """SELECT a.id, list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] + 2 * b.e[i]) AS e FROM v a JOIN v b ON b.id = a.id - a.id % 4"""}
+
+
+def blended(spark, sf):
+    """Each vector with its group's first one added twice, so that the four of a group are alike."""
+    v = A.vectors(spark, sf).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    first = v.filter(F.col("id") % 4 == 0).select(F.col("id").alias("_g"), F.col("embedding").alias("_f"))
+    return v.withColumn("_g", F.col("id") - F.col("id") % 4).join(first, "_g").select("id", F.zip_with("embedding", "_f", lambda x, y: x + 2 * y).alias("embedding"))
+
+
+def counted_sql(source, t):
+    return f"SELECT {t}::DOUBLE AS limiar, count(*) AS exatos, TRUE AS achou, 0::BIGINT AS errados FROM {source} a JOIN {source} b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= {t}"
+
+
+@query("similar_pairs_hashed", with_(extra=BLEND) + counted_sql("v", T) + " UNION ALL " + counted_sql("w", 0.75))
+def similar_pairs_hashed(spark, sf):
+    """Exact pairs at two thresholds, whether the hashed search finds nine tenths of them, and how many it finds wrongly."""
+    out = []
+    for t, vecs in ((T, A.vectors(spark, sf)), (0.75, blended(spark, sf))):
+        m = SX.measured_recall(SX.hashed_pairs(vecs, t), V.similar_pairs(vecs, t))
+        out.append(m.select(F.lit(t).alias("limiar"), F.col("exact").alias("exatos"), (F.col("found") >= 0.9 * F.col("exact")).alias("achou"), F.col("wrong").alias("errados")))
+    return stack(*out)
+
+
 TARGETS = {**VECS, "t": "SELECT id AS target, e AS te FROM v WHERE id IN (SELECT min(id) FROM v GROUP BY label)"}
 
 

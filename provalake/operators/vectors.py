@@ -126,6 +126,11 @@ def _pivots(vecs: DataFrame, n: int, cell_rows: int, max_pivots: int) -> np.ndar
     return p / np.where(size == 0, 1, size)
 
 
+def _units(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def similar_pairs(vecs: DataFrame, threshold: float = 0.75, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """All pairs (id_1 < id_2) of distinct vectors with cosine at or above ``threshold``; exact.
 
@@ -164,10 +169,12 @@ def similar_pairs(vecs: DataFrame, threshold: float = 0.75, cell_rows: int = CEL
             r, c = np.nonzero(near)
             cell = np.concatenate([home, c]).astype(np.int32)
             row = np.concatenate([np.arange(len(x)), r])
+            own_rows = pdf["embedding"].to_numpy()[keep]
             yield pd.DataFrame({"cell": cell, "guest": np.concatenate([np.zeros(len(x), bool), np.ones(len(r), bool)]),
-                                "id": ids[row], "unit": list(x[row])})
+                                "id": ids[row], "unit": own_rows[row]})
 
-    placed = base.select("id", "embedding").mapInPandas(place, f"cell int, guest boolean, id {id_type}, unit array<double>")
+    # written once: four parts of the work read it. Vectors travel as they came and get their unit length where they are compared.
+    placed = cut_lineage(base.select("id", "embedding").mapInPandas(place, f"cell int, guest boolean, id {id_type}, unit {vecs.schema['embedding'].dataType.simpleString()}"))
     # one row per cell and role: bounded by twice the number of pivots
     sizes = placed.groupBy("cell").agg(F.count_if(~F.col("guest")).alias("_h"), F.count_if("guest").alias("_g"))
     blocks = sizes.select("cell", F.ceil(F.col("_h") / cell_rows).cast("int").alias("_hb"), F.ceil(F.col("_g") / cell_rows).cast("int").alias("_gb"))
@@ -192,7 +199,7 @@ def similar_pairs(vecs: DataFrame, threshold: float = 0.75, cell_rows: int = CEL
         right = left if same else pdf[pdf["side"] == 1]
         if left.empty or right.empty:
             return pd.DataFrame({"id_1": [], "id_2": [], "score": []})
-        s = np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T
+        s = _units(left["unit"]) @ _units(right["unit"]).T
         r, c = np.nonzero(s >= threshold)
         if same:
             upper = c > r

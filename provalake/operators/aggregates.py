@@ -235,3 +235,54 @@ def analysis_summary(jobs: DataFrame, questions_with_project: DataFrame) -> Data
         .when(F.col("disciplinas_analisadas") < z("disciplinas_total"), "partial").otherwise("completed"))
     return agg.join(total, "projeto_id", "left").withColumns(
         {"status": status, "disciplinas_total": z("disciplinas_total")}).drop("_running")
+
+
+def topic_trend(counts: DataFrame, by: list[str], year: str = "ano", value: str = "n", span: int = 3) -> DataFrame:
+    """Yearly counts of each key with the missing years as zero, the slope of the whole line, the change against the year before, the
+    moving mean of `span` years, and the peak.
+
+    ``counts`` has one row for each key and year at most; the years run from the first to the last of all rows. A key has as many
+    rows as there are years, so its window is small.
+    """
+    first, last = counts.agg(F.min(year)).scalar(), counts.agg(F.max(year)).scalar()
+    years = counts.select(*by).distinct().select(*by, F.explode(F.sequence(first, last)).alias(year))
+    line = years.join(counts.select(*by, year, value), [*by, year], "left").withColumn(value, F.coalesce(value, F.lit(0)).cast("long"))
+    key = Window.partitionBy(*by)
+    order = key.orderBy(year)
+    moving = order.rowsBetween(-(span - 1), 0)
+    peak = F.first(year).over(key.orderBy(F.desc(value), year).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return line.withColumns({
+        "inclinacao": F.regr_slope(F.col(value).cast("double"), F.col(year).cast("double")).over(key),
+        "variacao": F.col(value) - F.lag(value).over(order), "media_movel": F.avg(value).over(moving), "pico": F.col(year) == peak})
+
+
+def rate_alerts(rows: DataFrame, by: list[str], group: str, event: str, strength: float = 20.0, factor: float = 1.5, least: int = 5) -> DataFrame:
+    """Groups in which an event is more frequent than the baseline of their keys: n, count, expected, baseline, and the shrunken rate.
+
+    The rate of a group is drawn to the baseline as if `strength` more rows had it, so a small group needs more to stand out. An
+    alert is a shrunken rate of `factor` times the baseline with `least` events or more. Two aggregates; the second reads the first.
+    """
+    groups = rows.groupBy(*by, group).agg(F.count("*").alias("n"), F.count_if(F.expr(event)).alias("ocorrencias"))
+    base = groups.groupBy(*by).agg((F.sum("ocorrencias") / F.sum("n")).alias("base"))
+    joined = groups.join(base, by)
+    rate = (F.col("ocorrencias") + strength * F.col("base")) / (F.col("n") + strength)
+    out = joined.withColumns({"esperado": F.col("n") * F.col("base"), "taxa": rate})
+    return out.filter((F.col("ocorrencias") >= least) & (F.col("taxa") >= factor * F.col("base")))
+
+
+def absence_alerts(rows: DataFrame, by: list[str], group: str, event: str, expected: float = 3.0) -> DataFrame:
+    """Groups in which an event never happens although the baseline of their keys would give `expected` or more: n, expected, baseline."""
+    groups = rows.groupBy(*by, group).agg(F.count("*").alias("n"), F.count_if(F.expr(event)).alias("_k"))
+    base = groups.groupBy(*by).agg((F.sum("_k") / F.sum("n")).alias("base"))
+    out = groups.filter("_k = 0").join(base, by).withColumn("esperado", F.col("n") * F.col("base"))
+    return out.filter(F.col("esperado") >= expected).drop("_k")
+
+
+def distinct_sketches(rows: DataFrame, by: list[str], col: str, precision: int = 12) -> DataFrame:
+    """One mergeable sketch of the distinct values of a column for each key; stored, it serves any union of keys later."""
+    return rows.groupBy(*by).agg(F.hll_sketch_agg(col, precision).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Estimated distinct values for coarser keys, from sketches alone."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_estimado"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from provalake.functions.text import normalize_discipline, normalize_name, not_b
 from provalake.operators.matching import lookup_counts
 from provalake.session import cut_lineage
 
+#: Item levels that one typed expression reads; documents with more go through a walk of the document.
 MAX_DEPTH = 6
 _NODE = ("struct<node_path:array<int>,depth:int,disciplina:string,item_id:string,texto:string,full_path:string,"
          "parent_path:string>")
@@ -59,11 +64,7 @@ def _items(items: Column, at: Column, depth: int, disc: Column, levels: int) ->
             own = F.array(_node(me["path"], depth, disc, me["id"], me["text"], me["full"], at["full"]))
             if levels > 1:
                 return F.concat(own, _items(item["filhos"], me, depth + 1, disc, levels - 1))
-            # children beyond the declared depth: stop loudly, never drop them
-            deeper = F.when(
-                F.coalesce(item["filhos"], F.lit("[]")).rlike(r"^\s*(\[\s*\])?\s*$"), _empty()
-            ).otherwise(F.raise_error(F.lit("syllabus is deeper than max_depth")).cast(f"array<{_NODE}>"))
-            return F.concat(own, deeper)
+            return own
 
         return let(here, expand)
 
@@ -90,8 +91,78 @@ def _legacy(subjects: Column, path: Column, disc: Column) -> Column:
     return spread(subjects, subject, path, disc)
 
 
+def nesting(taxonomy: Column) -> Column:
+    """The most brackets and braces that are open at once in a JSON text, those within its strings left out."""
+    bare = F.regexp_replace(F.coalesce(taxonomy, F.lit("")), r'"(?:[^"\\]|\\.)*+"', "")
+    signs = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, sign: Column) -> Column:
+        now = acc["now"] + F.when(sign.isin("[", "{"), 1).when(sign.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(signs, start, step)["most"]
+
+
+def is_deep(taxonomy: Column, max_depth: int = MAX_DEPTH) -> Column:
+    """Has the document more item levels than `max_depth`, or brackets that say so? Three open ones surround the first items, and
+    each level has two more."""
+    return nesting(taxonomy) > 4 + 2 * max_depth
+
+
+def _text(value: object) -> str | None:
+    """A JSON value as a typed reader gives it for a text field."""
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def walked(document: str) -> Iterator[tuple]:
+    """(shape, node) of every node of one document, in document order, at any depth; nothing for one that can't be read."""
+    try:
+        doc, _ = json.JSONDecoder(parse_int=str, parse_float=str).raw_decode(document.lstrip())  # what follows is ignored, as by Spark's readers
+    except (ValueError, RecursionError):
+        return
+    rows = lambda x: [i if isinstance(i, dict) else {} for i in x] if isinstance(x, list) else []
+    for d, discipline in enumerate(rows(doc.get("disciplinas")) if isinstance(doc, dict) else []):
+        name = _text(discipline.get("nome"))
+        name = "Sem nome" if name is None else name
+        items = rows(discipline.get("itens"))
+        shape = "nested" if items else "legacy"
+        yield shape, ([d], 0, name, f"disciplina-{d}", name, name, None)
+        if items:
+            todo = [(item, [d, i], name) for i, item in reversed(list(enumerate(items)))]
+            while todo:
+                item, path, above = todo.pop()
+                own_id = _text(item.get("id"))
+                text = _text(item.get("texto")) or (own_id if own_id is not None else "")
+                full = text if above == "" else f"{above} > {text}"
+                yield shape, (path, len(path) - 1, name, own_id or f"item-{path[-1]}", text, full, above)
+                todo += [(kid, [*path, i], full) for i, kid in reversed(list(enumerate(rows(item.get("filhos")))))]
+            continue
+        for a, subject in enumerate(rows(discipline.get("assuntos"))):
+            one = f"{name} > {_text(subject.get('nome')) or ''}"
+            yield shape, ([d, a], 1, name, f"assunto-{a}", _text(subject.get("nome")) or "", one, name)
+            for t, topic in enumerate(rows(subject.get("topicos"))):
+                two = f"{one} > {_text(topic.get('nome')) or ''}"
+                yield shape, ([d, a, t], 2, name, f"topico-{t}", _text(topic.get("nome")) or "", two, one)
+                for s, sub in enumerate(topic.get("subtopicos") or []):
+                    label = _text(sub.get("nome") if isinstance(sub, dict) else sub) or ""
+                    yield shape, ([d, a, t, s], 3, name, f"subtopico-{s}", label, f"{two} > {label}", two)
+
+
+def unreadable(syllabi: DataFrame, col: str = "taxonomia") -> DataFrame:
+    """Quarantine: rows whose document is neither missing nor blank and can't be read."""
+    given = F.col(col).isNotNull() & (F.trim(col) != "")
+    return syllabi.filter(given & F.try_parse_json(F.col(col)).isNull())
+
+
 def flatten_taxonomy(syllabi: DataFrame, key: str = "edital_id", col: str = "taxonomia", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row per syllabus node, for both document shapes. A narrow transformation: no shuffle, one scan."""
+    """One row per syllabus node, for both document shapes and any depth. A narrow transformation: no shuffle.
+
+    Documents of up to `max_depth` item levels are read by one typed expression. Those with more are walked one by one, each within
+    its own row. A document that can't be read gives no rows; `unreadable` lists them.
+    """
 
     def one(d: Column, i: Column) -> Column:
         name = F.coalesce(d["nome"], F.lit("Sem nome"))
@@ -103,9 +174,20 @@ def flatten_taxonomy(syllabi: DataFrame, key: str = "edital_id", col: str = "tax
             _legacy(d["assuntos"], path, name)))
         return F.struct(F.when(nested, "nested").otherwise("legacy").alias("shape"), nodes.alias("_nodes"))
 
+    deep = F.coalesce(is_deep(F.col(col), max_depth), F.lit(False))
     doc = parsed(F.col(col), max_depth)
-    per_discipline = syllabi.select(key, F.inline(F.transform(doc["disciplinas"], one)))
-    return per_discipline.select(key, "shape", F.inline("_nodes"))
+    per_discipline = syllabi.filter(~deep).select(key, F.inline(F.transform(doc["disciplinas"], one)))
+    typed = per_discipline.select(key, "shape", F.inline("_nodes"))
+    names = ["node_path", "depth", "disciplina", "item_id", "texto", "full_path", "parent_path"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, document in zip(batch[key], batch[col], strict=True):
+                found = [(k, shape, *node) for shape, node in walked(document)]
+                if found:
+                    yield pd.DataFrame(found, columns=[key, "shape", *names])
+
+    return typed.unionByName(syllabi.filter(deep).select(key, col).mapInPandas(walk, typed.schema))
 
 
 def taxonomy_totals(nodes: DataFrame, key: str = "edital_id") -> DataFrame:
@@ -193,3 +275,19 @@ def format_taxonomy_text(syllabi: DataFrame, key: str = "edital_id", col: str =
 
     return syllabi.select(key, F.coalesce(F.array_join(F.flatten(F.transform(doc["disciplinas"], disc_lines)), "\n"),
                                           F.lit("")).alias("texto"))
+
+
+def coverage_share(nodes: DataFrame, covered: DataFrame, key: str = "edital_id") -> DataFrame:
+    """Every node with its number of leaves (itself, if it has no children), how many of them are covered, and the share.
+
+    ``covered``: distinct (disciplina, texto) that have questions. Each leaf counts for all prefixes of its path, so depth costs
+    nothing but rows: a leaf at depth d makes d + 1 of them, which are summed before they meet.
+    """
+    own = nodes.select(key, "node_path", "depth", "disciplina", "texto")
+    parents = own.filter("depth > 0").select(key, F.slice("node_path", 1, F.size("node_path") - 1).alias("node_path")).distinct()
+    leaves = own.join(parents, [key, "node_path"], "left_anti")
+    hit = leaves.join(covered.select("disciplina", "texto", F.lit(1).alias("_hit")), ["disciplina", "texto"], "left")
+    above = F.transform(F.sequence(F.lit(1), F.size("node_path")), lambda k: F.slice("node_path", F.lit(1), k))
+    sums = hit.select(key, F.explode(above).alias("node_path"), F.coalesce("_hit", F.lit(0)).alias("_hit")).groupBy(key, "node_path").agg(
+        F.count("*").alias("folhas"), F.sum("_hit").alias("cobertas"))
+    return own.select(key, "node_path", "depth", "texto").join(sums, [key, "node_path"]).withColumn("parcela", F.col("cobertas") / F.col("folhas"))

@@ -73,8 +73,25 @@ def test_deep_syllabus(spark):
         item = {"id": str(d), "texto": f"n{d}", "filhos": [item]}
     doc = {"disciplinas": [{"nome": "D", "itens": [item]}]}
     assert T.flatten_taxonomy(editais(spark, doc)).agg(F.max("depth")).first()[0] == 6
-    with pytest.raises(Exception, match="deeper than max_depth"):
-        T.flatten_taxonomy(editais(spark, doc), max_depth=3).collect()
+    both = [sorted(map(str, T.flatten_taxonomy(editais(spark, doc, SYLLABUS, LEGACY), max_depth=m).collect())) for m in (6, 3, 1, 0)]
+    assert both[0] == both[1] == both[2] == both[3] and len(both[0]) > 16
+
+
+LEGACY = {"disciplinas": [{"nome": None, "assuntos": [{"nome": "A", "topicos": [{"nome": "T", "subtopicos": ["x", {"nome": "y"}, None]}, {}]}, None]},
+                          {"nome": "Ç", "itens": [{"id": 7, "texto": ""}, None, {"texto": 'a [b] {c} " [', "filhos": [{"id": "", "texto": None}]}]}]}
+
+
+def test_forty_levels_and_a_broken_document(spark):
+    item = {"id": "z", "texto": "fundo"}
+    for d in range(39):
+        item = {"id": str(d), "texto": f"n{d}", "filhos": [item]}
+    deep = editais(spark, {"disciplinas": [{"nome": "D", "itens": [item]}]}, SYLLABUS)
+    broken = deep.limit(1).selectExpr("edital_id + 90 AS edital_id", "left(taxonomia, length(taxonomia) - 5) AS taxonomia")
+    every = deep.select("edital_id", "taxonomia").unionByName(broken)
+    nodes = T.flatten_taxonomy(every)
+    assert nodes.agg(F.max("depth")).first()[0] == 40 and nodes.count() == 41 + 8
+    assert nodes.filter("depth = 40").first().full_path.endswith("n0 > fundo")
+    assert [r.edital_id for r in T.unreadable(every).collect()] == [r.edital_id for r in broken.collect()]
 
 
 def test_incidence_tree_tiers(spark):

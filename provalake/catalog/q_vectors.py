@@ -283,11 +283,29 @@ def quota_status(spark, sf):
 STATUS = "(['pending','validating','processing','completed','partial','failed','retry'])"
 
 
-@query("stream_latest_status", f"""SELECT user_id AS prova_id, arg_max({STATUS}[(event_id % 7 + 1)::INT], event_id) AS queue_status, count(*) AS mudancas FROM events GROUP BY 1""")
-def stream_latest_status(spark, sf):
+STATUS_SQL = f"""SELECT user_id AS prova_id, arg_max({STATUS}[(event_id % 7 + 1)::INT], event_id) AS queue_status, count(*) AS mudancas FROM events GROUP BY 1"""
+
+
+def status_changes(events):
     names = F.array(*map(F.lit, ["pending", "validating", "processing", "completed", "partial", "failed", "retry"]))
-    changes = scan(spark, sf, "events").select(F.col("user_id").alias("prova_id"), "ts", "event_id", F.element_at(names, (F.col("event_id") % 7 + 1).cast("int")).alias("queue_status"))
-    return SS.latest_status(changes).drop("atualizado")
+    return events.select(F.col("user_id").alias("prova_id"), "ts", "event_id", F.element_at(names, (F.col("event_id") % 7 + 1).cast("int")).alias("queue_status"))
+
+
+@query("latest_status", STATUS_SQL)
+def latest_status(spark, sf):
+    return SS.latest_status(status_changes(scan(spark, sf, "events"))).drop("atualizado")
+
+
+@query("stream_latest_status", STATUS_SQL)
+def stream_latest_status(spark, sf):
+    """Changes arrive in several files, one a micro-batch; every batch is merged into a table of one row an exam."""
+    out = scratch_dir(spark, "status")
+    events = scan(spark, sf, "events")
+    events.repartitionByRange(4, "event_id").write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    run = SS.start_latest_status(status_changes(stream), f"{out}/tabela", f"{out}/state")
+    run.awaitTermination()
+    return SS.current_status(spark, run, f"{out}/tabela").drop("ultima")
 
 
 def event_stream(spark, sf):
@@ -312,6 +330,20 @@ def stream_quota_minute(spark, sf):
     return run_to_table(SQ.tumbling_usage(event_stream(spark, sf)), spark, "quota").withColumn("inicio", F.col("inicio").cast("timestamp_ntz"))
 
 
+@query("stream_quota_anchored", with_("v_quota", recursive=True, extra={**ANCH, "w": "SELECT epoch_us(max(ts)) - 600000000 AS wm FROM v_quota",
+ "z": "SELECT provider, anchor, count(*) AS requests, sum(tokens_used)::BIGINT AS tokens FROM g GROUP BY ALL", "y": "SELECT *, lead(anchor) OVER (PARTITION BY provider ORDER BY anchor) AS nxt FROM z"})
+ + "SELECT provider, anchor, requests, tokens FROM y WHERE nxt // 1000 * 1000 <= (SELECT wm // 1000 * 1000 FROM w) AND nxt <= (SELECT wm // 1000 * 1000 FROM w)")
+def stream_quota_anchored(spark, sf):
+    """Anchored windows as a stateful stream: those that an event up to the watermark has closed."""
+    name, provider = SQ.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        return run_to_table(SQ.anchored_usage(event_stream(spark, sf)), spark, "anchored")
+    finally:
+        spark.conf.set(name, before)
+
+
 @query("stream_ingest", with_(extra={"d": f"SELECT doc_id, length({trim_sql('text')}) AS n FROM documents"}) + """SELECT doc_id AS prova_id, 'completed' AS status, 1 AS questoes_count, 0 AS questoes_revisao,
  (70 + CASE WHEN n BETWEEN 50 AND 2000 THEN 25 WHEN n BETWEEN 20 AND 49 OR n BETWEEN 2001 AND 5000 THEN 15 ELSE 0 END)::DOUBLE AS confianca_media FROM d""")
 def stream_ingest(spark, sf):

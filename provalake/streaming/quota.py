@@ -26,6 +26,10 @@ def _result(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({"provider": names, **counts})
 
 
+#: The state store that anchored windows need, and the setting that names it.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def anchored_usage(events: DataFrame, watermark: str = "10 minutes", seconds: int = 60) -> DataFrame:
     """Anchored windows per provider as a stateful operator.
 
@@ -44,8 +48,8 @@ def anchored_usage(events: DataFrame, watermark: str = "10 minutes", seconds: in
             for pdf in rows:
                 us = pdf["us"]
                 self.pending.appendList([(int(a), int(b)) for a, b in zip(us, pdf["tokens_used"])])
-                last_ms = int(us.max()) // 1000 + 1
-                self.handle.registerTimer(max(last_ms, timerValues.getCurrentWatermarkInMs() + 1))
+                first_ms = int(us.min()) // 1000 + 1  # the first row that can be due wakes the key
+                self.handle.registerTimer(max(first_ms, timerValues.getCurrentWatermarkInMs() + 1))
             yield _result([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -65,7 +69,7 @@ def anchored_usage(events: DataFrame, watermark: str = "10 minutes", seconds: in
                 self.open.update(current)
             if rest:
                 self.pending.put(rest)
-                self.handle.registerTimer(max(rest[-1][0] // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+                self.handle.registerTimer(max(rest[0][0] // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
             else:
                 self.pending.clear()
             yield _result(done)

@@ -129,6 +129,38 @@ def test_latest_status(spark):
     assert {r.prova_id: r.queue_status for r in SS.latest_status(df).collect()} == {1: "failed", 2: "retry"}
 
 
+def test_status_table_over_batches_and_replays(spark, tmp_path):
+    rows = [(1, 1, "pending", 0), (1, 3, "completed", 1), (2, 1, "retry", 2), (1, 3, "failed", 3), (3, 9, "partial", 4), (2, 0, "pending", 5), (1, 2, "retry", 6)]
+    schema = "prova_id int, ts int, queue_status string, event_id int"
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "tabela")
+    go = lambda: SS.start_latest_status(stream, out, str(tmp_path / "cp"))
+    q = go()
+    q.awaitTermination()
+    state = lambda d: sorted((r.prova_id, r.queue_status, r.mudancas) for r in d.collect())
+    want = [(1, "failed", 4), (2, "retry", 2), (3, "partial", 1)]
+    assert len(q.recentProgress) >= 3 and state(SS.current_status(spark, q, out)) == want
+    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"])
+    again = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")).filter("event_id = 6")
+    before = state(spark.read.parquet(SS.version_path(out, last)))
+    replay = spark.createDataFrame([r for r in rows if r not in _seen(spark, out, last, rows)], schema)
+    SS.merge_batch(out)(replay, last)
+    assert state(spark.read.parquet(SS.version_path(out, last))) == before and again.count() == 1
+
+
+def _seen(spark, out, last, rows):
+    """Rows that came before the last micro-batch: as many changes of each exam as the version before counts."""
+    counted = {r.prova_id: r.mudancas for r in spark.read.parquet(SS.version_path(out, last - 1)).collect()}
+    seen = []
+    for row in rows:
+        if counted.get(row[0], 0):
+            counted[row[0]] -= 1
+            seen.append(row)
+    return seen
+
+
 def test_ingest_files(spark, tmp_path):
     exam = "Informática\nQuestão 1 (Correta: B)\nQual é o atalho para copiar um texto selecionado no editor?\nA) a\nB) b\nC) c\nD) d\nE) e"
     put(tmp_path / "in", "p1.txt", exam)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provalake.llm.common import stored, text_slices, texts, worker_store
-from provalake.llm.token_files import Encoder
+from provalake.llm.token_files import MOST_CACHED, PER_CHARACTER, PER_WORD, Encoder
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are encoded at once, tokens that are aligned at once, and different id pairs a task adds up at once.
@@ -34,7 +35,24 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-class SideA:
+class Side:
+    """What both sides share: the bytes of each id."""
+
+    def set_bytes(self, tokens: list[bytes]) -> None:
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def gives(self, ids: np.ndarray, want: bytes) -> bool:
+        """Are the tokens' bytes, one after the other, the wanted ones?"""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        if not len(ids) or end[-1] != len(want):
+            return False
+        return self.data[np.repeat(self.start[ids] - end + size, size) + np.arange(len(want))].tobytes() == want
+
+
+class SideA(Side):
     """Byte-level BPE; special strings are ordinary text."""
 
     def __init__(self, path: str) -> None:
@@ -42,15 +60,18 @@ class SideA:
         letters = _byte_letters()
         vocabulary = self.encoder.tokenizer
         tokens = [vocabulary.id_to_token(i) or "" for i in range(vocabulary.get_vocab_size())]
-        self.bytes = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in tokens]
-        self.size = np.array([len(t) for t in self.bytes], np.int64)
+        self.set_bytes([bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in tokens])
 
     def encode(self, group: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4") for x in self.encoder.encode([" " + t for t in group])]
 
 
-class SideB:
-    """Pieces with byte fallback; the library itself puts a space before the text."""
+class SideB(Side):
+    """Pieces with byte fallback; the library itself puts a space before the text.
+
+    If no piece has a space after another character, and texts aren't rewritten, no merge goes over a space that follows another
+    character. Then texts are cut there, and each distinct part is encoded once and kept.
+    """
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -58,11 +79,46 @@ class SideB:
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.processor.get_piece_size()
         pieces = [self.processor.id_to_piece(i) for i in range(n)]
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.processor.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.size = np.array([len(t) for t in self.bytes], np.int64)
+        self.set_bytes([bytes([int(p[3:5], 16)]) if self.processor.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        odd = "ﬁ①  Ａ\u00a0x "
+        self.apart = not any("▁" in p.lstrip("▁") for p in pieces) and self.processor.normalize(odd) == "▁" + odd.replace(" ", "▁")
+        self.cache: dict[str, bytes] = {}
+        self.cached = 0
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        return [np.array(x, "<u4").tobytes() for x in self.processor.encode(parts, num_threads=1)]
 
     def encode(self, group: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.uint32) for x in self.processor.encode(group, num_threads=1)]
+        if not self.apart:
+            return [np.frombuffer(x, "<u4") for x in self._each(group)]
+        if self.cached > MOST_CACHED:
+            self.cache.clear()
+            self.cached = 0
+        split = [words_after_spaces(t) if "▁" not in t else None for t in group]  # that sign is a space to the library
+        whole = iter(self._each([t for t, parts in zip(group, split, strict=True) if parts is None]))
+        new = list(set(chain.from_iterable(parts for parts in split if parts)).difference(self.cache))
+        self.cache.update(zip(new, self._each(new), strict=True))
+        self.cached += PER_WORD * len(new) + PER_CHARACTER * sum(map(len, new))
+        return [np.frombuffer(next(whole) if parts is None else b"".join(map(self.cache.__getitem__, parts)), "<u4") for parts in split]
+
+
+def words_after_spaces(text: str) -> list[str]:
+    """The text cut before each space that follows another character, without that space; spaces at the end stay with what is
+    before them."""
+    parts = text.split(" ")
+    if "" not in parts:
+        return parts
+    out: list[str] = []
+    waiting = ""
+    for part in parts:
+        if part:
+            out.append(waiting + part)
+            waiting = ""
+        else:
+            waiting += " "
+    if waiting:  # one more empty part than spaces if there is nothing else
+        return [*out[:-1], out[-1] + waiting] if out else [text] if text else []
+    return out
 
 
 def sides(paths: tuple[str, str]) -> tuple[SideA, SideB]:
@@ -86,7 +142,8 @@ def groups_of(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndar
         if (doubled == after).all():
             break
         after = doubled
-    _, group = np.unique(after, return_inverse=True)
+    rank = np.cumsum(after[n:] == own) - 1  # terminals are tokens of B
+    group = rank[after - n]
     return group[:n], group[n:]
 
 
@@ -108,7 +165,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Itera
             rows = []
             for text, a, b in zip(group, left.encode(group), right.encode(group), strict=True):
                 want = (" " + text).encode()
-                if not text or b"".join(map(left.bytes.__getitem__, a.tolist())) != want or b"".join(map(right.bytes.__getitem__, b.tolist())) != want:
+                if not text or not left.gives(a, want) or not right.gives(b, want):
                     a = b = np.zeros(0, np.uint32)
                 rows.append((a.astype("<u2").tobytes(), b.astype("<u2").tobytes()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))], names=["doc_id", "a", "b"])
@@ -119,6 +176,15 @@ def token_rows(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     return texts(docs).mapInArrow(lambda b: _encoded(b, paths), "doc_id long, a binary, b binary")
 
 
+def _numbers(signs: str) -> np.ndarray:
+    """For each sign all 16-bit ids, written out, with the sign after them."""
+    store = worker_store()
+    key = f"token_alignment:numbers:{signs}"
+    if key not in store:
+        store[key] = np.array([[f"{i}{sign}" for i in range(1 << 16)] for sign in signs], object)
+    return store[key]
+
+
 class Aligned:
     """Tokens, groups and links of many documents at once: their bytes are laid one after the other."""
 
@@ -145,8 +211,7 @@ class Aligned:
         n_groups[some] = np.diff(np.concatenate([[0], group_a[stop_a[some] - 1] + 1]))
         place = np.concatenate([np.arange(len(self.a)) + np.searchsorted(group_b, group_a), np.arange(len(self.b)) + np.searchsorted(group_a, group_b, "right")])
         written = np.empty(len(place), object)
-        written[place] = [f"{i}{'|' if z else ','}" for i, z in zip(self.a.tolist(), last_a.tolist(), strict=True)] + [
-            f"{i}{';' if z else ','}" for i, z in zip(self.b.tolist(), last_b.tolist(), strict=True)]
+        written[place] = np.concatenate([_numbers(",|")[last_a.astype(int), self.a], _numbers(",;")[last_b.astype(int), self.b]])
         cuts = np.concatenate([[0], stop_a + stop_b]).tolist()
         return n_groups, ["".join(written[x:y])[:-1] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 

@@ -94,6 +94,15 @@ def test_groups_written_out(spark):
     assert got[2] == "" == digest[2] and hashlib.sha256(got[1].encode()).hexdigest() == digest[1]
 
 
+def test_parts_after_spaces_encode_like_the_whole(libraries):
+    side = ta.SideB(public_tokenizers.path(ta.TOKENIZER_B))
+    rng = random.Random(2)
+    bits = ["a", "b", " ", "  ", "\n", "\t", " \n", "é", "▁", "\xa0", "<s>", "1", "中", "   ", "the", "ing"]
+    rows = ["".join(rng.choices(bits, k=rng.randint(0, 25))) for _ in range(5000)]
+    assert side.apart and [x.tolist() for x in side.encode(rows)] == libraries[1].encode(rows, num_threads=1)
+    assert ["".join(ta.words_after_spaces(t)) for t in ("", " ", "   ", "a b", " a", "a  b ", "a b  c")] == ["", " ", "   ", "ab", " a", "a b ", "ab c"]
+
+
 def test_chains_of_overlaps():
     """Successors that are followed over many tokens: the ends meet only at the last byte."""
     end_a, end_b = np.arange(2, 2002, 2), np.append(np.arange(1, 2000, 2), 2000)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provalake.functions import vector as V
+from provalake.operators.inference import infer_table
 from provalake.operators.scan_order import row_numbers
 from provalake.operators.windows import top_per_group
 from provalake.session import cut_lineage
@@ -34,19 +35,16 @@ def hashed_features(df: DataFrame, col: str, out: str = "embedding", dim: int =
 
 def embed(df: DataFrame, col: str, make: Callable[[], Callable[[pd.Series], np.ndarray]] | None = None, out: str = "embedding",
           batch_size: int = 32) -> DataFrame:
-    """Adds a vector per text. ``make`` builds the model once per task and is called on ``batch_size`` texts at a time;
-    without it hashed features stand in."""
+    """Adds a vector per text. ``make`` builds the model once per task and is called on ``batch_size`` texts of like length at a
+    time; a text it fails on has no vector and its reason in ``out`` + "_erro". Without it hashed features stand in."""
     if make is None:
         return hashed_features(df, col, out)
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def vectors() -> Callable[[list], list]:
         model = make()
-        for texts in batches:
-            parts = [model(texts.iloc[i:i + batch_size]) for i in range(0, len(texts), batch_size)]
-            yield pd.Series([list(map(float, v)) for p in parts for v in p], index=texts.index)
+        return lambda texts: [list(map(float, v)) for v in model(pd.Series(texts, dtype=object))]
 
-    return df.withColumn(out, run(F.col(col)))
+    return infer_table(df, col, vectors, out, "array<float>", batch_size)
 
 
 def text_variant(kind: str, stem: Column, options: Column, answer: Column) -> Column:

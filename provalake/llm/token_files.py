@@ -34,7 +34,7 @@ HEADER = np.dtype([("base", "<u4"), ("n", "<u2"), ("outliers", "<u2"), ("width",
 SEGMENT_IDS, CHUNK = 1 << 18, 2_000_000
 #: Bytes that cached words may take in a Python worker, at about so many for a word and for each of its characters; a full cache
 #: starts anew.
-MOST_CACHED, PER_WORD, PER_CHARACTER = 160_000_000, 220, 5
+MOST_CACHED, PER_WORD, PER_CHARACTER = 280_000_000, 220, 5
 END_ID = 0
 SEGMENT_SCHEMA = ("shard int, segment int, first_id long, n_ids long, doc_ids array<long>, doc_starts array<long>, "
                   "block_starts array<int>, payload binary")

@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provalake.llm.common import stored, text_slices, texts, worker_store
-from provalake.llm.token_files import MOST_CACHED, PER_CHARACTER, PER_WORD, Encoder
+from provalake.llm.token_files import PER_CHARACTER, PER_WORD, Encoder
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are encoded at once, tokens that are aligned at once, and different id pairs a task adds up at once.
-CHUNK, ALIGNED, MOST_PAIRS = 1_000_000, 1_000_000, 1_000_000
+CHUNK, ALIGNED, MOST_PAIRS = 1_000_000, 250_000, 1_000_000
+#: Bytes that either side's cached parts of texts may take in a Python worker.
+MOST_CACHED = 100_000_000
 #: Id pairs whose counts travel to all tasks at once; a larger table goes in as many blocks as it needs.
 BLOCK = 2_000_000
 
@@ -56,7 +58,7 @@ class SideA(Side):
     """Byte-level BPE; special strings are ordinary text."""
 
     def __init__(self, path: str) -> None:
-        self.encoder = Encoder(path, special=False)
+        self.encoder = Encoder(path, special=False, most_cached=MOST_CACHED)
         letters = _byte_letters()
         vocabulary = self.encoder.tokenizer
         tokens = [vocabulary.id_to_token(i) or "" for i in range(vocabulary.get_vocab_size())]

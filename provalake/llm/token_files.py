@@ -118,7 +118,7 @@ def _edged(parts: set[str]) -> set[str]:
 class Encoder:
     """Encodes texts over a cache of words. `special`: are the strings of special tokens in a text these tokens?"""
 
-    def __init__(self, path: str, special: bool = True) -> None:
+    def __init__(self, path: str, special: bool = True, most_cached: int = MOST_CACHED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -126,7 +126,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not special
         self.opening: dict[str, bytes] = {}  # first parts of texts
         self.cache: dict[str, bytes] = {}  # parts after a space
-        self.cached = 0
+        self.cached, self.most_cached = 0, most_cached
         tokens = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         self.opens = np.array([t.startswith("\u0120") for t in tokens])  # the vocabulary's sign for a space
 
@@ -159,7 +159,7 @@ class Encoder:
         the new ones; then the texts that have such parts are put together again where need be.
         """
         split = [t.split(" ") for t in group]
-        if self.cached > MOST_CACHED:
+        if self.cached > self.most_cached:
             self.cache.clear()
             self.opening.clear()
             self.cached = 0

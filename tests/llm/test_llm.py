@@ -434,6 +434,26 @@ def test_blocks_of_a_page():
     assert html_text.blocks_of("") == ([], False) and html_text.blocks_of("<article><p>a<!-- b") == (["a"], True)
 
 
+@pytest.mark.parametrize("page, blocks", [
+    ('<article><p class="promo">Buy<p>Real one</p><p>Real two</p></article>', ["Real one", "Real two"]),
+    ('<article><h1>T</h1><ul><li class="share">x<li>Real item</ul><p>Body</p></article>', ["T", "Real item", "Body"]),
+    ('<nav><a href="/">Home</a><article><p>Text</p></article>', ["Text"]),
+    ('<nav>Home<ul><li>a<li>b</ul></nav><article><p>Text</article><footer>f', ["Text"]),
+    ('<article><p class="related-work">One</p><div class="search-algorithms">Two</div><section id="notice-of-intent">Three</section></article>', ["One", "Two", "Three"]),
+    ('<article><p>a</p><div class="related-posts"><p>no</p></div><div class="x ad"><div>no</div></div><p>b</article>', ["a", "b"]),
+    ('<article><div class="ad"><p>no</article><p>after</p>', []),
+    ('<article>a<span class="share">no</span> b</article></div></p>', ["a b"]),
+    ('<article><p>some <span lang="de">Wort</span> here, <b id=x>bold</b>er</p></article>', ["some Wort here, bolder"]),
+    ('<article><table><tr><td class="ad">no<td>yes<tr><td>row</table></article>', ["yes", "row"]),
+    ('<article><section class="comments"><article class="comment"><p>no</p></article></section><p>yes</p></article>', ["yes"]),
+    ('<aside><article><p>teaser</p></article></aside><main><p>main text</p></main>', ["main text"]),
+    ('<article><dl><dt class="ad">no<dd>yes<dt>term</dl><select><option>no</select></article>', ["yes", "term"]),
+])
+def test_end_tags_that_are_left_out_and_names(page, blocks):
+    assert html_text.blocks_of(page)[0] == blocks
+
+
+
 def test_repeats_go_where_a_page_marks_no_article(spark):
     menu = "home about us contact our whole team right here"
     rows = [(i, f"http://h.example/{i}", f"<p>{menu}</p><p>{i} story {i * 7} of {i * 3}</p>") for i in range(4)]

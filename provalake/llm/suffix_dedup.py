@@ -26,7 +26,7 @@ from provalake.llm.common import groups_by_size, stored, text_slices
 
 LENGTH, KEY = 100, 32
 #: Contexts of one anchor that are put in order whole (a larger one's parts have half as many); bytes that are put in order at once.
-MOST_CONTEXTS, BUNDLE = 64, 1 << 19
+MOST_CONTEXTS, BUNDLE = 16, 1 << 20
 #: Bytes of text that are looked at together.
 CHUNK = 4_000_000
 #: Rows without a doc_id come after all others.
@@ -189,19 +189,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _bytes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for t in batch.column("text"):
-        yield np.frombuffer(t.as_py().encode(), np.uint8)
+    for t in batch.column("text").cast(pa.binary()):
+        yield np.frombuffer(t.as_buffer(), np.uint8)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], name_docs: bool) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different anchors of each document and how often it has them."""
     for batch in (part for whole in batches for part in text_slices(whole, CHUNK)):
         found = [np.unique(anchors(d)[2], return_counts=True) for d in _bytes(batch)]
         rows = pa.array(np.repeat(np.arange(len(found)), [len(k) for k, _ in found]))
-        keys = pa.array(np.concatenate([k for k, _ in found] or [np.zeros(0, np.int64)]))
-        if name_docs:
-            yield pa.RecordBatch.from_arrays([keys, batch.column("doc").take(rows), batch.column("hash").take(rows)], names=["anchor", "doc", "hash"])
-        else:
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([n for _, n in found] or [np.zeros(0, np.int64)]))], names=["anchor", "n"])
+        keys, counts = (pa.array(np.concatenate([*x, np.zeros(0, np.int64)])) for x in (([f[k] for f in found]) for k in (0, 1)))
+        yield pa.RecordBatch.from_arrays([keys, counts, batch.column("doc").take(rows), batch.column("hash").take(rows)], names=["anchor", "n", "doc", "hash"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,10 +304,10 @@ def _judged_across(contexts: DataFrame) -> DataFrame:
 
 def _repeated_anchors(docs: DataFrame) -> DataFrame:
     """`anchors` of each document (doc, hash) that occur twice or more."""
-    keyed = _keyed(docs)
-    counts = keyed.select("text").mapInArrow(lambda b: _anchor_rows(b, False), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    places = keyed.select("doc", "hash", "text").mapInArrow(lambda b: _anchor_rows(b, True), "anchor long, doc long, hash long")
-    found = places.join(counts.where("n > 1").select("anchor"), "anchor").groupBy("doc", "hash").agg(F.collect_set("anchor").alias("anchors"))
+    rows = _keyed(docs).select("doc", "hash", "text")
+    places = stored(rows.mapInArrow(_anchor_rows, "anchor long, n long, doc long, hash long"), "anchors")
+    repeated = places.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    found = places.select("anchor", "doc", "hash").join(repeated, "anchor").groupBy("doc", "hash").agg(F.collect_set("anchor").alias("anchors"))
     return stored(found, "repeated")
 
 

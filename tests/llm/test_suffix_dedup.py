@@ -70,7 +70,7 @@ def corpus(seed, n=60):
     return rows + [(n, "q" * 350), (n + 1, "q" * 220), (n + 2, "xyz" * 120), (n + 3, "r" * 99), (n + 4, "r" * 100), (n + 5, "r" * 100), (n + 6, None), (n + 7, "")]
 
 
-@pytest.mark.parametrize("seed, most", [(1, 64), (2, 64), (3, 3)])
+@pytest.mark.parametrize("seed, most", [(1, 16), (2, 16), (3, 3)])
 def test_repeats_against_all_windows(spark, monkeypatch, seed, most):
     monkeypatch.setattr(sd, "MOST_CONTEXTS", most)
     rows = corpus(seed)

@@ -602,7 +602,20 @@ def incidence_tree(spark, sf):
     return t.withColumn("node_path", F.array_join(F.col("node_path").cast("array<string>"), ".")).select(*TREE_COLS.split(", "))
 
 
-@query("nest_tree")
+def nested_level(depth, below):
+    """Lists of the nodes of one depth, as JSON, by their parent; `below` has those of the next depth."""
+    kids = f"LEFT JOIN {below} k USING (projeto_id, edital_id, node_path)" if below else ""
+    inner = "coalesce(k.kids, '[]')" if below else "'[]'"
+    parent = r"regexp_replace(node_path, '\.?[0-9]+$', '')"
+    return f"""SELECT projeto_id, edital_id, {parent} AS node_path, concat('[', string_agg(concat(h, ',"children":', {inner}, '}}'), ',' ORDER BY p), ']') AS kids FROM n {kids} WHERE depth = {depth} GROUP BY ALL"""
+
+
+NEST = {**TREE, "n": f"""SELECT projeto_id, edital_id, node_path, depth, list_transform(string_split(node_path, '.'), lambda x: x::INT) AS p,
+ concat('{{"id":', to_json(item_id)::VARCHAR, ',"nome":', to_json(texto)::VARCHAR, ',"count":', count::VARCHAR) AS h FROM (SELECT {TREE_COLS} FROM top UNION ALL SELECT {TREE_COLS} FROM low)""",
+        "k3": nested_level(3, None), "k2": nested_level(2, "k3"), "k1": nested_level(1, "k2"), "k0": nested_level(0, "k1")}
+
+
+@query("nest_tree", with_("v_projetos", "v_nodes", "v_qp", "v_class", extra=NEST) + "SELECT projeto_id, edital_id, kids AS arvore FROM k0")
 def nest_tree(spark, sf):
     return T.nest_tree(tree(spark, sf), ["projeto_id", "edital_id"])
 

@@ -21,15 +21,20 @@ def strip_fences(col: Column) -> Column:
     return F.when(col.contains("```json"), trim_all(tagged)).when(col.contains("```"), trim_all(plain)).otherwise(col)
 
 
+_PAIR = "\ufdd0"
+
+
 def sanitize_json(col: Column) -> Column:
     """Escape raw line breaks and tabs inside strings and drop other control characters there.
 
-    A quote is real when an even number of backslashes precedes it. Splitting at real quotes makes every second piece the inside of a string.
+    A quote is real when an even number of backslashes precedes it: pairs of them, however many, are set aside as a character that no
+    text may hold, then a quote after a backslash is none. Splitting at real quotes makes every second piece the inside of a string.
     """
-    pieces = F.split(trim_all(col), r'(?<=(?<!\\)(?:\\\\){0,64})"')
+    pieces = F.split(F.replace(trim_all(col), F.lit("\\\\"), F.lit(_PAIR)), r'(?<!\\)"')
     inside = lambda p: F.regexp_replace(F.replace(F.replace(F.replace(
         p, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t")), r"[\x00-\x1f]", "")
-    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, inside(p)).otherwise(p)), '"')
+    joined = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, inside(p)).otherwise(p)), '"')
+    return F.replace(joined, F.lit(_PAIR), F.lit("\\\\"))
 
 
 # Fixed patterns: text that ends a complete question object or syllabus item.

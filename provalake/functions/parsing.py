@@ -95,7 +95,7 @@ def block_answer(block: Column, header_answer: Column) -> Column:
 def block_stem(block: Column, options: Column) -> Column:
     """Text before the first option, without any answer line."""
     first = F.try_element_at(F.map_keys(options), F.lit(1))
-    at = F.position(F.concat(first, F.lit(")")), block)
+    at = F.position(F.concat(first, F.lit(")")), block, F.lit(2))  # a mark at the very start is no end of a stem
     stem = F.when(at > 1, block.substr(F.lit(1), at - 1)).otherwise(block)
     return trim_all(F.regexp_replace(trim_all(stem), r"(?m)Resposta:.*$", ""))
 

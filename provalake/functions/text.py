@@ -26,7 +26,8 @@ def _accent_table(form: str) -> tuple[str, str]:
         if base != ch and len(base) == 1:
             src.append(ch)
             dst.append(base)
-    marks = "".join(chr(c) for c in range(0x300, 0x370))  # no target: translate drops them
+    blocks = (0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0xFE20, 0xFE30)  # the blocks of combining marks
+    marks = "".join(chr(c) for a, b in blocks for c in range(a, b) if unicodedata.combining(chr(c)))  # no target: translate drops them
     return "".join(src) + marks, "".join(dst)
 
 

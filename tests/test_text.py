@@ -173,3 +173,19 @@ def test_windows(spark):
 @pytest.mark.parametrize("raw,expected", [("mbẽ ế ﬁm", "mbe e fim"), ("Ǖ ỹ Ώ", "U y Ω"), ("한글 çã", "한글 ca")])
 def test_accents_of_all_unicode(spark, raw, expected):
     assert value(spark, X.strip_accents(F.col("t")), t=raw) == expected
+
+
+def test_quote_after_very_many_backslashes(spark):
+    import json
+
+    from provalake.functions import jsontext as JT
+
+    rows = ['{"a": "x\ny"}', '{"a": "' + "\\\\" * 70 + '"}', '{"a": "' + "\\\\" * 70 + '\\" b\n"}', '{"a":"q\\"\tz"}', '  {"k":"\\\\"}  ']
+    got = [json.loads(r[0]) for r in spark.createDataFrame([(r,) for r in rows], "t string").select(JT.sanitize_json(F.col("t"))).collect()]
+    assert got == [{"a": "x\ny"}, {"a": "\\" * 70}, {"a": "\\" * 70 + '" b\n'}, {"a": 'q"\tz'}, {"k": "\\"}]
+
+
+def test_marks_of_all_blocks_are_dropped(spark):
+    from provalake.functions.text import strip_accents
+
+    assert spark.createDataFrame([("e᷄x⃐y︠ éá᪰",)], "t string").select(strip_accents(F.col("t"))).first()[0] == "exy ea"

@@ -63,11 +63,10 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         bits = np.unpackbits(deltas[rows].astype(size_of).view(np.uint8), axis=1, bitorder="little").reshape(len(rows), BLOCK, -1)[:, :, :w]
         for i, data in zip(rows.tolist(), np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little"), strict=True):
             packed[i] = data.tobytes()
-    for i in range(n_blocks):
-        blocks[i] = header[i].tobytes() + packed[i]
-        if header["outliers"][i]:
-            at = np.flatnonzero(patched[i])
-            blocks[i] += at.astype("<u2").tobytes() + deltas[i, at].astype("<u4").tobytes()
+    heads, places, values = header.tobytes(), np.nonzero(patched)[1].astype("<u2").tobytes(), deltas[patched].astype("<u4").tobytes()
+    cuts, n = np.concatenate([[0], np.cumsum(header["outliers"], dtype=np.int64)]).tolist(), HEADER.itemsize
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        blocks[i] = b"".join((heads[i * n:(i + 1) * n], packed[i], places[2 * a:2 * b], values[4 * a:4 * b]))
     starts = np.concatenate([[0], np.cumsum([len(b) for b in blocks])[:-1]])
     return b"".join(blocks), starts.astype(np.int32)
 
@@ -208,7 +207,8 @@ def _segments(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFra
         return pd.DataFrame([row], columns=["shard", "segment", "first_id", "n_ids", "doc_ids", "doc_starts", "block_starts", "payload"])
 
     for batch in batches:
-        ids, values = [None if pd.isna(i) else int(i) for i in batch["doc_id"]], batch["text"].tolist()
+        known = batch["doc_id"].notna().to_numpy()
+        ids, values = [int(i) if k else None for i, k in zip(batch["doc_id"].tolist(), known.tolist(), strict=True)], batch["text"].tolist()
         for start, stop in groups_by_size([len(t) for t in values], CHUNK):
             for doc, found in zip(ids[start:stop], coder.encode(values[start:stop]), strict=True):
                 docs.append(doc)
@@ -239,7 +239,7 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = unpack(s.payload, s.block_starts).astype("<u4")
             starts = np.asarray(s.doc_starts, np.int64)
             stops = np.append(starts[1:], len(ids))
-            sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+            sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
             docs = pd.array([None if d is None or pd.isna(d) else int(d) for d in s.doc_ids], "Int64")
             yield pd.DataFrame({"shard": s.shard, "doc_id": docs, "start": starts + s.first_id, "n_tokens": stops - starts, "ids_crc32": sums})
 

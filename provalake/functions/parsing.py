@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from provalake import constants as C
+from provalake.functions.once import let
 from provalake.functions.text import not_blank, trim_all
 
 # Fixed patterns: the two question header grammars, option marks and answer marks.
@@ -20,8 +21,9 @@ SECTION = r"(?iu)(?:^|\n)\s*((?:" + "|".join(C.SECTION_NAMES) + r")[^\n]*)"
 OPTION = r"(?s)([A-E])\)\s*(.+?)(?=[A-E]\)|Resposta:|$)"
 OPTION_DOT = r"(?s)([A-E])\.?\s*(.+?)(?=[A-E]\.?\s|Resposta:|$)"
 PAREN_OPTION = r"(?s)\(([A-E])\)\s*([^(]*?)(?=\([A-E]\)|$)"
-LINE_OPTION = r"(?ms)(?:^|\n)\s*([A-E])\s*[).\-]\s*([^\n]*?)(?=(?:^|\n)\s*[A-E]\s*[).\-]|$)"
-FIRST_OPTION = r"\([A-E]\)|(?:^|\n)\s*[A-E]\s*[).\-]"
+LINE_OPTION = r"(?dms)(?:^|\n)\s*([A-E])\s*[).\-]\s*([^\n]*?)(?=(?:^|\n)\s*[A-E]\s*[).\-]|$)"
+PAREN_MARK = r"\([A-E]\)"
+LINE_MARK = r"(?:^|\n)\s*([A-E])\s*[).\-]"
 
 
 def all_matches(col: Column, pattern: str, group: int) -> Column:
@@ -100,16 +102,30 @@ def block_stem(block: Column, options: Column) -> Column:
     return trim_all(F.regexp_replace(trim_all(stem), r"(?m)Resposta:.*$", ""))
 
 
-def content_options(text: Column) -> Column:
-    """Options written ``(A)``, or at line starts as ``A)``, ``A.`` or ``A-``."""
-    paren, line = all_matches(text, PAREN_OPTION, 1), all_matches(text, LINE_OPTION, 1)
-    return F.when(F.size(paren) > 0, options_map(paren, all_matches(text, PAREN_OPTION, 2))).otherwise(
-        options_map(line, all_matches(text, LINE_OPTION, 2)))
+def line_list_start(text: Column) -> Column:
+    """Characters before the list of options at line starts. The list begins at the first A that B follows, so that a sentence like
+    "A. All rights reserved." above it is no option; without such a pair it begins at the first mark."""
+    letters, marks, pieces = all_matches(text, LINE_MARK, 1), all_matches(text, LINE_MARK, 0), F.split(text, LINE_MARK)
+    pairs = F.zip_with(letters, F.slice(letters, F.lit(2), F.size(letters)), lambda x, y: F.concat(x, y))
+    above = F.greatest(F.array_position(pairs, "AB").cast("int"), F.lit(1)) - 1
+    chars = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+    return let(F.struct(marks.alias("m"), pieces.alias("p"), above.alias("n")), lambda s: chars(s["p"], s["n"] + 1) + chars(s["m"], s["n"]))
 
 
-def content_stem(text: Column, options: Column) -> Column:
-    head = F.element_at(F.split(text, FIRST_OPTION, 2), 1)
-    return F.when(F.size(options) > 0, trim_all(head)).otherwise(text)
+def content_parts(text: Column) -> Column:
+    """Struct (alternativas, enunciado): options written ``(A)``, or at line starts as ``A)``, ``A.`` or ``A-``, and the text before
+    the first mark of the form they have."""
+    paren = all_matches(text, PAREN_OPTION, 1)
+    in_paren = F.struct(options_map(paren, all_matches(text, PAREN_OPTION, 2)).alias("alternativas"),
+                        trim_all(F.element_at(F.split(text, PAREN_MARK, 2), 1)).alias("enunciado"))
+
+    def at_lines(start: Column) -> Column:
+        rest = text.substr(start + 1, F.length(text))
+        options = options_map(all_matches(rest, LINE_OPTION, 1), all_matches(rest, LINE_OPTION, 2))
+        return F.struct(options.alias("alternativas"),
+                        F.when(F.size(options) > 0, trim_all(text.substr(F.lit(1), start))).otherwise(text).alias("enunciado"))
+
+    return F.when(F.size(paren) > 0, in_paren).otherwise(let(line_list_start(text), at_lines))
 
 
 def question_position(text: Column, number: Column) -> Column:

@@ -33,8 +33,7 @@ def parse_blocks(segments: DataFrame) -> DataFrame:
 
 
 def parse_parts(df: DataFrame, text: str) -> DataFrame:
-    out = once(df, {"alternativas": P.content_options(F.col(text))})
-    return once(out, {"enunciado": P.content_stem(F.col(text), F.col("alternativas"))})
+    return once(df, {"_p": P.content_parts(F.col(text))}).select(*df.columns, "_p.*")
 
 
 def page_text(pages: DataFrame, by: str = "doc", max_pages: int | None = None, marker: str = "PAGINA") -> DataFrame:

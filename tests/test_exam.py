@@ -294,3 +294,22 @@ def test_extract_job(spark):
     kept, rollup = JB.extract(docs, names, ["doc_id"])
     assert {(r.doc_id, r.numero) for r in kept.collect()} == {(1, 1), (2, 15)}
     assert {r.prova_id: (r.total, r.anuladas) for r in rollup.collect()} == {1: (1, 0), 2: (1, 0)}
+
+
+def parts(spark, text):
+    return P.parse_parts(spark.createDataFrame([(1, text)], "id int, c string"), "c").first()
+
+
+def test_sentence_that_begins_like_an_option_stays_in_the_stem(spark):
+    r = parts(spark, "A. All rights reserved.\nA) um\nB. dois\nC- três")
+    assert (r.enunciado, r.alternativas) == ("A. All rights reserved.", {"A": "um", "B": "dois", "C": "três"})
+    r = parts(spark, "E-mail: x\nA) um\nB) dois")
+    assert (r.enunciado, r.alternativas) == ("E-mail: x", {"A": "um", "B": "dois"})
+    r = parts(spark, "Nada\nC) um\nB) dois")  # no A before a B: every mark counts
+    assert (r.enunciado, r.alternativas) == ("Nada", {"C": "um", "B": "dois"})
+    assert parts(spark, "só texto").enunciado == "só texto"
+
+
+def test_carriage_return_begins_no_line(spark):
+    r = parts(spark, "Texto\rE- isso\nA) um\rB) dentro\nB) dois")
+    assert (r.enunciado, r.alternativas) == ("Texto\rE- isso", {"A": "um\rB) dentro", "B": "dois"})

@@ -185,3 +185,13 @@ def test_exam_sent_again_without_questions(spark, tmp_path):
     for batch, ids in ((0, ["p1", "p2"]), (1, ["p1"])):
         spark.createDataFrame([(i, batch) for i in ids], "prova_id string, lote int").write.parquet(f"{out}/provas/batch={batch}")
     assert [r.prova_id for r in SI.current_questions(spark, out).collect()] == ["p2"]
+
+
+def test_streams_read_a_table_in_one_file_or_in_a_folder(spark, tmp_path):
+    from provalake.catalog.q_vectors import stream_ingest
+
+    docs = spark.createDataFrame([(i, "texto " * 12, "pt", "a", 72) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet", index=False)
+    for place in (tmp_path / "folder", tmp_path):
+        assert {(r.prova_id, r.status) for r in stream_ingest(spark, str(place)).collect()} == {(i, "completed") for i in range(6)}

@@ -281,13 +281,14 @@ def coverage_share(nodes: DataFrame, covered: DataFrame, key: str = "edital_id")
     """Every node with its number of leaves (itself, if it has no children), how many of them are covered, and the share.
 
     ``covered``: distinct (disciplina, texto) that have questions. Each leaf counts for all prefixes of its path, so depth costs
-    nothing but rows: a leaf at depth d makes d + 1 of them, which are summed before they meet.
+    nothing but rows: a leaf at depth d makes d + 1 of them, which are summed before they meet. Nodes come out of a few long texts,
+    so the size Spark expects of them says little: merge joins keep them off the driver.
     """
     own = nodes.select(key, "node_path", "depth", "disciplina", "texto")
     parents = own.filter("depth > 0").select(key, F.slice("node_path", 1, F.size("node_path") - 1).alias("node_path")).distinct()
-    leaves = own.join(parents, [key, "node_path"], "left_anti")
+    leaves = own.join(parents.hint("merge"), [key, "node_path"], "left_anti")
     hit = leaves.join(covered.select("disciplina", "texto", F.lit(1).alias("_hit")), ["disciplina", "texto"], "left")
     above = F.transform(F.sequence(F.lit(1), F.size("node_path")), lambda k: F.slice("node_path", F.lit(1), k))
     sums = hit.select(key, F.explode(above).alias("node_path"), F.coalesce("_hit", F.lit(0)).alias("_hit")).groupBy(key, "node_path").agg(
         F.count("*").alias("folhas"), F.sum("_hit").alias("cobertas"))
-    return own.select(key, "node_path", "depth", "texto").join(sums, [key, "node_path"]).withColumn("parcela", F.col("cobertas") / F.col("folhas"))
+    return own.select(key, "node_path", "depth", "texto").join(sums.hint("merge"), [key, "node_path"]).withColumn("parcela", F.col("cobertas") / F.col("folhas"))

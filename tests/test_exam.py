@@ -313,3 +313,19 @@ def test_sentence_that_begins_like_an_option_stays_in_the_stem(spark):
 def test_carriage_return_begins_no_line(spark):
     r = parts(spark, "Texto\rE- isso\nA) um\rB) dentro\nB) dois")
     assert (r.enunciado, r.alternativas) == ("Texto\rE- isso", {"A": "um\rB) dentro", "B": "dois"})
+
+
+def test_repair_keeps_a_stem_that_begins_like_an_option(spark):
+    text = "Questão 1 (Correta: C) A.\nAll rights reserved. (A) um (B) dois (C) três (D) quatro (E) cinco\nQuestão 3\nresto"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, full_text string")
+    q = spark.createDataFrame([(1, 1, 1, "", {}, "ok"), (1, 3, 3, "", {}, "ok")],
+                              "doc_id int, seq int, numero int, enunciado string, alternativas map<string,string>, status_extracao string")
+    got = {r.numero: r for r in P.repair_incomplete(q, docs).collect()}
+    assert (got[1].status_extracao, got[1].enunciado, len(got[1].alternativas)) == ("repaired", "A. All rights reserved.", 5)
+
+
+def test_coverage_share_broadcasts_no_nodes(spark):
+    nodes = T.flatten_taxonomy(editais(spark, SYLLABUS, SYLLABUS))
+    out = T.coverage_share(nodes, spark.createDataFrame([("Língua Portuguesa", "Período Simples")], "disciplina string, texto string").hint("merge"))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.folhas, r.cobertas) for r in out.filter("depth = 0").collect()} == {(3, 1), (2, 0)}

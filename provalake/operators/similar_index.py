@@ -21,18 +21,23 @@ from provalake.session import cut_lineage
 
 #: Bands at most when a plan is chosen; rows of a block; hyperplanes are drawn from this seed.
 MOST_BANDS, BLOCK_ROWS, SEED = 256, 2048, 20240601
+#: Sending a vector to one more bucket costs about as much as that many comparisons; with fewer bands than this recall varies with the seed.
+COPY_COST, LEAST_BANDS = 5000, 20
 
 
-def hash_plan(threshold: float, recall: float = 0.95, most_bands: int = MOST_BANDS) -> tuple[int, int]:
-    """Bits and bands by which a pair at the threshold is found with probability `recall`: as many bits as the bands allow."""
+def hash_plan(threshold: float, recall: float = 0.95, most_bands: int = MOST_BANDS, rows: int | None = None) -> tuple[int, int]:
+    """Bits and bands by which a pair at the threshold is found with probability `recall`: as many bits as the bands allow or, for a
+    known number of rows, those that cost least. Each band is a copy of every vector on disk, each bit less doubles the comparisons."""
     agree = 1 - math.acos(threshold) / math.pi
-    best = (1, 1)
+    best, least = (1, 1), math.inf
     for bits in range(1, 63):
         hit = agree ** bits
         bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-hit))
         if bands > most_bands:
             break
-        best = (bits, bands)
+        cost = 0 if rows is None or bands < LEAST_BANDS else bands * (COPY_COST + rows / 2 ** bits)
+        if cost <= least:
+            best, least = (bits, bands), cost or math.inf
     return best
 
 
@@ -55,8 +60,8 @@ def _keys(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterator[
             sides = (x @ planes > 0).reshape(len(x), bands, bits)
             key = sides @ (np.int64(1) << np.arange(bits, dtype=np.int64))
             row = pa.array(np.repeat(np.arange(len(x)), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), len(x))), pa.array(key.ravel()), batch.column("id").take(row),
-                                              batch.column("embedding").take(row)], names=["band", "key", "id", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), len(x))), pa.array(key.ravel()), batch.column("id").take(row)],
+                                             names=["band", "key", "id"])
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -104,24 +109,24 @@ def hashed_pairs(vecs: DataFrame, threshold: float = 0.75, recall: float = 0.95,
     """Pairs (id_1 < id_2, score) of distinct vectors with cosine at or above `threshold`; a pair at the threshold is found with
     probability `recall`, unless bits and bands say otherwise. `copies` tells which ids a vector stands for.
 
-    Every row goes to one bucket a band. Null, empty and zero vectors are similar to nothing; all others have one dimension.
+    Every row goes to one bucket a band: as its id, its vector joins it where the bucket is compared. Null, empty and zero vectors are similar to nothing; all others have one dimension.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    planned = hash_plan(threshold, recall)
-    bits, bands = bits or planned[0], bands or planned[1]
-    id_type, vec_type = (vecs.schema[c].dataType.simpleString() for c in ("id", "embedding"))
+    id_type = vecs.schema["id"].dataType.simpleString()
     real = vecs.filter(F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)))
-    base = distinct_vectors(real).select("id", "embedding")
-    keyed = cut_lineage(base.mapInArrow(lambda b: _keys(b, bits, bands), f"band int, key bigint, id {id_type}, embedding {vec_type}"))
+    base = cut_lineage(distinct_vectors(real).select("id", "embedding"))
+    planned = hash_plan(threshold, recall, rows=base.count())
+    bits, bands = bits or planned[0], bands or planned[1]
+    keyed = cut_lineage(base.mapInArrow(lambda b: _keys(b, bits, bands), f"band int, key bigint, id {id_type}"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("_n")).filter("_n > 1")
     blocks = F.ceil(F.col("_n") / block_rows).cast("int")
     dealt = keyed.join(sizes, ["band", "key"]).withColumn("_k", blocks).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
     first = F.transform(F.sequence(F.col("_b"), F.col("_k") - 1), lambda j: F.struct(F.col("_b").alias("i"), j.alias("j"), F.lit(0).alias("side")))
     second = F.when(F.col("_b") > 0, F.transform(F.sequence(F.lit(0), F.col("_b") - 1), lambda i: F.struct(i.alias("i"), F.col("_b").alias("j"), F.lit(1).alias("side"))))
     turns = F.concat(first, F.coalesce(second, F.array().cast("array<struct<i:int,j:int,side:int>>")))
-    work = dealt.select("band", "key", "id", "embedding", F.explode(turns).alias("t")).select(
-        F.xxhash64("band", "key", "t.i", "t.j").alias("work"), "t.side", "id", "embedding")
+    work = dealt.select("band", "key", "id", F.explode(turns).alias("t")).select(
+        F.xxhash64("band", "key", "t.i", "t.j").alias("work"), "t.side", "id").join(base, "id").select("work", "side", "id", "embedding")
     found = work.repartition("work").sortWithinPartitions("work").mapInArrow(lambda b: _compare(b, threshold), f"id_1 {id_type}, id_2 {id_type}, score double")
     return found.groupBy("id_1", "id_2").agg(F.max("score").alias("score"))
 

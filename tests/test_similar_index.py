@@ -52,3 +52,10 @@ def test_measured_recall(spark):
     row = SX.measured_recall(pairs([(1, 2), (3, 4), (7, 8)]), pairs([(1, 2), (3, 4), (5, 6)])).first()
     assert (row.exact, row.found, row.wrong) == (3, 2, 1)
     assert V.similar_pairs(table(spark, np.eye(3)), 0.5).count() == 0
+
+
+def test_copies_of_a_vector_stay_few_as_rows_grow():
+    for t in (0.3, 0.75, 0.9):
+        plans = [SX.hash_plan(t, rows=n) for n in (100, 10_000, 100_000, 600_000)]
+        assert all(bands <= 64 and SX.expected_recall(t, bits, bands) >= 0.95 for bits, bands in plans), plans
+        assert [bits for bits, _ in plans] == sorted(bits for bits, _ in plans)

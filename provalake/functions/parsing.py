@@ -114,10 +114,14 @@ def line_list_start(text: Column) -> Column:
 
 def content_parts(text: Column) -> Column:
     """Struct (alternativas, enunciado): options written ``(A)``, or at line starts as ``A)``, ``A.`` or ``A-``, and the text before
-    the first mark of the form they have."""
+    the first mark of the form they have. A list in parentheses begins at its first ``(A)``, so that a "(C) 2020" above it is no
+    option; without one it begins at the first mark."""
     paren = all_matches(text, PAREN_OPTION, 1)
-    in_paren = F.struct(options_map(paren, all_matches(text, PAREN_OPTION, 2)).alias("alternativas"),
-                        trim_all(F.element_at(F.split(text, PAREN_MARK, 2), 1)).alias("enunciado"))
+    first = F.position(F.lit("(A)"), text)
+    listed = F.when(first > 0, text.substr(first, F.length(text))).otherwise(text)
+    stem = F.when(first > 0, text.substr(F.lit(1), first - 1)).otherwise(F.element_at(F.split(text, PAREN_MARK, 2), 1))
+    in_paren = F.struct(options_map(all_matches(listed, PAREN_OPTION, 1), all_matches(listed, PAREN_OPTION, 2)).alias("alternativas"),
+                        trim_all(stem).alias("enunciado"))
 
     def at_lines(start: Column) -> Column:
         rest = text.substr(start + 1, F.length(text))

@@ -324,6 +324,13 @@ def test_repair_keeps_a_stem_that_begins_like_an_option(spark):
     assert (got[1].status_extracao, got[1].enunciado, len(got[1].alternativas)) == ("repaired", "A. All rights reserved.", 5)
 
 
+def test_mark_above_the_first_a_in_parentheses_stays_in_the_stem(spark):
+    r = parts(spark, "(C) 2020 Acme. Veja (B) (A) um (B) dois (C) três")
+    assert (r.enunciado, r.alternativas) == ("(C) 2020 Acme. Veja (B)", {"A": "um", "B": "dois", "C": "três"})
+    r = parts(spark, "Nada (C) um (B) dois")  # no A: every mark counts
+    assert (r.enunciado, r.alternativas) == ("Nada", {"C": "um", "B": "dois"})
+
+
 def test_coverage_share_broadcasts_no_nodes(spark):
     nodes = T.flatten_taxonomy(editais(spark, SYLLABUS, SYLLABUS))
     out = T.coverage_share(nodes, spark.createDataFrame([("Língua Portuguesa", "Período Simples")], "disciplina string, texto string").hint("merge"))

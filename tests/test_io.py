@@ -33,6 +33,21 @@ def test_question_files(spark, tmp_path):
     assert [os.path.basename(r.arquivo) for r in errors.collect()] == ["b.json"]
 
 
+def test_packed_question_files_read_like_single_ones(spark, tmp_path):
+    docs = {"a.json": {"metadados": {"banca": "FCC", "ano": 2023}, "questoes": [{"numero": 2, "alternativas": {"A": "x"}}, {"numero": 1}]},
+            "d.json": {"metadados": {"banca": "IBFC"}, "questoes": []}, "e.json": {"questoes": [{"numero": 7, "enunciado": "dois\nlados"}]}}
+    texts = {k: json.dumps(v, indent=1) for k, v in docs.items()} | {"b.json": '{"questoes": [', "c.txt": "nada"}
+    for name, text in texts.items():
+        put(tmp_path / "single", name, text)
+    files = spark.createDataFrame([(f"x/{k}", v) for k, v in texts.items()], "arquivo string, value string").coalesce(1)
+    S.pack_files(files, str(tmp_path / "packed"))
+    assert len([f for f in os.listdir(tmp_path / "packed") if f.endswith(".parquet")]) == 1
+    rows = lambda df: sorted(map(str, df.withColumn("arquivo", F.element_at(F.split("arquivo", "/"), -1)).collect()))
+    assert rows(S.scan_questions_json(spark, str(tmp_path / "packed"), packed=True)) == rows(S.scan_questions_json(spark, str(tmp_path / "single")))
+    for one, many in zip(S.scan_dir(spark, str(tmp_path / "single")), S.scan_dir(spark, str(tmp_path / "packed"), packed=True)):
+        assert rows(one) == rows(many)
+
+
 def test_sinks(spark, tmp_path):
     q = spark.createDataFrame([(1, "D"), (2, "E")], "questao_id int, disciplina string")
     S.sink_json(q, str(tmp_path / "j"))

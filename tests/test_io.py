@@ -139,6 +139,21 @@ def test_stream_anchored_equals_batch(spark, tmp_path):
     assert len(got) >= len(want) - 2  # the last window of each provider may still be open
 
 
+def test_stream_anchored_state_holds_times_not_rows(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(seconds=40 * (i % 6)), "groq", 1, True) for i in range(6000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, provider string, tokens_used int, success boolean").write.parquet(str(tmp_path / "in" / "a"))
+    stream = spark.readStream.schema("event_id long, ts timestamp, provider string, tokens_used int, success boolean").option(
+        "recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = SQ.anchored_usage(stream, "1 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    first = next(p for p in q.recentProgress if p["numInputRows"])
+    assert sum(o["numRowsTotal"] for o in first["stateOperators"]) <= 6 + 1  # the times that wait, and one open window
+    got = sorted((r.anchor // 1_000_000 - int(start.replace(tzinfo=dt.timezone.utc).timestamp()), r.requests, r.tokens) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0, 2000, 2000), (80, 2000, 2000)]  # the last one is open
+
+
 def test_latest_status(spark):
     df = spark.createDataFrame([(1, 1, "pending", 0), (1, 3, "completed", 1), (1, 3, "failed", 2), (2, 1, "retry", 3)], "prova_id int, ts int, queue_status string, event_id int")
     assert {r.prova_id: r.queue_status for r in SS.latest_status(df).collect()} == {1: "failed", 2: "retry"}

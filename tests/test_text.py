@@ -189,3 +189,13 @@ def test_marks_of_all_blocks_are_dropped(spark):
     from provalake.functions.text import strip_accents
 
     assert spark.createDataFrame([("e᷄x⃐y︠ éá᪰",)], "t string").select(strip_accents(F.col("t"))).first()[0] == "exy ea"
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    df = spark.createDataFrame([(None,), ("um dois " * 300,), ('{"questoes":[{"numero":1,"gabarito":"C"},{"numero":2,"enu',)], "t string")
+    out = df.select(X.text_windows_at_space(F.col("t"), 800, 50, 100).alias("w"), JS.repair_question_json("t").alias("j"), JS.repair_syllabus_json("t").alias("s"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    rows = out.collect()
+    assert rows[0] == (None, None, None) and [len(r.w) for r in rows[1:]] == [4, 1]
+    assert [r.j for r in rows[1:]] == [None, '{"questoes":[{"numero":1,"gabarito":"C"}]}'] and rows[2].s == rows[2].j

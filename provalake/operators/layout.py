@@ -5,34 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provalake.functions.once import let
 from provalake.functions.text import trim_all
-from provalake.operators.quota import anchored_groups
 
 
 def _line_text(spans: Column) -> Column:
     """Spans of one line by x, with a space at a gap unless the texts already have one or punctuation follows."""
-    by_x = F.array_sort(spans)
-    shifted = F.concat(F.slice(by_x, 1, 1), by_x)  # element i of this is the span before span i; the first meets itself
+    def joined(by_x: Column) -> Column:
+        shifted = F.concat(F.slice(by_x, 1, 1), by_x)  # element i of this is the span before span i; the first meets itself
 
-    def piece(s: Column, prev: Column) -> Column:
-        gap = (s["x0"] - prev["x1"] > 0.5) & ~prev["text"].endswith(" ") & ~s["text"].rlike(r"^[ .,;:!?)]")
-        return F.concat(F.when(gap, " ").otherwise(""), s["text"])
+        def piece(s: Column, prev: Column) -> Column:
+            gap = (s["x0"] - prev["x1"] > 0.5) & ~prev["text"].endswith(" ") & ~s["text"].rlike(r"^[ .,;:!?)]")
+            return F.concat(F.when(gap, " ").otherwise(""), s["text"])
 
-    pieces = F.zip_with(by_x, F.slice(shifted, F.lit(1), F.size(by_x)), piece)
-    return F.array_join(pieces, "")
+        return F.array_join(F.zip_with(by_x, F.slice(shifted, F.lit(1), F.size(by_x)), piece), "")
 
+    return let(F.array_sort(F.transform(spans, lambda s: F.struct(s["x0"], s["x1"], s["text"]))), joined)
 
-def _joined(df: DataFrame, by: list[str], order: str, text: str, sep: str, out: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("_t")))), lambda s: s["_t"]), sep).alias(out))
+
+def line_bounds(parts: list[int], ys: list[float | None], tol: float) -> list[tuple[int, int, str]]:
+    """First place (from 1), length and lead of each line of the spans of a page, which are sorted by part and y. A line opens at the
+    first y more than ``tol`` above the one that opened the line before; spans without y are a line of their own."""
+    out, part, anchor = [], None, None
+    for i, (p, y) in enumerate(zip(parts, ys, strict=True), 1):
+        new = p != part
+        if new or (y is not None and (anchor is None or y > anchor + tol or y != y and anchor == anchor)):
+            # a blank line goes before the right column, a single break before the continuation
+            out.append([i, 0, ("", "\n", "\n\n")[p] if new else "\n"])
+            part, anchor = p, y
+        out[-1][1] += 1
+    return [tuple(line) for line in out]
 
 
 def lines_from_spans(spans: DataFrame, by: list[str], boundary: DataFrame | None = None, tol: float = 5.0) -> DataFrame:
     """Page text from spans (y, x0, x1, text). With two columns the left one is read first; what stands above the
     first question of the right column continues the left one.
 
-    Every span gets its part of the page (left, continuation, right) and its line, then lines, parts and pages are
-    joined one level after the other.
+    A page becomes one text, so its spans meet in one row and are cut into lines there: they are moved once.
     """
     num = lambda c: F.col(c).cast("double").alias(c)
     s = spans.filter(trim_all(F.col("text")) != "").select(*by, num("y"), num("x0"), num("x1"), "text")
@@ -45,9 +54,8 @@ def lines_from_spans(spans: DataFrame, by: list[str], boundary: DataFrame | None
         first = s.filter(right & head).groupBy(*by).agg(F.min("y").alias("_q"))
         s = s.join(first, by, "left").withColumn("_part", F.when(~F.coalesce(right, F.lit(False)), 0).when(
             F.col("y") < F.col("_q") - 10, 1).otherwise(2)).drop("_b", "_q")
-    lines = anchored_groups(s, [*by, "_part"], "y", tol, "x0").groupBy(*by, "_part", "anchor").agg(
-        _line_text(F.collect_list(F.struct("x0", "x1", "text"))).alias("_line"))
-    parts = _joined(lines, [*by, "_part"], "anchor", "_line", "\n", "_text")
-    # a blank line goes before the right column, a single break before the continuation
-    lead = F.when(F.col("_part") == 1, "\n").when(F.col("_part") == 2, "\n\n").otherwise("")
-    return _joined(parts.withColumn("_text", F.concat(lead, "_text")), by, "_part", "_text", "", "texto")
+    pages = s.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_part", "y", "x0", "x1", "text"))).alias("_s"))
+    bounds = F.udf(lambda parts, ys: line_bounds(parts, ys, tol), "array<struct<a:int,n:int,lead:string>>", useArrow=False)
+    pages = pages.withColumn("_b", bounds(F.col("_s._part"), F.col("_s.y")))
+    lines = F.transform("_b", lambda b: F.concat(b["lead"], _line_text(F.slice("_s", b["a"], b["n"]))))
+    return pages.select(*by, F.array_join(lines, "").alias("texto"))

@@ -118,3 +118,10 @@ def test_anchored_groups_with_a_null_key(spark):
     df = spark.createDataFrame([(None, i, float(i)) for i in range(40)] + [("a", i, float(i)) for i in range(5)], "k string, id int, v double")
     got = {(r.k, r.id): r.anchor for r in anchored_groups(df, ["k"], "v", 3.0, "id", partitions=4).collect()}
     assert got == {(k, i): float(i - i % 4) for k, n in ((None, 40), ("a", 5)) for i in range(n)}
+
+
+def test_lines_from_spans_moves_spans_once(spark):
+    rows = [(1, y, 0.0, 1.0, t) for y, t in ((0.0, "a"), (4.0, "b"), (5.0, "c"), (5.5, "d"), (11.0, "e"), (None, "z"))]
+    out = lines_from_spans(spark.createDataFrame(rows, "pg int, y double, x0 double, x1 double, text string").coalesce(1), ["pg"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    assert out.first().texto == "z\nabc\nd\ne"

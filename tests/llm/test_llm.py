@@ -477,6 +477,32 @@ def test_shared_passages_and_copies_stay(spark):
     assert got[30] == got[31] == article and got[40] == f"{quote}\npage 0" and got[50] == menu
 
 
+def test_the_host_judges_doubtful_blocks_of_articles(spark, monkeypatch):
+    notice, line = "sign up here to get our very best stories each day", "this very line stands at the end of all our stories"
+    page = lambda i, *more: f"<article><h1>t{i}</h1><p>body {i} of {i * 7}</p>{''.join(more)}</article>"
+    rows = [(i, f"http://h.example/{i}", page(i, f'<div class="site-notice"><p>{notice}</p></div>', f"<p>{line}</p>")) for i in range(6)]
+    rows += [(i, f"http://h.example/{i}", page(i, f'<div class="site-notice"><p>only {notice}</p></div>', f"<p>{notice}</p>")) for i in range(6, 8)]
+    rows += [(8, "http://h.example/8", page(8, '<p class="notice">one of its own, which no other page of this host has</p>', f'<p>a <b class="notice">{notice}</b></p>'))]
+    rows += [(30 + i, f"http://few.example/{i}", page(i, f'<p class="notice">{notice}</p>')) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for part in (html_text.PART, 4):  # one array for the host, and several
+        monkeypatch.setattr(html_text, "PART", part)
+        got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+        assert all(got[i] == f"t{i}\nbody {i} of {i * 7}\n{line}" for i in range(6))  # a repeated line of the article stays
+        assert all(got[i] == f"t{i}\nbody {i} of {i * 7}\nonly {notice}\n{notice}" for i in range(6, 8))
+        assert got[8].endswith(f"host has\na {notice}") and got[31] == f"t1\nbody 1 of 7\n{notice}" and len(got) == 11
+
+
+def test_shared_places_against_all_windows():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 2, n))) for n in (0, 3, 8, 60, 61, 90)]
+    for least in (2, 3):
+        windows = [{tuple(t.split()[p:p + 8]) for p in range(len(t.split()) - 7)} for t in texts]
+        want = {(i, p) for i, t in enumerate(texts) for p in range(len(t.split()) - 7) if sum(tuple(t.split()[p:p + 8]) in w for w in windows) >= least}
+        text, place, _ = html_text.shared_places(texts, least)
+        assert set(zip(text.tolist(), place.tolist(), strict=True)) == want and len(want) == len(text) > 0
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 3, 300).astype(np.uint64)

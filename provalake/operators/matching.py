@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provalake import constants as C
 from provalake.functions.once import once
 from provalake.functions.text import canonical_discipline, first_word, normalize_discipline, normalize_name, not_blank
-from provalake.session import cut_lineage
+from provalake.session import stored
 
 
 def alias_map() -> Column:
@@ -98,13 +98,15 @@ def lookup_counts(nodes: DataFrame, counts: DataFrame, name: str, scope: list[st
 
     ``counts`` holds (scope, ``key``, ``n``). Each tier is an equi-join on a relation with one row per key, so a
     tier never multiplies rows. The normalized tier takes the smallest raw key; the prefix tier adds all keys
-    that share the first word. ``raw`` selects the counts the first tier may use (one row per raw key). The counts
-    are small next to what they count and are read by every tier, so they are computed once.
+    that share the first word. ``raw`` selects the counts the first tier may use (one row per raw key). Every tier
+    reads the counts, so they are computed once; scopes share their names, so each name is normalized once.
     """
-    counts = cut_lineage(counts.select(*scope, "key", "n"))
-    c = counts.withColumn("_norm", normalize_name(F.col("key"))).withColumn("_first", first_word(F.col("_norm")))
+    counts = stored(counts.select(*scope, "key", "n"), "counts")
+    names = once(counts.select(F.col("key").alias("_key")).distinct(), {"_norm": normalize_name(F.col("_key"))})
+    names = stored(names.withColumn("_first", first_word(F.col("_norm"))), "names")
+    c = counts.join(names, F.col("key").eqNullSafe(F.col("_key")))
     by_norm = c.groupBy(*scope, "_norm").agg(F.min_by("n", F.struct("key", "n")).alias("_n_norm"))
-    by_first = c.groupBy(*scope, "_first").agg(F.sum("n").alias("_n_first")).filter("_first IS NOT NULL")
+    by_first = c.filter("_first IS NOT NULL").groupBy(*scope, "_first").agg(F.sum("n").alias("_n_first"))
     res = nodes.withColumn("_norm", normalize_name(F.col(name))).withColumn("_first", first_word(F.col("_norm")))
     tiers = []
     if raw is not None:

@@ -104,10 +104,19 @@ def nesting(taxonomy: Column) -> Column:
     return F.aggregate(signs, start, step)["most"]
 
 
+def nesting_bound(taxonomy: Column) -> Column:
+    """At least `nesting`, by counting alone: every opening sign, but for a closed `[]`, of which one can be open at a time, and for
+    a brace that opens where another has closed."""
+    text = F.coalesce(taxonomy, F.lit(""))
+    count = lambda part: (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
+    return count("[") + count("{") - count("[]") - count("},{") + 1
+
+
 def is_deep(taxonomy: Column, max_depth: int = MAX_DEPTH) -> Column:
     """Has the document more item levels than `max_depth`, or brackets that say so? Three open ones surround the first items, and
     each level has two more."""
-    return nesting(taxonomy) > 4 + 2 * max_depth
+    limit = 4 + 2 * max_depth
+    return (nesting_bound(taxonomy) > limit) & (nesting(taxonomy) > limit)
 
 
 def _text(value: object) -> str | None:

@@ -1,6 +1,7 @@
 """Syllabus matching, trees, parsing, findings, counters and jobs on hand-made rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,25 @@ def test_incidence_tree_tiers(spark):
     assert [c["nome"] for c in nested[0]["children"][1]["children"]] == ["Período Simples", "Período Composto"]
 
 
+def test_brackets_are_bounded_by_counting(spark):
+    doc = '{"disciplinas":[{"nome":"A","itens":[{"id":"1","filhos":[]},{"id":"2","filhos":[{"id":"2.1","filhos":[]},{"id":"2.2","filhos":[]}]}]},{"nome":"B","itens":[]}]}'
+    rng = random.Random(4)
+    odd = ["".join(rng.choices(["[", "]", "{", "}", "[]", "},{", ",", '"', "\\", "x"], k=rng.randrange(40))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in [doc, "", None, *odd]], "t string").select("t", T.nesting(F.col("t")).alias("n"), T.nesting_bound(F.col("t")).alias("b"))
+    assert rows.filter("b < n").count() == 0
+    first = rows.first()
+    assert first.n <= first.b <= 9  # of 14 opening signs; the costly walk is left out for such documents
+
+
+def test_names_of_counts_are_normalized_once(spark):
+    nodes = spark.createDataFrame([(1, "SINTAXE"), (1, "sintaxe nova"), (1, "Outra")], "p int, nome string")
+    counts = spark.createDataFrame([(1, "Sintaxe", 2), (1, "sintáxe", 3), (1, "sintaxe velha", 5), (1, None, 7), (1, " ", 9)], "p int, key string, n long")
+    found = N.lookup_counts(nodes, counts, "nome", ["p"])
+    assert {r.nome: r["count"] for r in found.collect()} == {"SINTAXE": 2, "sintaxe nova": 10, "Outra": 0}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(key" not in plan and "translate(nome" in plan
+
+
 def test_older_shape_counts_only_subjects(spark):
     doc = {"disciplinas": [{"nome": "D", "assuntos": [{"nome": "A", "topicos": [{"nome": "T", "subtopicos": ["S", {"nome": "U"}]}]}]}]}
     labels = spark.createDataFrame([(1, "D", t, str(i)) for i, t in enumerate("ATSU")], "projeto_id int, disciplina string, assunto string, questao_id string")

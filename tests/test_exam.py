@@ -308,6 +308,17 @@ def test_vectorize_job(spark):
     assert out["pairs"].count() == 15
 
 
+def test_vectorize_job_returns_the_clusters_too(spark):
+    from conftest import SF
+    from provalake.catalog.q_vectors import job_vectorize
+
+    n = spark.read.parquet(f"{SF}/conversations.parquet").count()
+    rows = job_vectorize(spark, SF).collect()
+    label = {r.id_1: r.label for r in rows if r.parte == "grupo"}
+    best = [r for r in rows if r.parte == "par"]
+    assert len(label) == n and len(rows) == n + len(best) and all(r.label == label[r.id_1] for r in best)
+
+
 def test_extract_job(spark):
     docs = spark.createDataFrame([(1, PAPER), (2, BRACKETS)], "doc_id int, full_text string")
     names = docs.select("doc_id", F.array(F.lit("lingua portuguesa")).alias("nomes"))

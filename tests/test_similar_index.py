@@ -59,3 +59,25 @@ def test_copies_of_a_vector_stay_few_as_rows_grow():
         plans = [SX.hash_plan(t, rows=n) for n in (100, 10_000, 100_000, 600_000)]
         assert all(bands <= 64 and SX.expected_recall(t, bits, bands) >= 0.95 for bits, bands in plans), plans
         assert [bits for bits, _ in plans] == sorted(bits for bits, _ in plans)
+
+
+def test_found_pairs_are_there_once_without_a_shuffle_of_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1, 8)) + 0.05 * rng.normal(size=(70, 8))
+    found = SX.hashed_pairs(table(spark, x), 0.9, bits=3, bands=12, block_rows=32)
+    got = [(r.id_1, r.id_2) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) <= exact(x, 0.9) and len(got) > 0.9 * len(exact(x, 0.9))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("MapInArrow")]
+
+
+def test_recall_is_measured_on_lists(spark, monkeypatch):
+    monkeypatch.setattr(SX, "LIST", 3)
+    monkeypatch.setattr(SX, "HELD_PAIRS", 50)
+    rng = np.random.default_rng(7)
+    e, f = ({(a, b) for a, b in rng.integers(0, 40, (n, 2)).tolist() if a < b} for n in (900, 700))
+    for name, kind in (("long", int), ("string", "{:02d}".format)):
+        rows = lambda s: spark.createDataFrame([(kind(a), kind(b)) for a, b in s], f"id_1 {name}, id_2 {name}").repartition(4)  # noqa: E731, B023
+        assert tuple(SX.measured_recall(rows(f), rows(e)).first()) == (len(e), len(e & f), len(f - e))
+    plan = SX.measured_recall(rows(f), rows(e))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

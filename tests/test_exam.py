@@ -269,6 +269,13 @@ def test_phase_that_fails_at_run_time(spark):
     assert run.tables["d"]["x"].count() == 2
 
 
+def test_tables_of_phases_are_packed_by_column(spark):
+    odd = lambda t: spark.range(2).select("id", F.col("id").alias("ID"), F.lit(None).alias("n"))
+    run = JB.run_phases([("a", [], lambda t: spark.range(3)), ("b", [], odd)])
+    assert run.completed == ["a", "b"] and [run.tables[x].count() for x in "ab"] == [3, 2]
+    assert "FileScan parquet" in run.tables["a"]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_claim_meets_every_evidence_row(spark):
     claims = spark.createDataFrame([(1, i, f"claim palavra{i} unica{i}") for i in range(30)], "report_id int, claim_no int, claim string")
     pool = spark.createDataFrame([(1, i, f"linha palavra{i - 60} unica{i - 60}") for i in range(90)], "report_id int, evidence_no int, enunciado string")

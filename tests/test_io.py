@@ -225,3 +225,14 @@ def test_streams_read_a_table_in_one_file_or_in_a_folder(spark, tmp_path):
     docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet", index=False)
     for place in (tmp_path / "folder", tmp_path):
         assert {(r.prova_id, r.status) for r in stream_ingest(spark, str(place)).collect()} == {(i, "completed") for i in range(6)}
+
+
+def test_marks_inside_a_document_are_part_of_the_stem(spark, tmp_path):
+    from provalake.catalog.q_vectors import stream_ingest
+
+    w = "palavra " * 12
+    texts = [w, f"{w}Questão 7 {w}", f"{w}12. [a] 13. [b] {w}", f"{w}anulada", f"(Correta: C) {w}", f"x (C) 2020 {w}", f"{w}Resposta: C", f"{w}A) um B) dois C) três"]
+    rows = [(i, t, "pt", "a", 0) for i, t in enumerate([*texts, f"curto, muito curto (D) {w}"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.prova_id: (r.status, r.questoes_count, r.questoes_revisao, r.confianca_media) for r in stream_ingest(spark, str(tmp_path)).collect()}
+    assert got == {i: ("completed", 1, 0, 95.0) for i in range(9)}
